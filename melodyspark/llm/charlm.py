@@ -1,0 +1,213 @@
+"""Character n-gram language models with interpolated modified Kneser-Ney smoothing.
+
+Characters are mapped to 64 classes (white space, a-z without case, digits, four kinds of ASCII
+punctuation, 32 classes of characters beyond ASCII), so an n-gram of four is a 24-bit code and
+every table is bounded by the alphabet whatever the corpus: at most 64**4 counts and 64**3
+contexts, which as float32 values take 67 MB. That is the proven bound of what is broadcast.
+Counting covers every training text; equal n-grams are combined inside each task before the
+shuffle. Counts, discounts and context totals are joined in Spark, hashed by context.
+
+Scoring looks one table value up per character, map-side.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from melodyspark.llm.arrowtext import chunks
+from melodyspark.llm.scratch import materialize
+
+ORDER = 4
+BITS, SYMBOLS = 6, 64
+
+
+def _classes() -> np.ndarray:
+    table = np.full(256, 31, np.uint8)
+    table[[32, 9, 10, 11, 12, 13]] = 0
+    table[97:123] = table[65:91] = np.arange(1, 27)
+    table[48:58] = 27
+    table[[46]], table[[44]] = 28, 29
+    table[[33, 63, 58, 59]] = 30
+    table[128:] = 32 + (np.arange(128, 256) & 31)
+    return table
+
+
+CLASSES = _classes()
+
+
+def grams(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-gram that ends at each character, and each row's range among them.
+
+    A character's class comes from its last UTF-8 byte. Runs of white space count once; before the
+    first character stands white space.
+    """
+    n = len(data)
+    if n == 0:
+        return np.empty(0, np.int32), np.zeros(len(at), np.int64)
+    last = np.empty(n, bool)
+    last[-1], last[:-1] = True, (data[1:] & 0xC0) != 0x80
+    code = CLASSES[data]
+    gap = code == 0
+    again = np.empty(n, bool)
+    again[0], again[1:] = True, gap[:-1]
+    again[at[:-1][at[:-1] < n]] = True
+    use = np.flatnonzero(last & ~(gap & again))
+    first = np.searchsorted(use, at)
+    code = code[use].astype(np.int32)
+    place = np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))
+    out = code.copy()
+    for j in range(1, order):
+        older = np.zeros_like(code)
+        older[j:] = code[:-j]
+        older[place < j] = 0
+        out |= older << np.int32(BITS * j)
+    return out, first
+
+
+def count_grams(texts: DataFrame, text_col: str, class_col: str, order: int = ORDER) -> DataFrame:
+    """code, c0, c1: how often each n-gram occurs in texts of class 0 and 1."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        out = np.zeros((len(keys), 2), np.int64)
+        np.add.at(out, where, np.concatenate([c for _, c in parts]))
+        return keys, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            label = b.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, at in chunks(b.column(0)):
+                code, first = grams(data, at, order)
+                own = np.repeat(label[lo:hi], np.diff(first)).astype(np.int64)
+                keys, counts = np.unique((code.astype(np.int64) << 1) | own, return_counts=True)
+                both = np.zeros((len(keys), 2), np.int64)
+                both[np.arange(len(keys)), keys & 1] = counts
+                parts.append((keys >> 1, both))
+            if sum(len(k) for k, _ in parts) > 3_000_000:
+                parts = [merged(parts)]
+        if parts:
+            keys, counts = merged(parts)
+            for i in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(counts[i : i + 100_000, 0]), pa.array(counts[i : i + 100_000, 1])], names=["code", "c0", "c1"])
+
+    rows = texts.select(F.col(text_col).cast("string").alias("text"), F.col(class_col).cast("int").alias("label"))
+    local = rows.mapInArrow(run, "code long, c0 long, c1 long")
+    return local.groupBy("code").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _discounts(t: DataFrame) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
+    n = t.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in range(1, 5)]).first()
+    n1, n2, n3, n4 = (float(n[f"n{k}"]) for k in range(1, 5))
+    if not n1 or not n2:
+        return [0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(x, 0.1), k + 0.9) for k, x in enumerate(d)]
+
+
+def level(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From code, c: (code, alpha), the discounted share, and (ctx, gamma), the mass left to backoff."""
+    d1, d2, d3 = _discounts(t)
+    keyed = t.withColumn("ctx", F.shiftright("code", BITS))
+    total = keyed.groupBy("ctx").agg(F.sum("c").cast("double").alias("total"), *[F.count_if(k).cast("double").alias(n) for n, k in (("n1", F.col("c") == 1), ("n2", F.col("c") == 2), ("n3", F.col("c") > 2))])
+    cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+    alpha = keyed.join(total, "ctx").select("code", (F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total")).alias("alpha"))
+    gamma = total.select("ctx", ((d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("total")).alias("gamma"))
+    return alpha, gamma
+
+
+def continuation(t: DataFrame, order: int) -> DataFrame:
+    """Counts of the next shorter n-grams: how many different characters stand before each."""
+    return t.select(F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1)).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("c"))
+
+
+@dataclass
+class Rows:
+    """Contexts of one length, sorted, with a probability for each of the 64 classes after them."""
+
+    ctx: np.ndarray
+    p: np.ndarray
+
+
+def rows_of(alpha: DataFrame, gamma: DataFrame, below: list[Rows]) -> Rows:
+    g, a = gamma.toArrow(), alpha.toArrow()
+    ctx, mass = g["ctx"].to_numpy(), g["gamma"].to_numpy()
+    order = np.argsort(ctx)
+    ctx, mass = ctx[order], mass[order]
+    p = backed(below, ctx, len(below) - 1) * mass[:, None].astype(np.float32)
+    code = a["code"].to_numpy()
+    p[np.searchsorted(ctx, code >> BITS), code & (SYMBOLS - 1)] += a["alpha"].to_numpy().astype(np.float32)
+    return Rows(ctx, p)
+
+
+def backed(levels: list[Rows], ctx: np.ndarray, length: int) -> np.ndarray:
+    """The rows of contexts, from the longest suffix of each (of at most ``length``) that was seen."""
+    if length < 0:
+        return np.full((len(ctx), SYMBOLS), 1 / SYMBOLS, np.float32)
+    short = ctx & ((1 << (BITS * length)) - 1)
+    here = levels[length]
+    at = np.minimum(np.searchsorted(here.ctx, short), len(here.ctx) - 1)
+    seen = here.ctx[at] == short if len(here.ctx) else np.zeros(len(ctx), bool)
+    out = np.empty((len(ctx), SYMBOLS), np.float32)
+    out[seen] = here.p[at[seen]]
+    if not seen.all():
+        out[~seen] = backed(levels, ctx[~seen], length - 1)
+    return out
+
+
+def levels(top: DataFrame, order: int = ORDER, shared: list[Rows] | None = None) -> list[Rows]:
+    """Rows of contexts of 0 .. order-1 characters: raw counts of ``top`` (code, c), continuation counts below.
+
+    ``shared`` holds ready levels for the shortest contexts; only the longer ones come from ``top``.
+    """
+    below = list(shared or [])
+    tables, t = [top], top
+    for k in range(order, len(below) + 1, -1):
+        t = materialize(continuation(t, k), f"grams{k - 1}")
+        tables.append(t)
+    for t in reversed(tables):
+        below.append(rows_of(*level(t), below))
+    return below
+
+
+@dataclass
+class Table:
+    """A value for each class after each context: seen longest contexts first, then their suffixes."""
+
+    contexts: list[np.ndarray]
+    values: np.ndarray
+
+    @functools.cached_property
+    def index(self) -> np.ndarray:
+        """Row of ``values`` for every possible context."""
+        out, base = np.zeros(1, np.int32), 0
+        for length, ctx in enumerate(self.contexts):
+            if length:
+                out = np.tile(out, SYMBOLS)
+            out[ctx] = np.arange(base, base + len(ctx), dtype=np.int32)
+            base += len(ctx)
+        return out
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """The value of each n-gram."""
+        return self.values[self.index[code >> BITS], code & (SYMBOLS - 1)]
+
+
+def log_table(levels: list[Rows]) -> Table:
+    """Log-probabilities of all levels as one table."""
+    return Table([r.ctx for r in levels], np.log(np.concatenate([r.p for r in levels])))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = 4_000_000) -> DataFrame:
+    """Texts joined to their labels: labels are broadcast up to ``max_rows`` rows, shuffled beyond."""
+    n = labels.count()
+    return docs.join(F.broadcast(labels) if n <= max_rows else labels.hint("shuffle_hash"), id_col)
