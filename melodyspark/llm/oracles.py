@@ -26,4 +26,44 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLES = {"op5_benchmark_decontamination": OP5, "op8_exact_dedup": OP8}
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format('text')}, '{_SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS sh
+      FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.to_id = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(to_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::BIGINT AS n_tokens,
+                  md5('mix:' || doc_id::VARCHAR) AS key FROM documents),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY source),
+v AS (SELECT list(tokens::DOUBLE) AS ts, sum(tokens)::DOUBLE AS t, count(*) AS n FROM s WHERE tokens > 0),
+h AS (SELECT 0::BIGINT AS lo, 1048577::BIGINT AS hi
+      UNION ALL
+      SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+      FROM (SELECT lo, hi, mid, ln(z) - list_sum(list_transform(ts, lambda x: exp(mid / 1048576.0 * ln(x / t)) * (mid / 1048576.0 * ln(x / t)))) / z >= 0.95 * ln(n) AS ok
+            FROM (SELECT lo, hi, (lo + hi) // 2 AS mid, ts, t, n, list_sum(list_transform(ts, lambda x: exp(((lo + hi) // 2) / 1048576.0 * ln(x / t)))) AS z FROM h, v) WHERE hi - lo > 1)),
+r AS (SELECT -1::BIGINT AS lo, 1048577::BIGINT AS hi
+      UNION ALL
+      SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+      FROM (SELECT lo, hi, mid, list_max(list_transform(ts, lambda x: exp(mid / 1048576.0 * ln(x / t)) / x)) * t / z > 4.0 AS ok
+            FROM (SELECT lo, hi, (lo + hi) // 2 AS mid, ts, t, list_sum(list_transform(ts, lambda x: exp(((lo + hi) // 2) / 1048576.0 * ln(x / t)))) AS z FROM r, v) WHERE hi - lo > 1)),
+tau AS (SELECT CASE WHEN (SELECT n FROM v) <= 1 THEN 1.0 ELSE greatest((SELECT max(lo) FROM h), least(1048576, (SELECT max(lo) FROM r) + 1)) / 1048576.0 END AS a),
+x AS (SELECT source, tokens, docs, CASE WHEN tokens > 0 THEN exp(a * ln(tokens / t)) ELSE 0.0 END AS x, t FROM s, v, tau),
+g AS (SELECT source, tokens, greatest(1, ceil(docs / 4096.0))::BIGINT AS blocks, floor(x / (SELECT sum(x) FROM x) * t + 1e-6)::BIGINT AS given FROM x),
+p AS (SELECT d.*, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS full_, CASE WHEN tokens > 0 THEN given % tokens ELSE -1 END AS rest,
+             (('0x' || substr(key, 1, 8))::BIGINT * blocks) >> 32 AS block FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, source, n_tokens, block::BIGINT AS block,
+       (full_ + CASE WHEN rest < 0 THEN 0 WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY key, n_tokens, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM p
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op4_source_mixing": OP4, "op5_benchmark_decontamination": OP5, "op8_exact_dedup": OP8}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melodyspark.llm import decontaminate, exact_dedup, quality, toxicity
+from melodyspark.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, toxicity
 from melodyspark.llm.oracles import ORACLES
 
 
@@ -14,10 +14,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicate_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.perplexity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -33,7 +42,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_classifier, op4_source_mixing, op5_benchmark_decontamination, op6_toxicity, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
