@@ -66,4 +66,15 @@ SELECT doc_id, source, n_tokens, block::BIGINT AS block,
 FROM p
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op4_source_mixing": OP4, "op5_benchmark_decontamination": OP5, "op8_exact_dedup": OP8}
+OP10 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, p FROM win JOIN rep USING (h), unnest(range(i, i + 35)) AS u(p)),
+words AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t FROM words ANTI JOIN cov ON words.doc_id = cov.doc_id AND words.p = cov.p GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id) c USING (doc_id)
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op4_source_mixing": OP4, "op5_benchmark_decontamination": OP5, "op8_exact_dedup": OP8, "op10_substring_dedup": OP10}

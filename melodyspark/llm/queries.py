@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melodyspark.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, toxicity
+from melodyspark.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, substring_dedup, toxicity
 from melodyspark.llm.oracles import ORACLES
 
 
@@ -41,8 +41,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_classifier, op4_source_mixing, op5_benchmark_decontamination, op6_toxicity, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_classifier, op4_source_mixing, op5_benchmark_decontamination, op6_toxicity, op8_exact_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
