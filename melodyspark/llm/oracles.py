@@ -77,4 +77,26 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_remove
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id) c USING (doc_id)
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op4_source_mixing": OP4, "op5_benchmark_decontamination": OP5, "op8_exact_dedup": OP8, "op10_substring_dedup": OP10}
+_CANON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '\?&+', '?', 'g'), '[?&]+$', ''), '^[A-Za-z]+://', '')"""
+
+OP9 = rf"""
+WITH u AS (SELECT page_id AS p, {_CANON} AS u, md5(coalesce(html, '')) AS tag, sha256(coalesce(html, '')) AS sha FROM pages),
+c AS (SELECT p, tag, sha, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^(www|m)\.', '') || regexp_replace(substr(u, length(regexp_extract(u, '^[^/?]*')) + 1), '(/|\.html)$', '') AS canonical FROM u),
+v AS (SELECT 2 * p + 1 AS record_id, canonical, p + 1 + p % 97 AS t, CASE WHEN p % 5 = 0 THEN NULL WHEN p % 7 = 0 THEN 'changed' ELSE tag END AS etag,
+             CASE WHEN p % 11 = 0 THEN 10 * p + 1 ELSE 10 * p END AS m FROM c),
+j AS (SELECT v.*, (SELECT max(r.p) FROM c r WHERE r.canonical = v.canonical AND r.p < v.t) AS rp FROM v),
+s AS (SELECT j.*, r.tag, r.sha, CASE WHEN rp IS NULL THEN 'no-response' WHEN coalesce(etag = r.tag, m = 10 * rp) THEN 'resolved' ELSE 'validator-mismatch' END AS status
+      FROM j LEFT JOIN c r ON r.p = j.rp)
+SELECT record_id, canonical, 2 * rp AS response_id, status, CASE WHEN status = 'resolved' THEN sha END AS payload_sha256,
+       CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || t || chr(10) || 'etag: ' || tag || chr(10) || 'expires: ' || (t + 60) || chr(10) || 'server: origin' END AS headers
+FROM s
+"""
+
+ORACLES = {
+    "op1_ngram_jaccard_join": OP1,
+    "op4_source_mixing": OP4,
+    "op5_benchmark_decontamination": OP5,
+    "op8_exact_dedup": OP8,
+    "op9_warc_revisits": OP9,
+    "op10_substring_dedup": OP10,
+}

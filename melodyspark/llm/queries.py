@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from melodyspark.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, substring_dedup, toxicity
+from melodyspark.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, warc
 from melodyspark.llm.oracles import ORACLES
 
 
@@ -19,6 +20,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.encoded_lengths(_table(spark, sf_dir, "documents")))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.perplexity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,17 +42,30 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_revisits(warc.captures(_table(spark, sf_dir, "pages")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_classifier, op4_source_mixing, op5_benchmark_decontamination, op6_toxicity, op8_exact_dedup, op10_substring_dedup)}
+    ops = (
+        op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_source_mixing, op5_benchmark_decontamination,
+        op6_toxicity, op7_line_dedup, op8_exact_dedup, op9_warc_revisits, op10_substring_dedup,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
