@@ -49,7 +49,7 @@ def consensus(notes: DataFrame, readings: DataFrame, key: str, tolerance: float
     pairs = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: (b["reader"] > a["reader"]) & (F.abs(a["median"] - b["median"]) <= tolerance)), lambda b: F.struct((a["frames"] + b["frames"]).alias("n"), a["reader"].alias("x"), b["reader"].alias("y"), ((a["median"] + b["median"]) / 2).alias("m")))))
     # most frames; of equals the first pair by name
     best = F.array_sort(pairs, lambda p, q: F.when(p["n"] != q["n"], F.when(p["n"] > q["n"], -1).otherwise(1)).when(p["x"] != q["x"], F.when(p["x"] < q["x"], -1).otherwise(1)).when(p["y"] < q["y"], -1).when(p["y"] > q["y"], 1).otherwise(0))
-    chosen = grouped.where((F.col("pitches") == 1) & (F.size(pairs) > 0)).select(key, F.rint(best[0]["m"]).cast("int").alias("new"))
+    chosen = grouped.where((F.col("pitches") == 1) & (F.size(pairs) > 0)).select(key, F.rint(F.get(best, F.lit(0))["m"]).cast("int").alias("new"))
     moved = F.abs(F.col("new") - F.col("midi"))
     ok = (F.col("new") != F.col("midi")) & F.col("new").between(low, high) & ((moved <= 2) | (moved == 12))
     return notes.join(chosen, key).where(ok).select(key, F.col("midi").alias("old"), "new")

@@ -1,0 +1,235 @@
+"""Helpers for rules where a row depends on what was decided for the rows before it.
+
+Each helper takes the ordered rows of one key as arrays and returns arrays; ``by_key`` runs it for
+every key. Keys are recordings or sections, whose rows are bounded by a recording's length; all
+joins, filters and aggregates around a helper are Spark's.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def by_key(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of every key, in order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def spaced(values: np.ndarray, times: np.ndarray, spacing: float) -> np.ndarray:
+    """Keep the smallest values first, each at least ``spacing`` from all kept before; true where kept."""
+    keep = np.zeros(len(values), bool)
+    for i in np.lexsort((times, values)):
+        if not keep.any() or np.abs(times[keep] - times[i]).min() >= spacing:
+            keep[i] = True
+    return keep
+
+
+def align(ref: list[str], heard: list[str], cost: Callable[[str, str], float], gap: float = 0.8) -> list[tuple[int, int]]:
+    """Cheapest monotone alignment of two token lists: pairs (i, j), -1 where a token stands alone."""
+    n, m = len(ref), len(heard)
+    table = np.zeros((n + 1, m + 1))
+    table[:, 0], table[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
+    codes: dict[tuple[str, str], float] = {}
+    for i in range(1, n + 1):
+        row = np.array([codes.setdefault((ref[i - 1], h), cost(ref[i - 1], h)) for h in heard])
+        best = np.minimum(table[i - 1, 1:] + gap, table[i - 1, :-1] + row)
+        # a run of insertions after the best start: a running minimum of what is left after gaps
+        start = np.concatenate([[table[i, 0]], best]) - np.arange(m + 1) * gap
+        table[i] = np.minimum.accumulate(start) + np.arange(m + 1) * gap
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and np.isclose(table[i, j], table[i - 1, j - 1] + codes[ref[i - 1], heard[j - 1]]):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and np.isclose(table[i, j], table[i - 1, j] + gap):
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    return out[::-1]
+
+
+def ordered_anchors(start: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The heaviest subset of anchors whose times never go back (the first such subset); true where kept."""
+    n = len(start)
+    total, back = weight.astype(float).copy(), np.full(n, -1)
+    for i in range(n):
+        before = np.flatnonzero(start[:i] <= start[i])
+        if len(before):
+            j = before[np.argmax(total[before])]
+            total[i], back[i] = total[i] + total[j], j
+    keep, i = np.zeros(n, bool), int(np.argmax(total)) if n else -1
+    while i >= 0:
+        keep[i] = True
+        i = back[i]
+    return keep
+
+
+def pitch_states(midi: np.ndarray, voiced: np.ndarray, low: int = 45, high: int = 88, switch: float = 5.0, cap: float = 4.0, silent: float = 0.3) -> np.ndarray:
+    """The cheapest path of whole pitches: distance squared up to a cap, and a price for every change."""
+    states = np.arange(low, high + 1)
+    cost = np.where(voiced[:, None], np.minimum((midi[:, None] - states) ** 2, cap), silent)
+    total, back = cost[0].copy(), np.zeros(cost.shape, np.int16)
+    for i in range(1, len(cost)):
+        best = int(np.argmin(total))
+        stay = total <= total[best] + switch
+        back[i] = np.where(stay, np.arange(len(states)), best)
+        total = np.where(stay, total, total[best] + switch) + cost[i]
+    path, s = np.empty(len(cost), int), int(np.argmin(total))
+    for i in range(len(cost) - 1, -1, -1):
+        path[i] = states[s]
+        s = int(back[i, s])
+    return path
+
+
+def absorb_short(path: np.ndarray, least: int) -> np.ndarray:
+    """Runs shorter than ``least`` take the pitch of the run after them, or before where there is none."""
+    out = path.copy()
+    while True:
+        cut = np.flatnonzero(np.diff(out)) + 1
+        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(out)]])
+        short = np.flatnonzero(end - begin < least)
+        if len(begin) <= 1 or not len(short):
+            return out
+        k = short[np.argmin((end - begin)[short])]
+        out[begin[k] : end[k]] = out[begin[k + 1]] if k + 1 < len(begin) else out[begin[k - 1]]
+
+
+def octave_repairs(midi: np.ndarray) -> np.ndarray:
+    """Isolated octave errors, left to right on repaired neighbours: a note 9 from both moves by 12 if that gains 6."""
+    out = midi.astype(int).copy()
+    for i in range(1, len(out) - 1):
+        near = [out[i - 1], out[i + 1]]
+        if min(abs(out[i] - x) for x in near) < 9:
+            continue
+        far = sum(abs(out[i] - x) for x in near)
+        moved = min((sum(abs(out[i] + s - x) for x in near), s) for s in (-12, 12))
+        if far - moved[0] >= 12:
+            out[i] += moved[1]
+    return out
+
+
+def phrases(section: np.ndarray, line: np.ndarray, start: np.ndarray, end: np.ndarray, breath: float = 0.45, longest: int = 12) -> np.ndarray:
+    """Numbers of sung lines: a section or line begins one, so does a breath after six notes; long ones split at their widest gap."""
+    n = len(start)
+    begins, size = [0] if n else [], 1
+    for i in range(1, n):
+        fresh = section[i] != section[i - 1] or (line[i] >= 0 and line[i] != line[i - 1])
+        if fresh or (start[i] - end[i - 1] >= breath and (line[i] < 0 or size >= 6)):
+            begins.append(i)
+            size = 0
+        size += 1
+    gaps = np.concatenate([[0.0], start[1:] - end[:-1]]) if n else np.empty(0)
+    todo = [(a, b) for a, b in zip(begins, [*begins[1:], n], strict=True)]
+    done = []
+    while todo:
+        a, b = todo.pop()
+        if b - a <= longest:
+            done.append(a)
+            continue
+        k = a + 3 + int(np.argmax(gaps[a + 3 : b - 2]))
+        todo += [(a, k), (k, b)]
+    first = np.zeros(n, int)
+    first[sorted(done)] = 1
+    return np.cumsum(first)
+
+
+def pieces(start: np.ndarray, end: np.ndarray, longest: float = 26.0, least: float = 6.0) -> np.ndarray:
+    """Piece numbers: no piece is longer than ``longest`` where a silence at least ``least`` after the last cut allows it."""
+    out, first, number = np.zeros(len(start), int), 0, 0
+    for i in range(len(start)):
+        while end[i] - start[first] > longest and i > first:
+            cuts = [k for k in range(first + 1, i + 1) if start[k] - start[first] >= least]
+            if not cuts:
+                break
+            k = max(cuts, key=lambda c: (start[c] - end[c - 1], -c))
+            number += 1
+            out[k:] = number
+            first = k
+    return out
+
+
+def absorb_glides(onset: np.ndarray, end: np.ndarray, midi: np.ndarray, longest: float = 0.12, gap: float = 0.05) -> np.ndarray:
+    """Slides: a short note that touches a longer one within four semitones joins it. Returns the group of each note."""
+    group = np.arange(len(onset))
+    for i in range(len(onset) - 1):
+        if end[i] - onset[i] <= longest and onset[i + 1] - end[i] <= gap and 0 < abs(midi[i + 1] - midi[i]) <= 4 and end[i + 1] - onset[i + 1] > end[i] - onset[i]:
+            group[group == group[i]] = i + 1
+    return group
+
+
+def choose_cuts(expected: np.ndarray, at: np.ndarray, depth: np.ndarray, miss: float = 0.6) -> list[int]:
+    """Measured attacks for expected boundaries, in order: near and deep ones are cheap, a miss costs ``miss``; -1 for none."""
+    b, d = len(expected), len(at)
+    cost = np.zeros((b + 1, d + 1))
+    for i in range(1, b + 1):
+        cost[i, 0] = cost[i - 1, 0] + miss
+        for j in range(1, d + 1):
+            take = cost[i - 1, j - 1] + 0.5 * abs(at[j - 1] - expected[i - 1]) + 0.5 * depth[j - 1]
+            cost[i, j] = min(cost[i - 1, j] + miss, take, cost[i, j - 1])
+    out, j = [-1] * b, d
+    i = b
+    while i:
+        if np.isclose(cost[i, j], cost[i - 1, j] + miss):
+            i -= 1
+        elif np.isclose(cost[i, j], cost[i, j - 1]) if j else False:
+            j -= 1
+        else:
+            out[i - 1] = j - 1
+            i, j = i - 1, j - 1
+    return out
+
+
+def frame_pitch(x: np.ndarray, rate: float, low: float, high: float) -> tuple[float, float]:
+    """Pitch in MIDI and confidence of one frame by normalised autocorrelation; nan where there is none."""
+    y = x - x.mean()
+    n = len(y)
+    spectrum = np.fft.rfft(y, 2 * n)
+    power = np.fft.irfft(spectrum * spectrum.conj())[:n]
+    energy = np.cumsum(y**2)
+    lag = np.arange(n)
+    left, right = energy[n - 1 - lag], energy[-1] - np.concatenate([[0.0], energy[:-1]])
+    norm = power / np.maximum(np.sqrt(left * right), 1e-12)
+    lo, hi = max(1, int(rate / high)), min(n - 2, int(rate / low))
+    if hi <= lo:
+        return float("nan"), 0.0
+    peaks = [k for k in range(lo, hi) if norm[k] > norm[k - 1] and norm[k] >= norm[k + 1]]
+    if not peaks:
+        return float("nan"), 0.0
+    top = max(norm[k] for k in peaks)
+    k = next(k for k in peaks if norm[k] >= 0.9 * top)
+    bend = norm[k - 1] - 2 * norm[k] + norm[k + 1]
+    exact = k + (0.5 * (norm[k - 1] - norm[k + 1]) / bend if bend else 0.0)
+    return float(69 + 12 * np.log2(rate / exact / 440)), float(norm[k])
+
+
+def yin_pitch(x: np.ndarray, rate: float, low: float, high: float, limit: float = 0.15) -> tuple[float, float]:
+    """Pitch in MIDI and confidence of one frame by the cumulative mean difference."""
+    n = len(x) // 2
+    diff = np.array([np.sum((x[:n] - x[k : k + n]) ** 2) for k in range(n)])
+    mean = np.ones(n)
+    mean[1:] = diff[1:] * np.arange(1, n) / np.maximum(np.cumsum(diff[1:]), 1e-12)
+    lo, hi = max(2, int(rate / high)), min(n - 1, int(rate / low))
+    if hi <= lo:
+        return float("nan"), 0.0
+    under = [k for k in range(lo, hi) if mean[k] < limit and mean[k] <= mean[k + 1]]
+    k = under[0] if under else lo + int(np.argmin(mean[lo:hi]))
+    bend = mean[k - 1] - 2 * mean[k] + mean[min(k + 1, n - 1)]
+    exact = k + (0.5 * (mean[k - 1] - mean[min(k + 1, n - 1)]) / bend if bend else 0.0)
+    return float(69 + 12 * np.log2(rate / exact / 440)), float(1 - mean[k])
+
+
+def band_energies(x: np.ndarray, bands: int = 8) -> np.ndarray:
+    """Log energy of a frame in bands of equal ratio."""
+    power = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2
+    edges = np.unique(np.round(np.geomspace(1, len(power), bands + 1)).astype(int))
+    return np.log10(np.array([power[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)]) + 1e-9)
