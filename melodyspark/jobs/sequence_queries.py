@@ -213,3 +213,106 @@ def j12_pass_agreement(spark: SparkSession, sf: str) -> DataFrame:
     p = n.where("frame_id % 2 = 1").select("recording_id", F.col("frame_id").alias("other"), (F.col("onset") + 0.5).alias("at"), F.col("lyric").alias("variant"))
     d = interval_join(p, h, ["recording_id"], "at", "lo", "hi", 3.0).where(F.abs(F.col("at") - F.col("onset")) <= 1.2)
     return d.select("frame_id", "other", (F.col("variant") == F.col("lyric")).alias("same"))
+
+
+def _sound_cost(a: str, b: str) -> float:
+    """0 for the same text, .3 for one letter's difference in words of like length, else 1."""
+    if a == b or a[:1] != b[:1]:
+        return float(a != b)
+    return 0.3 if a[:1] == b[:1] and abs(len(a) - len(b)) <= 1 and sum(x != y for x, y in zip(a, b, strict=False)) <= 1 else 1.0
+
+
+@query()
+def h4_h5_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    """Reference words against a hinted and an unprompted pass that each miss or change some: counts of each status by block."""
+    pos = F.col("pos")
+    w = T.words(spark, sf).select("recording_id", F.floor(pos / 24).cast("int").alias("block"), pos.alias("pos"), X.latin_key(F.col("word")).alias("word"), "start", "segment")
+    row = F.struct("pos", "word", "start", "segment")
+    blocks = w.groupBy("recording_id", "block").agg(F.array_sort(F.collect_list(row)).alias("w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rec, block, own in zip(pdf["recording_id"], pdf["block"], pdf["w"], strict=True):
+                p = np.array([x["pos"] for x in own])
+                ref, start = [x["word"] for x in own], np.array([x["start"] for x in own])
+                line = np.array([x["segment"] for x in own])
+                heard = [([("x" + r if k % 11 == 0 else r) for r, k in zip(ref, p, strict=True) if k % drop], start[p % drop != 0] + shift) for drop, shift in ((7, 0.0), (5, 0.1))]
+                status, times = Q.reconcile(ref, line, line // 4, heard, _sound_cost)
+                out.append((rec, block, *(status.count(s) for s in ("heard", "sung-variant", "interpolated", "not-heard")), int(np.isnan(times).sum())))
+            yield pd.DataFrame(out, columns=["recording_id", "block", "heard", "sung_variant", "interpolated", "not_heard", "without_time"])
+
+    return blocks.mapInPandas(run, "recording_id long, block int, heard long, sung_variant long, interpolated long, not_heard long, without_time long")
+
+
+@query()
+def h7_units_to_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The note that carries each lyric unit of a section; units are every second note's word, a fifth without a time."""
+    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "frame_id", "onset", "end", "line")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        unit = p[p["frame_id"] % 2 == 0]
+        want = np.where(unit["frame_id"] % 5 == 0, np.nan, unit["onset"] + 0.1)
+        fresh = np.concatenate([[True], np.diff(unit["line"]) != 0])[: len(unit)]
+        got = Q.align_units(p["onset"].to_numpy(), p["end"].to_numpy(), want, fresh)
+        return pd.DataFrame({"unit": unit["frame_id"], "note": [int(p["frame_id"].iloc[g]) if g >= 0 else None for g in got]})
+
+    return Q.by_key(n, ["recording_id", "section"], ORDER, fn, "unit long, note long")
+
+
+@query()
+def h17_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """The atom table of every recording."""
+    f = T.frames(spark, sf).select("recording_id", "frame_id", "t", "midi", "voiced", "rms")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        rows = Q.atoms(*(p[c].to_numpy() for c in ("t", "midi", "voiced", "rms")))
+        out = pd.DataFrame(rows, columns=["onset", "end", "midi", "median", "glide", "depth"])
+        out.insert(0, "recording_id", p["recording_id"].iloc[0])
+        return out
+
+    return Q.by_key(f, ["recording_id"], ["t", "frame_id"], fn, "recording_id long, onset double, end double, midi int, median double, glide double, depth double")
+
+
+@query()
+def t7_reattacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames where a held sound is struck again, for each recording's loudness as one held pitch."""
+    f = T.frames(spark, sf).select("recording_id", "frame_id", "t", "rms")
+    return Q.by_key(f, ["recording_id"], ["t", "frame_id"], lambda p: p[["frame_id"]].iloc[Q.reattacks(p["rms"].to_numpy())], "frame_id long")
+
+
+_STR = {"g": 'SELECT *, CASE WHEN onset - lag("end") OVER w < 1.2::DOUBLE THEN 0 ELSE 1 END AS new FROM notes WINDOW w AS (PARTITION BY recording_id ORDER BY onset, frame_id)', "h": "SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY onset, frame_id) AS grp FROM g", "st": 'SELECT recording_id, grp, min(onset) AS a, max("end") AS z FROM h GROUP BY ALL', "x": "SELECT *, lead(a) OVER (PARTITION BY recording_id ORDER BY grp) - z AS gap FROM st"}
+
+
+@query(duck("notes", more={**_STR, "e": "SELECT recording_id, min(z) FILTER (WHERE z >= 15 AND gap >= 4) AS first_end, arg_max(z, {'g': gap, 'z': -z}) FILTER (WHERE z BETWEEN 24 AND 45 AND gap IS NOT NULL) AS widest FROM x GROUP BY 1"}, body="SELECT recording_id, round_even(coalesce(CASE WHEN first_end <= 45 THEN first_end END, widest) * 100, 0) / 100 AS excerpt_end FROM e"))
+def w24_excerpt_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Where an excerpt ends: the first stretch of 15 s or later before a long silence, else the widest gap from 24 to 45 s."""
+    from melodyspark.operators.islands import stretches
+
+    st = stretches(T.notes(spark, sf), 1.2, ["recording_id"], ORDER)
+    x = st.withColumn("gap", F.lead("start").over(Window.partitionBy("recording_id").orderBy("grp")) - F.col("end"))
+    z = F.col("end")
+    e = x.groupBy("recording_id").agg(F.min(F.when((z >= 15) & (F.col("gap") >= 4), z)).alias("first"), F.max(F.when(z.between(24, 45) & F.col("gap").isNotNull(), F.struct(F.col("gap"), (-z).alias("n")))).alias("w"))
+    return e.select("recording_id", S.round_to(F.coalesce(F.when(F.col("first") <= 45, F.col("first")), -F.col("w.n")), 2).alias("excerpt_end"))
+
+
+_LOC = {"blk": "SELECT recording_id, section, count(*) AS n, count(*) FILTER (WHERE frame_id % 4 <> 3) AS heard, min(onset) FILTER (WHERE frame_id % 4 <> 3) AS a, max(\"end\") FILTER (WHERE frame_id % 4 <> 3) AS z FROM secnotes GROUP BY ALL", "ok": "SELECT *, lag(z) OVER (PARTITION BY recording_id ORDER BY section) AS pz FROM blk WHERE heard >= greatest(3, 0.3::DOUBLE * n)",
+    "gp": 'SELECT recording_id, pe, onset, (pe + onset) / 2 AS mid FROM (SELECT *, lag("end") OVER (PARTITION BY recording_id ORDER BY onset, frame_id) AS pe FROM notes) WHERE pe IS NOT NULL', "pk": "SELECT o.recording_id, o.section, arg_max(mid, {'g': onset - pe, 'm': mid}) AS mid FROM ok o JOIN gp g ON g.recording_id = o.recording_id AND mid >= pz AND mid <= a GROUP BY ALL"}
+
+
+@query(duck("secnotes", more=_LOC, body="SELECT o.recording_id, o.section, o.heard, round_even(coalesce(p.mid, a) * 1e3, 0) / 1e3 AS start, round_even(z * 1e3, 0) / 1e3 AS \"end\" FROM ok o LEFT JOIN pk p ON p.recording_id = o.recording_id AND p.section = o.section"))
+def h16_locate_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections by their anchored words: absent ones are left out, a boundary sits in the widest silence before the first anchor."""
+    from melodyspark.operators.intervals import interval_join
+
+    n = T.with_section(T.notes(spark, sf))
+    sure = lambda c: F.when(F.col("frame_id") % 4 != 3, F.col(c))
+    blocks = n.groupBy("recording_id", "section").agg(F.count(F.lit(1)).alias("n"), F.count(sure("onset")).alias("heard"), F.min(sure("onset")).alias("a"), F.max(sure("end")).alias("z"))
+    ok = blocks.where(F.col("heard") >= F.greatest(F.lit(3.0), 0.3 * F.col("n"))).withColumn("pz", F.lag("z").over(Window.partitionBy("recording_id").orderBy("section")))
+    prev = F.lag("end").over(Window.partitionBy("recording_id").orderBy(*ORDER))
+    gaps = n.withColumn("pe", prev).where("pe is not null").select("recording_id", (F.col("onset") - F.col("pe")).alias("gap"), ((F.col("pe") + F.col("onset")) / 2).alias("mid"))
+    # the range is closed: its end is moved up by less than any time differs
+    room = ok.where("pz is not null and pz <= a").select("recording_id", "section", "pz", (F.col("a") + 1e-9).alias("upto"))
+    pick = interval_join(gaps, room, ["recording_id"], "mid", "pz", "upto", 20.0).groupBy("recording_id", "section").agg(F.max_by("mid", F.struct("gap", "mid")).alias("mid"))
+    out = ok.join(pick, ["recording_id", "section"], "left")
+    return out.select("recording_id", "section", "heard", S.round_to(F.coalesce("mid", "a"), 3).alias("start"), S.round_to(F.col("z"), 3).alias("end"))

@@ -37,16 +37,19 @@ def align(ref: list[str], heard: list[str], cost: Callable[[str, str], float], g
     n, m = len(ref), len(heard)
     table = np.zeros((n + 1, m + 1))
     table[:, 0], table[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
-    codes: dict[tuple[str, str], float] = {}
+    left, right = sorted(set(ref)), sorted(set(heard))
+    price = np.array([[cost(a, b) for b in right] for a in left]).reshape(len(left), len(right))
+    at, of = {x: k for k, x in enumerate(left)}, {x: k for k, x in enumerate(right)}
+    price = price[np.ix_([at[x] for x in ref], [of[x] for x in heard])]
     for i in range(1, n + 1):
-        row = np.array([codes.setdefault((ref[i - 1], h), cost(ref[i - 1], h)) for h in heard])
+        row = price[i - 1]
         best = np.minimum(table[i - 1, 1:] + gap, table[i - 1, :-1] + row)
         # a run of insertions after the best start: a running minimum of what is left after gaps
         start = np.concatenate([[table[i, 0]], best]) - np.arange(m + 1) * gap
         table[i] = np.minimum.accumulate(start) + np.arange(m + 1) * gap
     out, i, j = [], n, m
     while i or j:
-        if i and j and np.isclose(table[i, j], table[i - 1, j - 1] + codes[ref[i - 1], heard[j - 1]]):
+        if i and j and np.isclose(table[i, j], table[i - 1, j - 1] + price[i - 1, j - 1]):
             i, j = i - 1, j - 1
             out.append((i, j))
         elif i and np.isclose(table[i, j], table[i - 1, j] + gap):
@@ -233,3 +236,142 @@ def band_energies(x: np.ndarray, bands: int = 8) -> np.ndarray:
     power = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2
     edges = np.unique(np.round(np.geomspace(1, len(power), bands + 1)).astype(int))
     return np.log10(np.array([power[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)]) + 1e-9)
+
+
+def chain(options: list[list[tuple[float, float, int]]], line: np.ndarray, verse: np.ndarray, back: float = 0.25, look: int = 60) -> list[int]:
+    """One time for each reference token: the best ordered chain of options.
+
+    ``options[i]`` holds (time, gain, id) of what was heard for token i. Times may step back by
+    ``back`` seconds; they may run ahead by 2.5 s a token and half a second, by three seconds more
+    across lines of a verse, and freely across verses. Returns the chosen id of each token, -1 for none.
+    """
+    nodes = [(i, t, g, k) for i, own in enumerate(options) for t, g, k in own]
+    best, came = [g for _, _, g, _ in nodes], [-1] * len(nodes)
+    for b, (i, t, g, _) in enumerate(nodes):
+        for a in range(max(0, b - look), b):
+            j, s, _, _ = nodes[a]
+            if j == i or t < s - back:
+                continue
+            ahead = 2.5 * (i - j) + 0.5 + (0.0 if line[i] == line[j] else 3.0 if verse[i] == verse[j] else np.inf)
+            if t - s <= ahead and best[a] + g > best[b]:
+                best[b], came[b] = best[a] + g, a
+    out = [-1] * len(options)
+    b = int(np.argmax(best)) if nodes else -1
+    while b >= 0:
+        out[nodes[b][0]] = nodes[b][3]
+        b = came[b]
+    return out
+
+
+def fill_times(times: np.ndarray) -> np.ndarray:
+    """Missing times between two known ones lie on the line between them; open ends stay missing."""
+    known = np.flatnonzero(~np.isnan(times))
+    if len(known) < 2:
+        return times
+    out = np.interp(np.arange(len(times)), known, times[known])
+    out[: known[0]] = out[known[-1] + 1 :] = np.nan
+    return out
+
+
+def reconcile(ref: list[str], line: np.ndarray, verse: np.ndarray, passes: list[tuple[list[str], np.ndarray]], cost: Callable[[str, str], float]) -> tuple[list[str], np.ndarray]:
+    """Status and time of each reference token from the passes: hinted first, then unprompted ones.
+
+    heard: the same text, or its sound; sung-variant: another text that two passes agree on;
+    interpolated: not heard but between heard ones; not-heard.
+    """
+    options: list[list[tuple[float, float, int]]] = [[] for _ in ref]
+    said: list[list[tuple[str, float, float]]] = [[] for _ in ref]
+    for p, (tokens, times) in enumerate(passes):
+        for i, j in align(ref, tokens, cost):
+            if i >= 0 and j >= 0:
+                price = cost(ref[i], tokens[j])
+                said[i].append((tokens[j], times[j], price))
+                if price < 1:
+                    options[i].append((float(times[j]), 1.0 + (0.2 if p else 0.0), len(said[i]) - 1))
+    for i, own in enumerate(said):
+        for k, (word, t, price) in enumerate(own):
+            if price >= 1 and any(word == other for n, (other, _, _) in enumerate(own) if n != k):
+                options[i].append((float(t), 0.7, k))
+    got = chain([sorted(o) for o in options], line, verse)
+    times = np.array([said[i][k][1] if k >= 0 else np.nan for i, k in enumerate(got)])
+    status = ["not-heard" if k < 0 else "heard" if said[i][k][2] < 1 else "sung-variant" for i, k in enumerate(got)]
+    filled = fill_times(times)
+    return ["interpolated" if s == "not-heard" and not np.isnan(f) else s for s, f in zip(status, filled, strict=True)], filled
+
+
+def align_units(onset: np.ndarray, end: np.ndarray, want: np.ndarray, line_start: np.ndarray) -> np.ndarray:
+    """For each lyric unit the note that carries it, -1 if it is dropped; units keep their order.
+
+    A note takes a unit, continues the one before, or is shared by several; a unit may be dropped.
+    Costs: three a second outside the anchor's window of -.25 to +.45 s; 1.5 for a new line that
+    does not follow a breath; .45 for a continuing note, 2.5 after a breath; sharing .5 to 4 by how
+    short the note is; 5 for a dropped unit. ``want`` is the anchor time, nan for none.
+    """
+    n, m = len(onset), len(want)
+    length = end - onset
+    breath = np.concatenate([[True], onset[1:] - end[:-1] >= 0.45]) if n else np.empty(0, bool)
+    share = np.select([length >= 0.9, length >= 0.6, length >= 0.4], [0.5, 1.0, 2.0], 4.0)
+    cost = np.full((n + 1, m + 1), np.inf)
+    how = np.zeros((n + 1, m + 1), int)
+    cost[0] = 5.0 * np.arange(m + 1)
+    how[0, 1:] = 3
+    for i in range(1, n + 1):
+        for j in range(m + 1):
+            late = 0.0 if j == 0 or np.isnan(want[j - 1]) else 3.0 * max(0.0, want[j - 1] - 0.25 - onset[i - 1], onset[i - 1] - want[j - 1] - 0.45)
+            tries = [(cost[i - 1, j] + (2.5 if breath[i - 1] else 0.45), 1)]
+            if j:
+                tries.append((cost[i - 1, j - 1] + late + (1.5 if line_start[j - 1] and not breath[i - 1] else 0.0), 0))
+                tries.append((cost[i, j - 1] + share[i - 1] + late, 2))
+                tries.append((cost[i, j - 1] + 5.0, 3))
+            cost[i, j], how[i, j] = min(tries)
+    out, i, j = np.full(m, -1), n, m
+    while i or j:
+        step = how[i, j]
+        if step == 0:
+            out[j - 1] = i - 1
+            i, j = i - 1, j - 1
+        elif step == 1:
+            i -= 1
+        elif step == 2:
+            out[j - 1] = i - 1
+            j -= 1
+        else:
+            j -= 1
+    return out
+
+
+def atoms(t: np.ndarray, midi: np.ndarray, voiced: np.ndarray, rms: np.ndarray, shortest: int = 2, dip: float = 0.6, spacing: float = 1.0) -> list[tuple]:
+    """Pieces of one pitch: onset, end, midi, median, glide, depth of the dip that begins it (null at a pitch change).
+
+    The state path gives runs of a pitch; a run is cut at spaced loudness minima that lie under
+    ``dip`` of the run's peaks on both sides.
+    """
+    if not len(t):
+        return []
+    path = absorb_short(pitch_states(midi, voiced), shortest)
+    cut = np.flatnonzero(np.diff(path)) + 1
+    out = []
+    for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(t)]]), strict=True):
+        low = [k for k in range(a + 1, b - 1) if rms[k] <= rms[k - 1] and rms[k] < rms[k + 1]]
+        depth = np.array([rms[k] / max(1e-9, min(rms[a:k].max(), rms[k + 1 : b].max())) for k in low])
+        good = np.flatnonzero(depth < dip)
+        kept = good[spaced(depth[good], t[np.array(low, int)[good]], spacing)] if len(good) else good
+        edges = [(a, None), *sorted((low[k], float(depth[k])) for k in kept)]
+        for (x, d), y in zip(edges, [*[e[0] for e in edges[1:]], b], strict=True):
+            third = max(1, (y - x) // 3)
+            own = midi[x:y]
+            out.append((float(t[x]), float(t[y - 1]), int(path[x]), float(np.median(own)), float(np.median(own[-third:]) - np.median(own[:third])), d))
+    return out
+
+
+def reattacks(rms: np.ndarray, near: int = 6, side: int = 25, depth: float = 0.45, least: int = 3) -> list[int]:
+    """Cuts of one held pitch, left to right: minima within ``near`` frames under ``depth`` of both sides' peaks."""
+    out, last, n = [], 0, len(rms)
+    for k in range(1, n - 1):
+        if rms[k] > rms[max(0, k - near) : k + near + 1].min():
+            continue
+        peaks = min(rms[max(0, k - side) : k].max(), rms[k + 1 : k + 1 + side].max())
+        if rms[k] < depth * peaks and k - last >= 2 * least and n - k >= 2 * least:
+            out.append(k)
+            last = k
+    return out

@@ -127,3 +127,27 @@ def test_streaming_steps_do_not_depend_on_batches():
         assert str(state) == str(whole)
         if step is not live.combo_step:
             assert parts == made
+
+
+def test_reconciliation_statuses():
+    ref = ["la", "star", "moon", "sky", "sun", "sea"]
+    line = np.zeros(6, int)
+    hinted = (["la", "star", "sky", "tree", "sea"], np.array([0.0, 1.0, 3.0, 4.0, 5.0]))
+    plain = (["la", "star", "sky", "tree", "sea"], np.array([0.1, 1.1, 3.1, 4.1, 5.1]))
+    status, times = sequences.reconcile(ref, line, line, [hinted, plain], lambda a, b: float(a != b))
+    assert status == ["heard", "heard", "interpolated", "heard", "sung-variant", "heard"]
+    assert (np.diff(times) > 0).all()
+    # a time that runs far ahead of its line is not taken
+    assert sequences.chain([[(0.0, 1.0, 0)], [(50.0, 1.0, 0)], [(2.0, 1.0, 0)]], np.zeros(3, int), np.zeros(3, int)) == [0, -1, 0]
+
+
+def test_units_notes_atoms_and_reattacks():
+    onset, end = np.array([0.0, 1.0, 1.5, 4.0]), np.array([0.9, 1.5, 2.0, 5.0])
+    assert sequences.align_units(onset, end, np.array([0.0, 1.0, 4.0]), np.array([True, False, True])).tolist() == [0, 1, 3]
+    assert sequences.align_units(onset[:1], end[:1], np.array([np.nan, np.nan]), np.array([False, False])).tolist() == [0, 0]
+    t = np.arange(12.0)
+    rms = np.array([1, 1, 1, 0.2, 1, 1, 1, 1, 1, 1, 1, 1.0])
+    got = sequences.atoms(t, np.array([60.0] * 7 + [64.0] * 5), np.ones(12, bool), rms)
+    assert [(a[0], a[2], a[5]) for a in got] == [(0.0, 60, None), (3.0, 60, 0.2), (7.0, 64, None)]
+    assert sequences.reattacks(np.array([1] * 8 + [0.1] + [1] * 8)) == [8]
+    assert sequences.atoms(*(np.empty(0),) * 4) == []
