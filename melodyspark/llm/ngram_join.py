@@ -14,9 +14,8 @@ each (the prefix), and where they first meet, what is left of both must still su
 
 Pairs inside one component are never needed again, so a large group of near copies costs about one
 pair a member and shingle, not all pairs; yet every pair that could link two components is
-verified, so the components are exact. Frequent shingles are found by exact counts inside tasks,
-where only a shingle seen twice in one task is passed on; they decide only the order, never what
-is compared, and at most ``max_frequent`` of the most frequent are broadcast.
+verified, so the components are exact. Frequencies of all shingles are counted; they decide only
+the order, never what is compared, and at most ``max_frequent`` of the most frequent are broadcast.
 
 Defined results: null and empty texts have no shingles and are linked with nothing. Rows with a
 null doc_id are reported and linked with nothing. Rows that repeat a doc_id are rows of their own
@@ -45,24 +44,26 @@ NUM, DEN = 80, 100
 
 @dataclass
 class Order:
-    """Frequent shingles, sorted by hash, with their ranks from the least frequent on."""
+    """Frequent shingles as sorted 40-bit hash prefixes, with their ranks from the least frequent on."""
 
-    hashes: np.ndarray
+    prefixes: np.ndarray
     rank: np.ndarray
 
     def keys(self, h: np.ndarray) -> np.ndarray:
-        """Numbers in the global order."""
+        """Numbers in the global order, different for different hashes but for the lowest bit."""
         out = h >> U64(1)
-        if len(self.hashes):
+        if len(self.prefixes):
             maybe = np.flatnonzero(self._filter[(h >> U64(40)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            found = self.hashes[at] == h[maybe]
-            out[maybe[found]] = (U64(1) << U64(63)) + self.rank[at[found]]
+            own = h[maybe] >> U64(24)
+            at = np.minimum(np.searchsorted(self.prefixes, own), len(self.prefixes) - 1)
+            found = self.prefixes[at] == own
+            low = h[maybe[found]] & U64(0xFFFFFF)
+            out[maybe[found]] = (U64(1) << U64(63)) + (self.rank[at[found]] << U64(24)) + low
         return out
 
     def ready(self) -> Order:
         self._filter = np.zeros(1 << 24, bool)
-        self._filter[(self.hashes >> U64(40)).astype(np.int64)] = True
+        self._filter[(self.prefixes >> U64(16)).astype(np.int64)] = True
         return self
 
 
@@ -87,19 +88,39 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int, order: Order) -> t
     return h, np.searchsorted(row, np.arange(len(at)))
 
 
+def _pack(low: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as differences, byte by byte, compressed."""
+    step = np.diff(low, prepend=low[:1] * 0).astype(np.uint32)
+    return zlib.compress(step.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint64)
+
+
 def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int = 16, block: int = 4_000_000) -> Order:
-    """The most frequent shingles of all distinct sets, at most ``max_frequent``, in their order."""
+    """The shingles that most different sets hold, at most ``max_frequent`` of them, from ``least`` sets on.
+
+    Every shingle of every set is counted, by a 40-bit prefix of its hash. Tasks sort their shingles
+    and pass them on in ranges of hashes, packed to about three bytes each; a range is counted at a
+    time. The number of ranges follows the number of rows.
+    """
     none = Order(np.empty(0, U64), np.empty(0, U64))
+    bits = min(20, max(8, int(texts.count() // 2000).bit_length()))
+    width = U64(40 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate([np.empty(0, U64), *parts]), return_counts=True)
+            t = np.sort(np.concatenate([np.empty(0, U64), *parts]) >> U64(24))
             parts.clear()
-            more = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(keys[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], names=["token", "low"])
+            cut = np.searchsorted(t, np.arange((1 << bits) + 1, dtype=U64) << width)
+            full = np.flatnonzero(np.diff(cut))
+            packed = [_pack(t[cut[r] : cut[r + 1]] - (U64(r) << width)) for r in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(packed, pa.binary())], names=["range", "packed"])
 
         for b in batches:
             for lo, hi, data, at in chunks(b.column(0)):
@@ -114,9 +135,17 @@ def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int
                     yield flush()
         yield flush()
 
-    local = texts.select("text").mapInArrow(run, "token long, low long")
-    table = materialize(local.groupBy("token").agg(F.sum("low").alias("low")).where(F.col("low") >= least), "frequent")
-    powers = table.groupBy(F.floor(F.log2("low")).alias("p")).count().orderBy(F.desc("p")).collect()
+    def count(table: pa.Table) -> pa.Table:
+        r = U64(table["range"][0].as_py())
+        t = np.sort(np.concatenate([_unpack(x) for x in table["packed"].to_pylist()]))
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        df = np.diff(np.append(start, len(t)))
+        often = df >= least
+        return pa.table([pa.array(((r << width) + t[start[often]]).view(np.int64)), pa.array(df[often].astype(np.int64))], names=["prefix", "df"])
+
+    local = texts.select("text").mapInArrow(run, "range long, packed binary")
+    table = materialize(local.groupBy("range").applyInArrow(count, "prefix long, df long"), "frequent")
+    powers = table.groupBy(F.floor(F.log2("df")).alias("p")).count().orderBy(F.desc("p")).collect()
     cut, total = None, 0
     for r in powers:
         total += r["count"]
@@ -125,12 +154,12 @@ def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int
         cut = r["p"]
     if cut is None:
         return none
-    rows = table.where(F.col("low") >= F.lit(2.0 ** int(cut))).toArrow()
-    token, low = rows["token"].to_numpy().view(U64), rows["low"].to_numpy()
-    rank = np.empty(len(token), U64)
-    rank[np.lexsort((token, low))] = np.arange(len(token), dtype=U64)
-    by = np.argsort(token)
-    return Order(token[by], rank[by])
+    rows = table.where(F.col("df") >= F.lit(2.0 ** int(cut))).toArrow()
+    prefix, df = rows["prefix"].to_numpy().view(U64), rows["df"].to_numpy()
+    rank = np.empty(len(prefix), U64)
+    rank[np.lexsort((prefix, df))] = np.arange(len(prefix), dtype=U64)
+    by = np.argsort(prefix)
+    return Order(prefix[by], rank[by])
 
 
 def signatures(texts: DataFrame, size: int, order: Order) -> DataFrame:
