@@ -1,8 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Each line that several documents hold pairs every later holder with the earliest one, so pairs grow
-with the lines that repeat, not with the square of their holders; a pair is known by its rarest
-shared line. The lines of both documents are aligned by patience diff: lines that occur once in
+The result is that of aligning all pairs of documents. Lines with their neighbours up to
+``min_chars`` characters are keys. Each key that several documents hold pairs every later holder
+with the earliest one; where a later holder keeps the line, it is paired with the key's next
+holders, a few and then more a round, until no kept line has an earlier holder it was not aligned
+with. So pairs grow with the lines that repeat, and only lines that no alignment deletes meet all
+their holders. The lines of both documents are aligned by patience diff: lines that occur once in
 each, in increasing order, anchor the alignment, which grows from the anchors and recurses between
 them. Blocks of aligned lines with at least ``min_chars`` characters are deleted from the later
 document. Documents are compared as they came in, not as other pairs leave them.
@@ -17,16 +20,21 @@ that share a doc_id but not a text are ordered by a hash of the text. Extra colu
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from melodyspark.llm.scratch import materialize
 
+#: holders of a key that the second round aligns kept lines with, and the most a round takes; Spark limits such windows before the shuffle up to 1000 rows
+FIRST_HUBS, MOST_HUBS = 4, 512
+
 
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs (i, j) of aligned equal lines by patience diff, increasing in both."""
@@ -86,20 +94,61 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
-    """rk, removed (numbers of lines, from 0) of documents (doc_id, text, rk) that lose any."""
-    trimmed = F.transform(_lines(F.col("text")), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    table = keyed.withColumn("t", trimmed).select(
-        "rk",
-        "doc_id",
-        F.transform("t", lambda x: F.xxhash64(x, F.length(x))).alias("hashes"),
-        F.transform("t", lambda x: F.length(x)).alias("chars"),
-    )
-    table = materialize(table.dropDuplicates(["rk"]), "lines")
-    each = table.select(F.struct("doc_id", "rk").alias("at"), F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "chars"), lambda x: x["chars"] > 0))).alias("line"))
-    holders = each.select("at", F.col("line.hashes").alias("h"))
-    shared = holders.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    pairs = holders.join(shared, "h").where(F.col("at") != F.col("first")).groupBy(F.col("first.rk").alias("a"), F.col("at.rk").alias("b")).agg(F.min("df").alias("rarest"))
+def _around(chars: np.ndarray, real: np.ndarray, lo: int, i: int, hi: int, least: int) -> list[tuple[int, int]]:
+    """Smallest ranges of the lines lo .. hi - 1 that hold line i and ``least`` characters, ends included.
+
+    ``real`` has the numbers of all lines that are not empty; only those, and i, begin or end a range.
+    """
+    below, above = bisect_left(real, i), bisect_right(real, i)
+    right, total = [i], int(chars[i])
+    for y in real[above : above + least]:
+        if y >= hi or total >= least:
+            break
+        right.append(int(y))
+        total += int(chars[y])
+    out, x, own = [(i, right[-1])] if total >= least else [], i, int(chars[i])
+    while own < least and below > 0 and real[below - 1] >= lo:
+        below -= 1
+        x = int(real[below])
+        own, total, grown = own + int(chars[x]), total + int(chars[x]), not out
+        while len(right) > 1 and total - int(chars[right[-1]]) >= least:
+            total -= int(chars[right.pop()])
+            grown = True
+        if grown and total >= least:
+            out.append((x, right[-1]))
+    return out
+
+
+def _spots(table: DataFrame, least: int) -> DataFrame:
+    """at, h, j: line j of document ``at`` is in a smallest range of ``least`` characters with key h.
+
+    A block of that size around a line holds such a range, so documents that share no key of a line
+    never delete it. Keys only choose pairs: a clash costs an alignment and changes no result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            begin = b.column(1).offsets.to_numpy()
+            begin = begin - begin[0]
+            h, chars = (b.column(k).flatten().to_numpy() for k in (1, 2))
+            row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            whole = np.flatnonzero(chars >= least)
+            real = np.flatnonzero(chars > 0)
+            parts = [(i, x, y) for i in np.flatnonzero(chars < least).tolist() for x, y in _around(chars, real, begin[row[i]], i, begin[row[i] + 1], least)]
+            j, x, y = np.array(parts, np.int64).reshape(-1, 3).T
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64), dtype=np.uint64)])
+            key = (sums[y + 1] - sums[x] + (y - x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            j, key = np.concatenate([whole, j]), np.concatenate([h[whole], key])
+            for k in range(0, len(j), 50_000):
+                at = row[j[k : k + 50_000]]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key[k : k + 50_000]), pa.array((j[k : k + 50_000] - begin[at]).astype(np.int32))], names=["at", "h", "j"])
+
+    rows = table.select(F.struct("doc_id", "rk").alias("at"), "hashes", "chars")
+    return rows.mapInArrow(run, T.StructType([rows.schema["at"], T.StructField("h", T.LongType()), T.StructField("j", T.IntegerType())]))
+
+
+def _aligned_away(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
+    """rk, j: the lines that documents b lose to documents a of ``pairs`` (a, b)."""
     left = table.select(F.col("rk").alias("a"), F.col("hashes").alias("ha"))
     right = table.select(F.col("rk").alias("b"), F.col("hashes").alias("hb"), F.col("chars").alias("cb"))
 
@@ -111,7 +160,50 @@ def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
 
     both = pairs.join(right, "b").join(left, "a").select("b", "ha", "hb", "cb")
     gone = both.mapInArrow(run, "rk long, removed array<int>").where(F.size("removed") > 0)
-    return gone.select("rk", F.explode("removed").alias("j")).groupBy("rk").agg(F.collect_set("j").alias("removed"))
+    return gone.select("rk", F.explode("removed").alias("j")).distinct()
+
+
+def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
+    """rk, removed (numbers of lines, from 0) of documents (doc_id, text, rk) that lose any."""
+    trimmed = F.transform(_lines(F.col("text")), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    table = keyed.withColumn("t", trimmed).select(
+        "rk",
+        "doc_id",
+        F.transform("t", lambda x: F.xxhash64(x, F.length(x))).alias("hashes"),
+        F.transform("t", lambda x: F.length(x)).alias("chars"),
+    )
+    table = materialize(table.dropDuplicates(["rk"]), "lines")
+    spots = _spots(table, max(min_chars, 1))
+    shared = spots.groupBy("h").agg(F.min("at").alias("last"), F.max("at").alias("newest")).where(F.col("last") < F.col("newest"))
+    spots = materialize(spots.join(shared.select("h", "last"), "h"), "shared-lines")
+    pairs = materialize(spots.where(F.col("at") > F.col("last")).select(F.col("last.rk").alias("a"), F.col("at.rk").alias("b")).distinct(), "pairs")
+    gone = materialize(_aligned_away(pairs, table, min_chars), "gone")
+
+    def still(rows: DataFrame, lost: DataFrame) -> DataFrame:
+        return materialize(rows.join(lost.select(F.col("rk").alias("_rk"), F.col("j").alias("_j")), (F.col("at.rk") == F.col("_rk")) & (F.col("j") == F.col("_j")), "left_anti"), "kept-lines")
+
+    # ``live``: kept lines that have a holder after ``last``, the latest one their key has been aligned with, and before their own document
+    live = still(spots.where(F.col("at") > F.col("last")), gone)
+    # of documents with the same lines only the earliest can delete what the others cannot
+    leads = None
+    hubs_a_key = FIRST_HUBS
+    while not live.isEmpty():
+        if leads is None:
+            leads = materialize(table.groupBy(F.xxhash64("hashes").alias("same")).agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.rk"), "leads")
+        keys = live.groupBy("h").agg(F.max("last").alias("last"), F.max("at").alias("newest"))
+        found = spots.select("h", "at").join(keys, "h").where((F.col("at") > F.col("last")) & (F.col("at") < F.col("newest")))
+        found = found.select("h", "at", F.col("at.rk").alias("rk")).distinct().join(leads, "rk", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("h").orderBy("at"))
+        hubs = materialize(found.withColumn("n", nth).where(F.col("n") <= hubs_a_key).select("h", F.col("at").alias("hub")), "hubs")
+        new = live.join(hubs, "h").where(F.col("hub") < F.col("at")).select(F.col("hub.rk").alias("a"), F.col("at.rk").alias("b")).distinct()
+        new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        lost = materialize(_aligned_away(new, table, min_chars), "gone")
+        # a key with fewer hubs than were asked for has no further ones
+        ahead = hubs.groupBy("h").agg(F.max("hub").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") == hubs_a_key)
+        live = still(live.drop("last").join(ahead.drop("n"), "h").where(F.col("at") > F.col("last")).select(live.columns), lost)
+        pairs, gone = pairs.unionByName(new), gone.unionByName(lost)
+        hubs_a_key = min(hubs_a_key * 4, MOST_HUBS)
+    return gone.groupBy("rk").agg(F.collect_set("j").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_broadcast: int = 2_000_000) -> DataFrame:
