@@ -1,13 +1,13 @@
 """Quality by perplexity under a modified Kneser-Ney model of trusted text.
 
-Every labelled text of good quality trains one character n-gram model. Its counts, discounts and
-context totals are joined shard by shard, hashed by context; the finished table has a proven bound
+Labelled texts of good quality in folds 1 to 4 train one character n-gram model. Its counts, discounts
+and context totals are joined shard by shard, hashed by context; the finished table has a proven bound
 (see charlm) and documents are scored map-side. A document is kept when its perplexity is at most
-a quantile of the perplexities of trusted texts in its language.
+a quantile of the perplexities of trusted texts in its language that the model never saw, those of fold 0.
 
 Defined results: null and empty texts have no characters, perplexity null, and are not kept. A
-null language is a language of its own; a language without trusted texts takes the quantile over
-all trusted texts. Without any trusted text everything scorable is kept. Labels that are null or
+null language is a language of its own; a language without held-out trusted texts takes the quantile
+over all held-out ones. Where all trusted texts fall on one side, they are learnt from and judged by. Without any trusted text everything scorable is kept. Labels that are null or
 contradict each other are not trusted. Extra columns are never read.
 """
 
@@ -24,14 +24,17 @@ from pyspark.sql import types as T
 from melodyspark.llm import charlm
 from melodyspark.llm.arrowtext import chunks
 from melodyspark.llm.scratch import materialize
+from melodyspark.llm.toxicity import fold
 
 
-def trusted_model(texts: DataFrame) -> charlm.Table | None:
-    """The log-probability table of all trusted texts (column text); None if there are none."""
-    counts = materialize(charlm.count_grams(texts.withColumn("_one", F.lit(0)), "text", "_one"), "trusted-grams")
-    if counts.isEmpty():
-        return None
-    return charlm.log_table(charlm.levels(counts.select("code", F.col("c0").alias("c"))))
+def trusted_model(texts: DataFrame) -> tuple[charlm.Table | None, bool]:
+    """The log-probability table of trusted texts (text, held 0 or 1) that are not held out, None without any text; and whether both sides have some."""
+    counts = materialize(charlm.count_grams(texts, "text", "held"), "trusted-grams")
+    sides = counts.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
+    if not sides["c0"] and not sides["c1"]:
+        return None, False
+    own = F.col("c0" if sides["c0"] else "c1")
+    return charlm.log_table(charlm.levels(counts.where(own > 0).select("code", own.alias("c")))), bool(sides["c0"] and sides["c1"])
 
 
 def log_likelihoods(rows: DataFrame, table: charlm.Table) -> DataFrame:
@@ -52,18 +55,20 @@ def log_likelihoods(rows: DataFrame, table: charlm.Table) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("n_scored", T.LongType()), T.StructField("logp", T.DoubleType())]))
 
 
-def perplexity_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_label_rows: int = 4_000_000) -> DataFrame:
+def perplexity_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_label_rows: int = 4_000_000) -> DataFrame:
     """Per row: doc_id, lang, n_scored, perplexity, threshold of its language, kept."""
     sure = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
     good = sure.where(F.col("_q") == 1).select(F.col("doc_id").alias("_id"))
     text = F.col(text_col).cast("string").alias("text")
-    table = trusted_model(charlm.labelled(docs.select(F.col(id_col).alias("_id"), text), good, "_id", max_label_rows).select("text"))
+    held = (fold("_id") == 0).cast("int").alias("held")
+    table, parted = trusted_model(charlm.labelled(docs.select(F.col(id_col).alias("_id"), text), good, "_id", max_label_rows).select("text", held))
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).alias("row"), text)
     if table is None:
         return rows.select("row.*", F.lit(None).cast("long").alias("n_scored"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length("text") > 0).alias("kept"))
     scored = log_likelihoods(rows, table).select("row.*", "n_scored", F.exp(-F.try_divide("logp", "n_scored")).alias("perplexity"))
     scored = materialize(scored, "perplexity")
-    known = scored.join(good, scored["doc_id"] == good["_id"], "left_semi").where(F.col("perplexity").isNotNull())
+    judges = good.where(fold("_id") == 0) if parted else good
+    known = scored.join(judges, scored["doc_id"] == judges["_id"], "left_semi").where(F.col("perplexity").isNotNull())
     at = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(at.alias("_own"))
     # one row per language: as many rows as languages, small by nature, so left to Spark to broadcast by size
