@@ -196,13 +196,22 @@ def j18_copy_tune(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(duck("words", more={"j": "SELECT *, lower(regexp_replace(word || coalesce(lead(word) OVER w, '') || coalesce(lead(word, 2) OVER w, ''), '[^A-Za-z]', '', 'g')) AS acc FROM words WINDOW w AS (PARTITION BY recording_id ORDER BY pos)"}, body="SELECT recording_id, pos FROM j WHERE starts_with(acc, 'ofthe') OR starts_with(acc, 'dela') OR starts_with(acc, 'inund')"))
 def h12_known_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Places where a known phrase begins, matched across split words."""
+    """Places where one of three fragments begins within three words; the whole rule is h12_drop_known_phrases."""
     w = Window.partitionBy("recording_id").orderBy("pos")
     acc = F.lower(F.regexp_replace(F.concat("word", F.coalesce(F.lead("word").over(w), F.lit("")), F.coalesce(F.lead("word", 2).over(w), F.lit(""))), "[^A-Za-z]", ""))
     j = T.words(spark, sf).select("recording_id", "pos", acc.alias("acc"))
     return j.where(F.col("acc").startswith("ofthe") | F.col("acc").startswith("dela") | F.col("acc").startswith("inund")).select("recording_id", "pos")
 
 
+@query()
+def h12_drop_known_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Words outside the known phrases: the documented list and three fragments that the data has."""
+    from melodyspark.operators import phrases as P
+
+    known = spark.createDataFrame([(p,) for p in (*P.KNOWN, "ofthe", "dela", "inund")], "phrase string")
+    return P.drop_known(T.words(spark, sf).select("recording_id", "pos", "word"), known, ["recording_id"], "pos", "word")
+
+
 @query(duck("notes", more={"h": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE frame_id % 2 = 0 AND lyric <> ''", "p": "SELECT recording_id, frame_id AS other, onset + 0.5::DOUBLE AS at, lyric AS variant FROM notes WHERE frame_id % 2 = 1 AND lyric <> ''"}, body="SELECT h.frame_id, p.other, variant = lyric AS same FROM h JOIN p ON h.recording_id = p.recording_id AND abs(p.at - h.onset) <= 1.2::DOUBLE"))
 def j12_pass_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the hinted pass with those of the unprompted pass within 1.2 s."""
