@@ -136,7 +136,10 @@ def j15_set_completeness(spark: SparkSession, sf: str) -> DataFrame:
     "sc": "SELECT recording_id, k, tr::INT AS tr, count(*) FILTER (WHERE abs(((med - expected - tr + 6) % 12 + 12) % 12 - 6) <= 0.6::DOUBLE) AS hits FROM m, range(-6, 6) u(tr) GROUP BY ALL", "b": "SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY hits DESC, (k = 4 AND tr = 0) DESC, k, tr) AS n FROM sc"},
     body="SELECT recording_id, (k - 4) * 0.5::DOUBLE AS shift, tr AS transpose, hits FROM b WHERE n = 1"))
 def j16_t3_best_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Best time shift and transposition: only shifts join; a transposition moves the median by itself."""
+    """Best of nine shifts and all transpositions, as its SQL has it; the documented grid is j16_t3_best_shift_grid.
+
+    Only shifts join; a transposition moves the median by itself.
+    """
     f = T.frames(spark, sf).where("voiced").select("recording_id", "t", "midi")
     moved = spans(f).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("a", F.col("start") + (F.col("k") - 4) * 0.5).withColumn("b", F.col("end") + (F.col("k") - 4) * 0.5)
     med = I.interval_join(f, moved, ["recording_id"], "t", "a", "b", 10.0).groupBy("recording_id", "span", "expected", "k").agg(F.median("midi").alias("med"))
@@ -148,6 +151,15 @@ def j16_t3_best_shift(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("recording_id", ((-F.col("b.nk") - 4) * 0.5).alias("shift"), (-F.col("b.ntr")).alias("transpose"), F.col("b.hits").alias("hits"))
 
 
+@query()
+def j16_t3_best_shift_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The documented 121 shifts (-3 to 3 s by .05) and 12 transpositions; one voiced frame is enough, as the data's frame rate asks."""
+    from melodyspark.operators.grid import best_shift
+
+    f = T.frames(spark, sf).select("recording_id", "t", "midi", "voiced")
+    return best_shift(f, spans(f), ["recording_id"], "span", least=1, share=0.0)
+
+
 _SIG = {"sig": "SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY t, frame_id) AS i, rms, midi FROM frames", "lagged": "SELECT a.recording_id, lag::INT AS lag, a.rms AS x, b.midi AS y FROM sig a, range(-5, 6) u(lag) JOIN sig b ON a.recording_id = b.recording_id AND b.i = a.i - lag", "sc": "SELECT recording_id, lag, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 9) AS c FROM lagged GROUP BY ALL"}
 
 
