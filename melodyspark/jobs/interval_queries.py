@@ -72,8 +72,18 @@ _ANCHORS = {"anchors": "SELECT recording_id, frame_id, t + 0.37::DOUBLE AS start
 @query(duck("notes", more={**_ANCHORS, "d": "SELECT recording_id, onset - start AS d FROM near WHERE abs(onset - start) <= 1.0"}, body=f"SELECT recording_id, count(*) AS used, {r('CASE WHEN count(*) >= 3 THEN median(d) ELSE 0 END', 4)} AS shift FROM d GROUP BY recording_id"))
 def j6_anchor_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Constant lateness of word times: the median distance to the nearest note onset within a second, from three on."""
-    words = T.frames(spark, sf).where("frame_id % 5 = 0").select("recording_id", "frame_id", (F.col("t") + 0.37).alias("start"))
-    near = I.nearest(words, T.notes(spark, sf), ["recording_id"], "start", "onset", "frame_id")
+    return anchor_shift(T.frames(spark, sf).where("frame_id % 5 = 0"), T.notes(spark, sf))
+
+
+@query()
+def j6_anchor_shift_all(spark: SparkSession, sf: str) -> DataFrame:
+    """j6_anchor_shift with every frame as a word; its SQL, a search for every word, is run by the tests only."""
+    return anchor_shift(T.frames(spark, sf), T.notes(spark, sf))
+
+
+def anchor_shift(frames: DataFrame, notes: DataFrame) -> DataFrame:
+    words = frames.select("recording_id", "frame_id", (F.col("t") + 0.37).alias("start"))
+    near = I.nearest(words, notes, ["recording_id"], "start", "onset", "frame_id")
     d = words.join(near, ["recording_id", "frame_id"]).withColumn("d", F.col("nearest") - F.col("start")).where(F.abs("d") <= 1.0)
     return d.groupBy("recording_id").agg(F.count(F.lit(1)).alias("used"), S.round_to(F.when(F.count(F.lit(1)) >= 3, F.median("d")).otherwise(0.0), 4).alias("shift"))
 
@@ -99,6 +109,16 @@ def j8_words_in_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return I.overlap_join(w, st, ["recording_id"], 0.2, 10.0).select("frame_id", F.col("grp").cast("long").alias("grp"))
 
 
+@query(duck("notes", more={**_STRETCH, "w": "SELECT recording_id, frame_id, t AS lo, t + 0.3::DOUBLE AS hi FROM frames"}, body='SELECT w.frame_id, s.grp::BIGINT AS grp FROM w JOIN stretch s ON w.recording_id = s.recording_id AND hi > s.start - 0.2::DOUBLE AND lo < s."end" + 0.2::DOUBLE'))
+def j8_words_in_stretches_all(spark: SparkSession, sf: str) -> DataFrame:
+    """j8_words_in_stretches with every frame as a word."""
+    from melodyspark.operators.islands import stretches
+
+    st = stretches(T.notes(spark, sf), 1.2, ["recording_id"], ["onset", "frame_id"])
+    w = T.frames(spark, sf).select("recording_id", "frame_id", F.col("t").alias("lo"), (F.col("t") + 0.3).alias("hi"))
+    return I.overlap_join(w, st, ["recording_id"], 0.2, 10.0).select("frame_id", F.col("grp").cast("long").alias("grp"))
+
+
 @query(duck("notes", more={"base": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE lyric <> ''", "other": "SELECT recording_id, onset + 0.4::DOUBLE AS at, lyric, frame_id % 2 AS pass FROM notes WHERE frame_id % 3 <> 0 AND lyric <> ''"}, body="SELECT b.frame_id, count(DISTINCT o.pass) AS support FROM base b JOIN other o ON b.recording_id = o.recording_id AND b.lyric = o.lyric AND abs(o.at - b.onset) < 0.6::DOUBLE GROUP BY b.frame_id"))
 def j11_supported_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words that another pass heard alike within .6 s, with the number of passes."""
@@ -109,6 +129,17 @@ def j11_supported_words(spark: SparkSession, sf: str) -> DataFrame:
     return hit.groupBy("frame_id").agg(F.count_distinct("pass").alias("support"))
 
 
+@query(duck("notes", more={"base": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE lyric <> ''", "other": "SELECT recording_id, onset + late AS at, lyric, pass FROM base, (VALUES (0, 0.4::DOUBLE), (1, 0.7::DOUBLE)) v(pass, late)"}, body="SELECT b.frame_id, count(DISTINCT o.pass) AS support FROM base b JOIN other o ON b.recording_id = o.recording_id AND b.lyric = o.lyric AND abs(o.at - b.onset) < 0.6::DOUBLE GROUP BY b.frame_id"))
+def j11_supported_words_all(spark: SparkSession, sf: str) -> DataFrame:
+    """j11_supported_words with two passes that heard every word, .4 and .7 s late."""
+    n = T.notes(spark, sf).where("lyric <> ''")
+    base = n.select("recording_id", "lyric", "frame_id", "onset", (F.col("onset") - 0.7).alias("a"), (F.col("onset") + 0.7).alias("b"))
+    late = F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.lit(x).alias("late")) for k, x in enumerate((0.4, 0.7))]))
+    other = n.select("recording_id", "lyric", "onset", late.alias("p")).select("recording_id", "lyric", (F.col("onset") + F.col("p.late")).alias("at"), "p.pass")
+    hit = I.interval_join(other, base, ["recording_id", "lyric"], "at", "a", "b", 2.0).where(F.abs(F.col("at") - F.col("onset")) < 0.6)
+    return hit.groupBy("frame_id").agg(F.count_distinct("pass").alias("support"))
+
+
 @query(duck("secnotes", more={"v": "SELECT recording_id, (line % 4)::INT AS pos, section, midi % 12 AS pc, frame_id FROM secnotes", "c": "SELECT recording_id, pos, pc, count(*) AS n FROM v GROUP BY ALL", "own": "SELECT recording_id, pos, section, pc, count(*) AS n FROM v GROUP BY ALL", "sec": "SELECT DISTINCT recording_id, pos, section FROM v",
     "x": "SELECT s.recording_id, s.pos, s.section, c.pc, c.n - coalesce(o.n, 0) AS n FROM sec s JOIN c USING (recording_id, pos) LEFT JOIN own o ON o.recording_id = s.recording_id AND o.pos = s.pos AND o.section = s.section AND o.pc = c.pc", "b": "SELECT *, sum(n) OVER (PARTITION BY recording_id, pos, section) AS total, row_number() OVER (PARTITION BY recording_id, pos, section ORDER BY n DESC, pc) AS k FROM x"},
     body="SELECT recording_id, pos, section, pc::INT AS pc FROM b WHERE k = 1 AND n >= 2 AND n >= 0.2::DOUBLE * total"))

@@ -1,0 +1,19 @@
+"""Queries that take every frame as a word."""
+
+import duckdb
+
+from melodyspark.jobs import catalogue
+from test_queries import SF, TABLES
+
+
+def test_anchor_shift_of_all_frames(spark):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    cut = " WHERE frame_id % 5 = 0"
+    assert cut in catalogue.ORACLES["j6_anchor_shift"]
+    rows = c.execute("SELECT recording_id, used, shift FROM (" + catalogue.ORACLES["j6_anchor_shift"].replace(cut, "") + ")").fetchall()
+    df = catalogue.QUERIES["j6_anchor_shift_all"](spark, SF)
+    assert sorted(map(tuple, df.select("recording_id", "used", "shift").collect())) == sorted(rows)
+    few = catalogue.QUERIES["j6_anchor_shift"](spark, SF)
+    assert sum(r[1] for r in rows) > few.agg({"used": "sum"}).first()[0]
