@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,3 +30,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def same_row(id_col: Column, text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes, equal for rows that agree in id and text; a null is a value of its own."""
+    parts = id_col.isNull(), id_col.cast("string"), text.isNull(), text
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)

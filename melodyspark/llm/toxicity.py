@@ -1,146 +1,118 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary labelled texts each give n-gram counts of their own; both back off to the same
-shortest n-grams, counted over both, so an expression too rare in one class is smoothed by what
-all texts have. Each word of a document gets the log-likelihood ratio of the two models. A toxic document is
-ordinary text with a share of toxic words in it: for a few shares the likelihood of that mixture
-is compared with that of ordinary text, the best share counts, and the log ratio is normalised by
-length. The evidence of labelled rows that no model was trained on is collected in a histogram of
-fixed size; a logistic curve fitted to it turns evidence into a score from 0 to 1.
+Toxic and ordinary labelled texts each give character n-gram counts of their own (see kneserney); both
+back off to the same shortest n-grams, counted over both, so an expression too rare in one class is
+smoothed by what all texts have. A document's evidence is the difference of its log-likelihoods under
+the two models, each divided by its length. The evidence of labelled rows that no model was trained on
+is collected in a histogram of fixed size; a logistic curve, fitted to it under the assumption that some labels are wrong, turns evidence into a score from 0 to 1.
 
 Defined results: null and empty texts have no evidence and get the score of evidence 0. Labels
-that are null, contradict each other or have no document are not learnt from. Labels, language,
-source and id are never inputs of a score. Extra columns pass through.
+that are null, contradict each other or have no document are not learnt from. Without texts of both
+classes every score is 0. Labels, language, source and id are never inputs of a score. Rows that repeat a doc_id are rows of
+their own. Extra columns are never read and, by ``drop_toxic``, passed through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from melodyspark.llm import charlm
-from melodyspark.llm.arrowtext import chunks
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm import kneserney
+from melodyspark.llm.scratch import materialize, same_row
 
-#: shares of toxic words that are tried, and how many of the shortest context lengths the classes share
-SHARES, SHARED = (0.002, 0.006, 0.02, 0.06, 0.2), 2
+#: how many of the shortest orders the classes share
+SHARED = 2
 #: histogram of evidence: bins of this width, from -LIMIT to LIMIT
-BIN, LIMIT = 0.005, 5.0
+BIN, LIMIT = 0.0005, 2.0
 
 
-def fold(id_col: str = "doc_id", folds: int = 5) -> F.Column:
+def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     """The fold of a document: crc32 of its id as text. Fold 0 is held out from all learning."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def _ratio_table(counts: DataFrame) -> charlm.Table:
-    """log p(toxic) - log p(ordinary) of every character class after every context seen."""
-    shared = charlm.levels(counts.select("code", (F.col("c0") + F.col("c1")).alias("c")))
-    longest = charlm.ORDER - 1
-    ctx = shared[longest].ctx
-    logs = []
-    for c in ("c1", "c0"):
-        own = charlm.levels(counts.where(F.col(c) > 0).select("code", F.col(c).alias("c")), shared=shared[:SHARED])
-        logs.append(np.log(charlm.backed(own, ctx, longest)))
-    # a context that neither class has seen says nothing: row 0
-    contexts = [np.zeros(1, np.int64), *[np.empty(0, np.int64)] * (longest - 1), ctx]
-    return charlm.Table(contexts, np.concatenate([np.zeros((1, charlm.SYMBOLS), np.float32), logs[0] - logs[1]]).astype(np.float32))
-
-
-def _document_evidence(ratio: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per row: the best mixture's log ratio over ordinary text, over the root of the words."""
-    rows = len(first) - 1
-    if len(code) == 0:
-        return np.zeros(rows)
-    gap = (code & (charlm.SYMBOLS - 1)) == 0
-    start = np.empty(len(code), bool)
-    start[0], start[1:] = True, gap[:-1]
-    start[first[:-1][first[:-1] < len(code)]] = True
-    begin = np.flatnonzero(start)
-    word = np.exp(np.clip(np.add.reduceat(ratio, begin), -30, 30))
-    at = np.searchsorted(begin, first)
-    best = np.full(rows, -np.inf)
-    for share in SHARES:
-        total = np.concatenate([[0.0], np.cumsum(np.log1p(share * (word - 1)))])
-        best = np.maximum(best, total[at[1:]] - total[at[:-1]])
-    return best / np.sqrt(np.maximum(np.diff(at), 1))
-
-
-def _evidence(rows: DataFrame, table: charlm.Table) -> DataFrame:
-    """``rows`` (row, text) as row and evidence."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for b in batches:
-            out = [np.empty(0)]
-            for _, _, data, at in chunks(b.column(1)):
-                code, first = charlm.grams(data, at)
-                out.append(_document_evidence(table.of(code).astype(np.float64), code, first))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out))], names=["row", "evidence"])
-
-    return rows.select("row", "text").mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("evidence", T.DoubleType())]))
-
-
-def _logistic(bins: list) -> tuple[float, float]:
-    """Slope and offset of p(toxic) = 1 / (1 + exp(-(a x + b))) by Newton's method over a histogram."""
+def _curve(bins: list) -> tuple[float, float, float, float]:
+    """a, b, low, high of p(label 1) = low + (high - low) / (1 + exp(-(a x + b))), from a histogram of evidence.
+
+    Labels may be wrong at any evidence: 1 - high and low are the shares of wrong labels of either kind,
+    found with the curve by expectation and maximisation, so that they do not flatten it.
+    """
     x = np.array([r["bin"] * BIN for r in bins])
     pos, neg = np.array([float(r["pos"]) for r in bins]), np.array([float(r["neg"]) for r in bins])
     if pos.sum() == 0 or neg.sum() == 0:
-        return 100.0, -1.0
-    scale = max(float(np.sqrt(np.average(x**2, weights=pos + neg))), 1e-6)
+        return 100.0, -1.0, 0.0, 1.0
+    n = pos + neg
+    scale = max(float(np.sqrt(np.average(x**2, weights=n))), 1e-6)
     z = np.stack([x / scale, np.ones_like(x)])
-    w, n = np.zeros(2), pos + neg
-    for _ in range(60):
+    w, low, high = np.zeros(2), 0.01, 0.99
+    # the first guess: evidence above its mean in label 1 is toxic
+    true = n * (x > np.average(x, weights=pos + 1e-9))
+    for _ in range(200):
+        old = w.copy()
+        for _ in range(8):
+            p = 1 / (1 + np.exp(-np.clip(w @ z, -35, 35)))
+            step = np.linalg.solve((z * (n * p * (1 - p))) @ z.T + 1e-2 * np.eye(2), z @ (true - n * p) - 1e-2 * w)
+            w = w + np.clip(step, -5, 5)
         p = 1 / (1 + np.exp(-np.clip(w @ z, -35, 35)))
-        grad = z @ (pos - n * p) - 1e-3 * w
-        hess = (z * (n * p * (1 - p))) @ z.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        of_pos = pos * p * high / np.maximum(p * high + (1 - p) * low, 1e-12)
+        of_neg = neg * p * (1 - high) / np.maximum(p * (1 - high) + (1 - p) * (1 - low), 1e-12)
+        true = of_pos + of_neg
+        high = float(np.clip((of_pos.sum() + 1) / (true.sum() + 1.01), 0.6, 1 - 1e-6))
+        low = float(np.clip((pos.sum() - of_pos.sum() + 0.01) / (n.sum() - true.sum() + 1), 1e-6, 0.4))
+        if np.abs(w - old).max() < 1e-6:
             break
-    return float(w[0] / scale), float(w[1])
+    return float(w[0] / scale), float(w[1]), low, high
+
+
+def evidence(docs: DataFrame, labels: DataFrame, row: Column, id_col: str, text_col: str, max_label_rows: int, order: int, hot: int) -> DataFrame | None:
+    """row, n_scored, ordinary and toxic (log-likelihoods a character) of ``docs``; None if a class has no text in folds 1 to 3."""
+    text = F.col(text_col).cast("string").alias("text")
+    train = labels.where(fold("_id").isin(1, 2, 3)).select("_id", F.col("_toxic").alias("label"))
+    known = kneserney.labelled(docs.select(F.col(id_col).alias("_id"), text), train, "_id", "left", max_label_rows)
+    counts = materialize(kneserney.gram_counts(known, 2, order, lower=True), "grams")
+    sides = counts.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
+    if not sides["c0"] or not sides["c1"]:
+        return None
+    model = kneserney.estimate(counts, ["c0", "c1"], SHARED, order)
+    model = materialize(model.select("g", "n", F.log("q_c0").alias("ordinary"), F.log("q_c1").alias("toxic")), "model")
+    scored = kneserney.score(docs.select(row.alias("row"), text), model, ["ordinary", "toxic"], order, lower=True, hot=hot)
+    return scored.select("row", "n_scored", *[F.coalesce(F.try_divide(c, "n_scored"), F.lit(0.0)).alias(c) for c in ("ordinary", "toxic")])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_label_rows: int = 4_000_000) -> DataFrame:
-    """``row`` (a struct of all columns of docs), evidence and score.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_label_rows: int = 4_000_000, order: int = kneserney.ORDER, hot: int = kneserney.HOT) -> DataFrame:
+    """Per row of ``docs``: doc_id, k1 and k2 (hashes of id and text), evidence and score.
 
-    Models learn from folds 1 to 3 of the labelled rows of ``train_docs`` (``docs`` by default),
-    the curve from fold 4, nothing from fold 0.
+    Models learn from folds 1 to 3 of the labelled rows, the curve from fold 4, nothing from fold 0.
     """
-    train = docs if train_docs is None else train_docs
+    k1, k2 = same_row(F.col(id_col), F.col(text_col).cast("string"))
+    row = F.struct(F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
     clean = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("_toxic"), F.max("toxic").alias("_most"))
-    clean = clean.where((F.col("_toxic") == F.col("_most")) & (fold("doc_id") != 0)).select(F.col("doc_id").alias("_id"), F.col("_toxic"), fold("doc_id").alias("_fold"))
-    known = charlm.labelled(train.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), clean, "_id", max_label_rows)
-    counts = materialize(charlm.count_grams(known.where(F.col("_fold") < 4), "text", "_toxic"), "toxic-grams")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    sides = counts.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
-    if not sides["c0"] or not sides["c1"]:
-        return rows.select("row", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score"))
-    table = _ratio_table(counts)
-    fit = _evidence(known.where(F.col("_fold") == 4).select(F.struct("_toxic").alias("row"), "text"), table)
-    binned = fit.select(F.rint(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("evidence"))) / BIN).cast("int").alias("bin"), F.col("row._toxic").alias("y"))
-    a, b = _logistic(binned.groupBy("bin").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect())
-    return _evidence(rows, table).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * F.col("evidence") + F.lit(b)))))
+    clean = clean.where((F.col("_toxic") == F.col("_most")) & (fold("doc_id") != 0)).select(F.col("doc_id").alias("_id"), "_toxic")
+    found = evidence(docs, clean, row, id_col, text_col, max_label_rows, order, hot)
+    if found is None:
+        return docs.select(row.alias("row")).select("row.*", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score"))
+    found = materialize(found.select("row.*", (F.col("toxic") - F.col("ordinary")).alias("evidence")), "evidence")
+    fit = found.join(clean.where(fold("_id") == 4), F.col("doc_id") == F.col("_id"))
+    binned = fit.groupBy(F.rint(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("evidence"))) / BIN).cast("int").alias("bin"))
+    a, b, low, high = _curve(binned.agg(F.sum("_toxic").alias("pos"), F.sum(1 - F.col("_toxic")).alias("neg")).collect())
+    return found.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * F.col("evidence") + F.lit(b)))) * F.lit(high - low) + F.lit(low))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence."""
-    out = score_toxicity(docs, labels, None, id_col, text_col, **params)
-    return out.select(
-        F.col(f"row.{id_col}").alias("doc_id"),
-        F.coalesce(fold(f"row.{id_col}") == 0, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        "evidence",
-    )
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, all columns."""
-    return score_toxicity(docs, labels, None, id_col, text_col, **params).where(F.col("score") < threshold).select("row.*")
+    out = score_toxicity(docs, labels, id_col, text_col, **params)
+    held = F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000, **params: int) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, all columns.
+
+    The keys of rejected rows are broadcast up to ``max_broadcast`` of them and shuffled beyond.
+    """
+    gone = score_toxicity(docs, labels, id_col, text_col, **params).where(F.col("score") >= threshold)
+    gone = materialize(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "toxic")
+    k1, k2 = same_row(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string"))
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
+    return docs.join(gone, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
