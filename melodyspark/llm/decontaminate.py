@@ -167,20 +167,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     if blocks == 1:
         return _scan(docs, text_col, WindowSet.of(table.collect()))
     block = F.pmod(F.xxhash64("window", F.lit(7)), F.lit(blocks))
-    numbered = materialize(docs.withColumn("_row_key", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())), "rows")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    numbered = materialize(whole.withColumn("key", F.monotonically_increasing_id()), "rows")
     parts = None
     for k in range(blocks):
-        part = _scan(numbered.select("_row_key", text_col), text_col, WindowSet.of(table.where(block == k).collect())).select(F.col("row._row_key").alias("_row_key"), "hits")
+        part = _scan(numbered.select("key", F.col(f"row.`{text_col}`").alias("text")), "text", WindowSet.of(table.where(block == k).collect())).select(F.col("row.key").alias("key"), "hits")
         part = part.where((F.col("hits.n_hit") > 0) | F.lit(k == 0))
         parts = part if parts is None else parts.unionByName(part)
-    united = parts.groupBy("_row_key").agg(
+    united = parts.groupBy("key").agg(
         F.max("hits.n_words").alias("n_words"),
         F.flatten(F.collect_list("hits.spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits.items")))).alias("items"),
     )
     hits = F.struct("n_words", _cover(F.col("spans")).alias("n_hit"), "spans", "items").cast(HITS).alias("hits")
-    back = numbered.join(united.select("_row_key", hits), "_row_key")
-    return back.select(F.struct(*[back[f"`{c}`"] for c in docs.columns]).alias("row"), "hits")
+    return numbered.join(united.select("key", hits), "key").select("row", "hits")
 
 
 def is_contaminated(hits: str = "hits", share: int = 20) -> F.Column:

@@ -6,9 +6,9 @@ second digest, and broadcast, so rows of frequent texts are settled map-side and
 shuffle. All other digests go through an ordinary shuffled aggregation and join.
 
 Defined results: null and empty texts are equal (an empty text). Null doc_ids rank below all
-others; a group of null ids only keeps its null rows. Rows that repeat a doc_id are rows of their
-own: each counts in ``group_size`` and each is reported. An empty table gives an empty result.
-Extra columns are never read.
+others. Rows that repeat a doc_id are rows of their own: each counts in ``group_size``, each is
+reported, and of a group only one row is kept. An empty table gives an empty result. Extra columns
+are never read, and passed through by ``exact_dedup``.
 """
 
 from __future__ import annotations
@@ -22,30 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melodyspark.llm.arrowtext import LOWER, strings
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm.scratch import materialize, same_row, without
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (SHA-256 of the normalised text), check (a second digest and the length)."""
+    """doc_id, k1 and k2 (hashes of id and text), digest (SHA-256 of the normalised text), check (a second digest with the length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = strings(b.column(1))
+            data, at = strings(b.column(3))
             base = int(at[0])
             low = memoryview(LOWER[data[base : at[-1]]].tobytes())
             cut = (at - base).tolist()
             parts = [low[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0),
+                    *b.columns[:3],
                     pa.array([hashlib.sha256(p).digest() for p in parts], pa.binary()),
                     pa.array([hashlib.blake2b(p, digest_size=12, key=len(p).to_bytes(8, "little")).digest() for p in parts], pa.binary()),
                 ],
-                names=["doc_id", "digest", "check"],
+                names=["doc_id", "k1", "k2", "digest", "check"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, check binary")
+    text = F.col(text_col).cast("string")
+    k1, k2 = same_row(F.col(id_col), text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, digest binary, check binary")
 
 
 def _trim(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,46 +79,60 @@ def frequent_keys(keyed: DataFrame, key_col: str, counters: int) -> DataFrame:
     return local.groupBy("key").agg(F.sum("low").alias("low"))
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.002, counters: int = 2000) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    ``share``: digests of at least this share of all rows are settled by broadcast. At most
-    1 / (share - 1 / (counters + 1)) candidates can pass, so the broadcast is bounded by the two
-    parameters (about 670 rows by default), whatever the input.
-    """
-    narrow = materialize(digests(docs, id_col, text_col), "digests")
+def _settled(docs: DataFrame, id_col: str, text_col: str, share: float, counters: int) -> DataFrame:
+    """One row per input row: own (doc_id, k1, k2 and a number of the row), keep (that of the row that stays), group_size, digest."""
+    narrow = digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    narrow = materialize(narrow.select(F.struct("doc_id", "k1", "k2", "row").alias("own"), "digest", "check"), "digests")
     keyed = narrow.withColumn("key", F.xxhash64("digest"))
     total = narrow.count()
     least = total * (share - 1 / (counters + 1))
     maybe = frequent_keys(keyed, "key", counters).where(F.col("low") >= F.lit(max(least, 2.0))).select("key")
-    group = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    group = [F.max("own").alias("keep"), F.count(F.lit(1)).alias("group_size")]
     heavy = (
         keyed.join(F.broadcast(maybe), "key", "left_semi")
         .groupBy("digest")
         .agg(*group, F.min("check").alias("c1"), F.max("check").alias("c2"))
         .where((F.col("c1") == F.col("c2")) & (F.col("group_size") >= F.lit(max(total * share, 2.0))))
-        .select("digest", "keep_id", "group_size")
+        .select("digest", "keep", "group_size")
     )
-    heavy = materialize(heavy, "frequent")
-    winners = F.broadcast(heavy)
-    settled = narrow.join(winners, "digest", "inner").select("doc_id", "digest", "keep_id", "group_size")
-    rest = narrow.select("doc_id", "digest").join(winners, "digest", "left_anti")
+    winners = F.broadcast(materialize(heavy, "frequent"))
+    settled = narrow.join(winners, "digest", "inner").select("own", "digest", "keep", "group_size")
+    rest = narrow.select("own", "digest").join(winners, "digest", "left_anti")
     shuffled = rest.join(rest.groupBy("digest").agg(*group), "digest")
-    return settled.unionByName(shuffled.select("doc_id", "digest", "keep_id", "group_size")).select(
-        "doc_id",
-        "keep_id",
+    return settled.unionByName(shuffled.select("own", "digest", "keep", "group_size"))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.002, counters: int = 2000) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``share``: digests of at least this share of all rows are settled by broadcast. At most
+    1 / (share - 1 / (counters + 1)) candidates can pass, so the broadcast is bounded by the two
+    parameters (about 670 rows by default), whatever the input.
+    """
+    return _settled(docs, id_col, text_col, share, counters).select(
+        "own.doc_id",
+        F.col("keep.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("own.row") == F.col("keep.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: float) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.002, counters: int = 2000, max_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; one row of each group of equal texts.
 
-    Rows that repeat both doc_id and text are one row. Rows that share a doc_id but not a text
-    stay together if one of them stays.
+    Rows go by the keys of dropped ones, which are broadcast up to ``max_broadcast``: no text is
+    shuffled but of rows that repeat both doc_id and text, of which one stays.
     """
-    stay = duplicate_groups(docs, id_col, text_col, **params).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    rows = materialize(_settled(docs, id_col, text_col, share, counters).where(F.col("own.row") != F.col("keep.row")).select("own", "keep"), "dropped")
+    same = (F.col("own.k1") == F.col("keep.k1")) & (F.col("own.k2") == F.col("keep.k2"))
+    kept = without(docs, rows.where(~same).select("own.k1", "own.k2"), id_col, text_col, max_broadcast)
+    again = rows.where(same).select("own.k1", "own.k2")
+    if again.isEmpty():
+        return kept
+    once = without(kept, again, id_col, text_col, max_broadcast)
+    again = F.broadcast(again.distinct()) if again.count() <= max_broadcast else again.distinct()
+    k1, k2 = same_row(kept[f"`{id_col}`"], kept[f"`{text_col}`"].cast("string"))
+    whole = kept.select(F.struct(*[kept[f"`{c}`"] for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    one = whole.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return once.unionByName(one.select("row.*"))

@@ -7,12 +7,14 @@ repeated more often than ``max_repeats``. Each source then gets its weight of th
 whole epochs, and of the last epoch a prefix of a permutation of its documents. The permutation is
 cut into blocks of about ``block_docs`` documents; block totals find the block where the budget
 ends, and only inside that block documents are added up one by one, so no source is ever sorted or
-summed in one task.
+summed in one task. What each source comes to is one row of a plan; documents meet it map-side.
 
 Defined results: tokens are words between ASCII white space; a null text has none. A null source
 is a source. A source without tokens has weight 0 and no copies. Documents whose turn falls where
 the budget ends exactly are taken; a document that does not fit ends the prefix. Rows that repeat
-a doc_id are rows of their own, ordered by their tokens. An empty table gives an empty result.
+a doc_id are rows of their own, ordered by their tokens and texts; rows that repeat both are taken or
+left together, so the budget is never overrun. Rows without an id are ordered by their texts. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,11 +71,25 @@ def temperature(sources: DataFrame, budget: float, entropy_share: float, max_rep
     return max(flat, limited) / STEPS
 
 
-def plan_mix(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget: int | None = None, seed: str = "mix", block_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_broadcast: int = 100_000) -> DataFrame:
-    """Per row: doc_id, source, n_tokens, block, copies (how often the mix holds the document)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(text_col).alias("n_tokens")).withColumn("key", key)
-    rows = materialize(rows, "tokens")
+def _placed(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """source, n_tokens, key and tie (which order the documents of a source) and more columns."""
+    text = F.col(f"`{text_col}`").cast("string")
+    tie = F.xxhash64(F.coalesce(text, F.lit("")))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), tie.cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+    return docs.select(*more, F.col(f"`{source_col}`").alias("source"), token_count(f"`{text_col}`").alias("n_tokens"), key.alias("key"), tie.alias("tie"))
+
+
+def _block(blocks: Column) -> Column:
+    return F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * blocks, 32)
+
+
+def _shares(rows: DataFrame, entropy_share: float, max_repeats: float, budget: int | None, block_docs: int, max_broadcast: int) -> DataFrame:
+    """Per source: blocks, full (whole epochs), the block where the last epoch ends, and its last document there.
+
+    Block totals are added up inside runs of blocks and then over the runs; only documents of the one
+    block where a source's budget ends are ordered.
+    """
     sources = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     total = sources.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     aim = total if budget is None else budget
@@ -89,30 +105,63 @@ def plan_mix(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float =
     )
     shares = materialize(shares, "shares")
     small = shares.count() <= max_broadcast
-    own = lambda t: F.broadcast(t) if small else t
-    s = shares.withColumnRenamed("source", "_s")
-    placed = rows.join(own(s), rows["source"].eqNullSafe(s["_s"])).withColumn("block", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("blocks"), 32))
-    placed = placed.select("doc_id", "source", "n_tokens", "key", "full", "rest", "block")
+
+    def with_source(left: DataFrame, table: DataFrame) -> DataFrame:
+        t = table.withColumnRenamed("source", "_s")
+        return left.join(F.broadcast(t) if small else t, left["source"].eqNullSafe(t["_s"])).drop("_s")
+
+    placed = with_source(rows, shares).withColumn("block", _block(F.col("blocks")))
     sums = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = F.sum("t").over(Window.partitionBy("source").orderBy("block"))
-    ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
-    ends = materialize(ends.select(F.col("source").alias("_s"), F.col("e.block").alias("last"), F.col("e.before").alias("before")), "ends")
-    placed = placed.join(own(ends), placed["source"].eqNullSafe(ends["_s"]), "left").drop("_s")
-    edge = F.col("block") == F.col("last")
-    run = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key", "n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = placed.where(edge).withColumn("extra", (F.col("before") + run <= F.col("rest")).cast("long"))
-    around = placed.where(~F.coalesce(edge, F.lit(False))).withColumn("extra", F.coalesce(F.col("block") < F.col("last"), F.lit(True)).cast("long"))
-    return around.unionByName(inside).select("doc_id", "source", "n_tokens", "block", (F.col("full") + F.when(F.col("rest") < 0, 0).otherwise(F.col("extra"))).cast("long").alias("copies"))
+    sums = materialize(sums.withColumn("run", F.expr("block div 4096")), "block-sums")
+    runs = sums.groupBy("source", "run").agg(F.sum("t").alias("t"), F.first("rest").alias("rest"))
+    upto = F.sum("t").over(Window.partitionBy("source").orderBy("run"))
+    first = lambda t, name: t.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct(name, (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
+    ends = first(runs, "run").select("source", F.col("e.run").alias("_run"), F.col("e.before").alias("_before"))
+    inside = with_source(sums, ends).where(F.col("run") == F.col("_run"))
+    upto = F.col("_before") + F.sum("t").over(Window.partitionBy("source").orderBy("block"))
+    ends = materialize(first(inside, "block").select("source", F.col("e.block").alias("last"), F.col("e.before").alias("before")), "ends")
+    edge = with_source(placed, ends).where(F.col("block") == F.col("last"))
+    edge = edge.groupBy("source", "key", "n_tokens", "tie").agg(F.sum("n_tokens").alias("t"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    at = F.struct("key", "n_tokens", "tie")
+    taken = edge.withColumn("upto", F.col("before") + F.sum("t").over(Window.partitionBy("source").orderBy(at))).where(F.col("upto") <= F.col("rest"))
+    cuts = taken.groupBy("source").agg(F.max(at).alias("cut"))
+    a, b, c = shares.alias("a"), ends.alias("b"), cuts.alias("c")
+    out = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").join(c, F.col("a.source").eqNullSafe(F.col("c.source")), "left")
+    return materialize(out.select("a.source", "blocks", "full", "rest", "last", "cut"), "plan")
+
+
+def _copies(rows: DataFrame, plan: DataFrame, max_broadcast: int) -> DataFrame:
+    """``rows`` with block and copies, from the plan of their sources."""
+    p = plan.withColumnRenamed("source", "_s")
+    own = rows.join(F.broadcast(p) if plan.count() <= max_broadcast else p, rows["source"].eqNullSafe(p["_s"])).withColumn("block", _block(F.col("blocks")))
+    before = F.col("last").isNull() | (F.col("block") < F.col("last"))
+    within = (F.col("block") == F.col("last")) & (F.struct("key", "n_tokens", "tie") <= F.col("cut"))
+    extra = F.when(F.col("rest") < 0, 0).when(before | F.coalesce(within, F.lit(False)), 1).otherwise(0)
+    return own.withColumn("copies", (F.col("full") + extra).cast("long")).drop("_s", "blocks", "full", "rest", "last", "cut")
+
+
+def plan_mix(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget: int | None = None, seed: str = "mix", block_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_broadcast: int = 100_000) -> DataFrame:
+    """Per row: doc_id, source, n_tokens, block, copies (how often the mix holds the document)."""
+    rows = materialize(_placed(docs, seed, id_col, text_col, source_col, F.col(f"`{id_col}`").alias("doc_id")), "tokens")
+    plan = _shares(rows, entropy_share, max_repeats, budget, block_docs, max_broadcast)
+    return _copies(rows, plan, max_broadcast).select("doc_id", "source", "n_tokens", "block", "copies")
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of the mix: docs once an epoch, with epoch (from 1) and block_key, which orders blocks.
+def mix(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget: int | None = None, seed: str = "mix", block_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_broadcast: int = 100_000) -> DataFrame:
+    """The rows of the mix: docs once an epoch, with epoch (from 1), block_key and place_key.
 
-    Sorting by block_key and then by a hash of the id reads blocks of all sources in one permuted order.
+    Sorting by block_key and then by place_key reads blocks of all sources in one permuted order, each
+    permuted inside. Where docs has columns of these names, it keeps them and the new ones begin with
+    ``mix_``. Documents meet the plan of their source map-side; no text is shuffled.
     """
-    plan = plan_mix(docs, seed=seed, id_col=id_col, **params).where(F.col("copies") > 0)
-    taken = plan.groupBy("doc_id").agg(F.max("copies").alias("_copies"), F.first("block").alias("_block")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
-    epochs = both.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    block_key = F.md5(F.concat_ws("|", F.lit(seed), F.col("source"), F.col("epoch").cast("string"), F.col("_block").cast("string")).cast("binary"))
-    return epochs.withColumn("block_key", block_key).drop("_id", "_copies", "_block")
+    plan = _shares(materialize(_placed(docs, seed, id_col, text_col, source_col), "tokens"), entropy_share, max_repeats, budget, block_docs, max_broadcast)
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    rows = _copies(_placed(docs, seed, id_col, text_col, source_col, whole), plan, max_broadcast).where(F.col("copies") > 0)
+    epochs = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    hashed = lambda *parts: F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in parts]).cast("binary"))
+    new = {"epoch": F.col("epoch"), "block_key": hashed("source", "epoch", "block"), "place_key": hashed("epoch", "key", "tie")}
+
+    def free(name: str) -> str:
+        return name if name not in docs.columns else free(f"mix_{name}")
+
+    return epochs.select("row.*", *[c.alias(free(name)) for name, c in new.items()])

@@ -36,3 +36,25 @@ def same_row(id_col: Column, text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes, equal for rows that agree in id and text; a null is a value of its own."""
     parts = id_col.isNull(), id_col.cast("string"), text.isNull(), text
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose keys (k1, k2) are in ``gone``: broadcast up to ``max_broadcast`` keys, shuffled beyond."""
+    gone = materialize(gone.select(F.col("k1").alias("_gone1"), F.col("k2").alias("_gone2")).distinct(), "gone")
+    k1, k2 = same_row(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string"))
+    few = gone.count() <= max_broadcast
+    return docs.join(F.broadcast(gone) if few else gone, (k1 == F.col("_gone1")) & (k2 == F.col("_gone2")), "left_anti")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, size_col: str, other: Column, most: int = 1000, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and in ``size_col`` the number of its rows.
+
+    Keys of more than ``most`` rows are dealt over several tasks by ``other``; such keys are at most one
+    in ``most`` of all rows and are broadcast up to ``max_broadcast`` of them.
+    """
+    parts = F.ceil(F.col(size_col) / F.lit(most)).cast("int")
+    big = materialize(table.where(F.col(size_col) > most).select(F.col(key).alias("_key"), parts.alias("_parts")), "big-keys")
+    big = F.broadcast(big) if big.count() <= max_broadcast else big
+    dealt = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1)))).drop("_key", "_parts")
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)).cast("long") - 1))).drop(size_col)
+    return dealt.join(copies, [key, "_part"]).drop("_part")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from melodyspark.llm import kneserney
-from melodyspark.llm.scratch import materialize, same_row
+from melodyspark.llm.scratch import materialize, same_row, without
 
 #: how many of the shortest orders the classes share
 SHARED = 2
@@ -112,7 +112,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
     The keys of rejected rows are broadcast up to ``max_broadcast`` of them and shuffled beyond.
     """
     gone = score_toxicity(docs, labels, id_col, text_col, **params).where(F.col("score") >= threshold)
-    gone = materialize(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "toxic")
-    k1, k2 = same_row(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string"))
-    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
-    return docs.join(gone, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    return without(docs, gone, id_col, text_col, max_broadcast)

@@ -10,9 +10,10 @@ row per URL and bucket carries the latest response of all buckets before. A URL
 all captures is thus spread over its buckets, of about ``bucket_rows`` captures each.
 
 Defined results: captures without a URL or a time are not resolved (status no-response). Of
-responses of one time, the one of the larger record_id is later; a response of the revisit's own
-time is not earlier. Repeated records are records of their own. Without a validator on both sides
-the status is no-validator. An empty table gives an empty result. Extra columns are never read.
+responses of one time, the one of the larger record_id is later; of one record_id, that whose
+payload and validators have the larger hash. A response of the revisit's own time is not earlier.
+Records that repeat a record_id are records of their own: every revisit record gives one row. Without
+a validator on both sides the status is no-validator. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -66,7 +67,9 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def resolve_revisits(records: DataFrame, bucket_rows: int = 500_000) -> DataFrame:
     """Per revisit: record_id, canonical, response_id, status, payload_sha256, headers (sorted "name: value" lines)."""
-    rows = materialize(records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), "t", "etag", "last_modified", "headers", "payload_sha256"), "captures")
+    fields = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), "t", "etag", "last_modified", "headers", "payload_sha256")
+    tie = F.xxhash64(F.coalesce("payload_sha256", F.lit("")), F.coalesce("etag", F.lit("")), F.coalesce(F.col("last_modified").cast("string"), F.lit("")))
+    rows = materialize(fields.withColumn("id", F.struct("record_id", tie.alias("tie"), F.monotonically_increasing_id().alias("row"))), "captures")
     span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     buckets = max(1, -(-span["n"] // bucket_rows))
     width = max(1, (int(span["hi"] or 0) - int(span["lo"] or 0)) // buckets + 1)
@@ -74,20 +77,20 @@ def resolve_revisits(records: DataFrame, bucket_rows: int = 500_000) -> DataFram
     full = (F.col("kind") == "response") & known
     keyed = rows.where(known).withColumn("bucket", F.floor((F.col("t") - F.lit(int(span["lo"] or 0))) / F.lit(width)))
     # what is sorted in windows is ids and times; headers are joined afterwards
-    narrow = keyed.select("canonical", "bucket", "t", "record_id", full.cast("int").alias("is_response"), F.when(full, F.struct("t", "record_id")).alias("seen"))
-    order = Window.partitionBy("canonical", "bucket").orderBy("t", "is_response", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    narrow = keyed.select("canonical", "bucket", "t", "id", full.cast("int").alias("is_response"), F.when(full, F.struct("t", "id")).alias("seen"))
+    order = Window.partitionBy("canonical", "bucket").orderBy("t", "is_response", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = narrow.withColumn("found", F.last("seen", ignorenulls=True).over(order)).where(F.col("is_response") == 0)
     before = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = narrow.groupBy("canonical", "bucket").agg(F.max("seen").alias("seen")).select("canonical", "bucket", F.last("seen", ignorenulls=True).over(before).alias("carried"))
-    matched = inside.join(carried, ["canonical", "bucket"], "left").select("record_id", F.coalesce("found", "carried")["record_id"].alias("response_id")).distinct()
-    stored = rows.where(full).select(F.col("record_id").alias("response_id"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"), F.col("payload_sha256").alias("r_payload")).dropDuplicates(["response_id"])
-    asked = rows.where(F.col("kind") == "revisit").drop("payload_sha256", "kind")
-    out = asked.join(matched, "record_id", "left").join(stored, "response_id", "left")
+    matched = inside.join(carried, ["canonical", "bucket"], "left").select(F.col("id.row").alias("row"), F.coalesce("found", "carried")["id"]["row"].alias("response_row"))
+    stored = rows.where(full).select(F.col("id.row").alias("response_row"), F.col("record_id").alias("response_id"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"), F.col("payload_sha256").alias("r_payload"))
+    asked = rows.where(F.col("kind") == "revisit").withColumn("row", F.col("id.row")).drop("payload_sha256", "kind", "id")
+    out = asked.join(matched, "row", "left").join(stored, "response_row", "left")
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     tags = F.col("etag").isNotNull() & F.col("r_etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("r_modified").isNotNull()
     same = F.when(tags, weak("etag") == weak("r_etag")).when(dates, F.col("last_modified") == F.col("r_modified"))
-    status = F.when(F.col("response_id").isNull(), "no-response").when(same.isNull(), "no-validator").when(same, "resolved").otherwise("validator-mismatch")
+    status = F.when(F.col("response_row").isNull(), "no-response").when(same.isNull(), "no-validator").when(same, "resolved").otherwise("validator-mismatch")
     update = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     kept = F.map_filter(F.coalesce("r_headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(update, k) & v.isNotNull())
     lines = F.array_join(F.array_sort(F.transform(F.map_entries(F.map_concat(kept, update)), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
