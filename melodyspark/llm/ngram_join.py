@@ -17,9 +17,12 @@ pair a member and shingle, not all pairs; yet every pair that could link two com
 verified, so the components are exact. Frequencies of all shingles are counted; they decide only
 the order, never what is compared, and at most ``max_frequent`` of the most frequent are broadcast.
 
+A class is known by its smallest doc_id and a hash of that row's text, so classes differ even where
+rows repeat a doc_id. Texts of a class that meets many others are copied to several tasks.
+
 Defined results: null and empty texts have no shingles and are linked with nothing. Rows with a
 null doc_id are reported and linked with nothing. Rows that repeat a doc_id are rows of their own
-and share its links. Extra columns are never read.
+and share its links: what either text links to is one component. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from melodyspark.llm.arrowtext import SPACED, U64, chunks, windows, words
 from melodyspark.llm.components import components
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm.scratch import materialize, same_row, spread_join
 
 #: similarity as a fraction of whole numbers: 100 * intersection >= 80 * union
 NUM, DEN = 80, 100
@@ -163,13 +166,13 @@ def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int
 
 
 def signatures(texts: DataFrame, size: int, order: Order) -> DataFrame:
-    """doc_id, n, digest of the set, prefix (hashes in the global order)."""
+    """doc_id, k (hash of id and text), n, digest of the set, prefix (hashes in the global order)."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value.ready()
         for b in batches:
-            for lo, hi, data, at in chunks(b.column(1)):
+            for lo, hi, data, at in chunks(b.column(2)):
                 h, first = shingle_sets(data, at, size, order)
                 n = np.diff(first)
                 keep = np.where(n > 0, n - -(-n * NUM // DEN) + 1, 0)
@@ -179,10 +182,10 @@ def signatures(texts: DataFrame, size: int, order: Order) -> DataFrame:
                 raw = h.tobytes()
                 digest = [hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() if j > i else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), prefix], names=["doc_id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:2]], pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), prefix], names=["doc_id", "k", "n", "digest", "prefix"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, prefix array<long>")
+    return texts.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, n long, digest binary, prefix array<long>")
 
 
 def _near(n1: F.Column, i: F.Column, n2: F.Column, j: F.Column) -> F.Column:
@@ -191,20 +194,27 @@ def _near(n1: F.Column, i: F.Column, n2: F.Column, j: F.Column) -> F.Column:
     return (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2)) & (F.least(n1 - i, n2 - j) >= need)
 
 
-def verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, max_broadcast: int = 2_000_000) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar, judged on the whole texts."""
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    ids = materialize(classes.join(ids, "cid").select(F.col("cid").alias("doc_id"), "digest"), "pair-ids")
-    wanted = F.broadcast(ids.select("doc_id")) if ids.count() <= max_broadcast else ids.select("doc_id")
+def _with_text(pairs: DataFrame, packed: DataFrame, side: str, other: str, most: int, max_broadcast: int) -> DataFrame:
+    """``pairs`` with the packed text of one side; texts of more than ``most`` pairs are copied to several tasks."""
+    table = pairs.groupBy(F.col(side).alias("cid")).agg(F.count(F.lit(1)).alias("pairs")).join(packed, "cid").select(F.col("cid").alias(side), "pairs", F.col("packed").alias(f"t{side}"))
+    return spread_join(pairs, table, side, "pairs", F.col(other), most, max_broadcast)
+
+
+def verify(texts: DataFrame, pairs: DataFrame, size: int, max_broadcast: int = 1_000_000, most: int = 100) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, judged on the whole texts."""
+    ids = materialize(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "pair-ids")
+    wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids
     none = Order(np.empty(0, U64), np.empty(0, U64))
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [None if x is None else zlib.compress(x.encode(), 1) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["cid", "packed"])
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    chosen = texts.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(pack, f"doc_id {kind}, packed binary")
+    named = texts.select(F.struct(F.col("doc_id").alias("d"), "k").alias("cid"), "text")
+    chosen = named.join(wanted, "cid", "left_semi").mapInArrow(pack, f"cid {kind}, packed binary").dropDuplicates(["cid"])
+    chosen = materialize(chosen, "pair-texts")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,9 +241,8 @@ def verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, ma
                 lo = hi
             yield pa.RecordBatch.from_arrays([c.take(pa.array(np.concatenate(good))) for c in b.columns[:2]], names=["a", "b"])
 
-    left, right = (chosen.select(F.col("doc_id").alias(k), F.col("packed").alias(f"t{k}")).dropDuplicates([k]) for k in "ab")
-    full = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return full.mapInArrow(judge, f"a {kind}, b {kind}")
+    full = _with_text(_with_text(pairs.select("a", "b"), chosen, "b", "a", most, max_broadcast), chosen, "a", "b", most, max_broadcast)
+    return full.select("a", "b", "ta", "tb").mapInArrow(judge, f"a {kind}, b {kind}")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -242,13 +251,25 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("cid"), F.col("label").alias("_l")), "cid", "left").withColumn("label", F.coalesce("_l", "cid")).drop("_l")
 
 
+def _repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of rows that share a doc_id, None if there are none."""
+    kinds = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
+    kinds = materialize(kinds, "repeated-ids")
+    if kinds.isEmpty():
+        return None
+    theirs = rows.join(kinds, "doc_id", "left_semi").select("doc_id", "n", "digest").distinct().join(classes, ["n", "digest"])
+    first = theirs.groupBy("doc_id").agg(F.min("cid").alias("a"))
+    return materialize(theirs.join(first, "doc_id").where(F.col("cid") != F.col("a")).select("a", F.col("cid").alias("b")).distinct(), "repeated-links")
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, max_frequent: int = 1_000_000, hub_rounds: int = 2) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_id."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_id (digest of the set)."""
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), same_row(F.col(id_col), text)[0].alias("k"), text.alias("text"))
     order = frequent_shingles(texts, size, max_frequent)
     sig = materialize(signatures(texts, size, order), "signatures")
     usable = sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    full = usable.groupBy("n", "digest").agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"))
+    full = usable.groupBy("n", "digest").agg(F.min(F.struct(F.col("doc_id").alias("d"), "k")).alias("cid"), F.first("prefix").alias("prefix"))
     classes = materialize(full.select("cid", "n", "digest", F.xxhash64("prefix").alias("ph")), "classes")
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     followers = materialize(classes.join(groups, ["n", "ph"]).where(F.col("cid") != F.col("gid")).select("cid", "gid", "ph"), "followers")
@@ -265,8 +286,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     places = met.select("token", F.col("gid").alias("cid"), "n", "pos").unionByName(with_followers).unionByName(inside)
     places = materialize(places, "places")
 
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
+    links = _repeated_ids(usable, classes)
+    labels = None if links is None else components(links)
     done: DataFrame | None = None
     for step in range(hub_rounds + 1):
         here = _labelled(places, labels)
@@ -291,18 +312,21 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.unionByName(pairs)
-        fresh = materialize(verify(texts, classes, pairs, size), "verified")
+        fresh = materialize(verify(texts, pairs, size), "verified")
         links = fresh if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh)
         labels = components(links)
     out = sig.select("doc_id", "n", "digest").join(_labelled(classes.select("cid", "n", "digest"), labels).select("n", "digest", "cid", "label"), ["n", "digest"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("class_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label.d", "doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, F.lower(F.hex("digest")).alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000, **params: int) -> DataFrame:
     """One row of each component of ``docs``, the one of the smallest doc_id; all columns.
 
-    Rows without shingles and rows with a null doc_id stay.
+    Rows without shingles and rows with a null doc_id stay, and so do rows that repeat the doc_id that
+    stays. Ids that go are broadcast up to ``max_broadcast`` of them and shuffled beyond.
     """
     found = near_duplicate_components(docs, id_col, text_col, **params)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = materialize(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    few = gone.count() <= max_broadcast
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
