@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm.scratch import materialize, same_row, spread_join
 
 #: holders of a key that the second round aligns kept lines with, and the most a round takes; Spark limits such windows before the shuffle up to 1000 rows
 FIRST_HUBS, MOST_HUBS = 4, 512
@@ -174,8 +174,10 @@ def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
     )
     table = materialize(table.dropDuplicates(["rk"]), "lines")
     spots = _spots(table, max(min_chars, 1))
-    shared = spots.groupBy("h").agg(F.min("at").alias("last"), F.max("at").alias("newest")).where(F.col("last") < F.col("newest"))
-    spots = materialize(spots.join(shared.select("h", "last"), "h"), "shared-lines")
+    shared = spots.groupBy("h").agg(F.min("at").alias("last"), F.max("at").alias("newest"), F.count(F.lit(1)).alias("holders")).where(F.col("last") < F.col("newest"))
+    shared = materialize(shared.select("h", "last", "holders"), "shared-keys")
+    # a very common line meets its first holder in many tasks
+    spots = materialize(spread_join(spots, shared, "h", "holders", F.col("at")), "shared-lines")
     pairs = materialize(spots.where(F.col("at") > F.col("last")).select(F.col("last.rk").alias("a"), F.col("at.rk").alias("b")).distinct(), "pairs")
     gone = materialize(_aligned_away(pairs, table, min_chars), "gone")
 
@@ -209,7 +211,7 @@ def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_broadcast: int = 2_000_000) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, kept_text, removed (numbers of the deleted lines)."""
     text = F.col(text_col).cast("string")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("rk"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), same_row(F.col(id_col), text)[0].alias("rk"))
     gone = materialize(removed_lines(keyed, min_chars), "removed")
     lines = _lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
