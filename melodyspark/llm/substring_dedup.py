@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from melodyspark.llm.arrowtext import SPACED, U64, Words, chunks, joined, mix, powers, windows, words
 from melodyspark.llm.fmindex import repeated_windows
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm.scratch import materialize, same_row, spread_join
 
 GRAM, RUN = 8, 256
 _R = 0xA0761D6478BD642F
@@ -91,7 +91,7 @@ def segments(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("rk"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), same_row(F.col(id_col), text)[0].alias("rk"))
 
 
 def segment_table(keyed: DataFrame, size: int) -> DataFrame:
@@ -179,11 +179,16 @@ def repeated_spans(keyed: DataFrame, size: int = 35, hot: int = 4096, shard_word
     """rk and spans (start, end) of words that repeated windows cover, for documents that have any."""
     spark = keyed.sparkSession
     table = segment_table(keyed, size)
-    twice = table.groupBy("m").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("int"))).alias("c")).where(F.col("c") > 1).select("m")
-    maybe = materialize(table.drop("twice").join(twice, "m", "left_semi"), "segments")
+    twice = table.groupBy("m").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("twice").cast("int")).alias("t"))
+    twice = materialize(twice.where(F.col("rows") + F.col("t") > 1).select("m", "rows"), "minimizers")
+    # the segments of a very common minimizer are dealt over many tasks
+    maybe = materialize(spread_join(table.drop("twice"), twice, "m", "rows", F.col("rk")), "segments")
     distinct = maybe.groupBy("m", "h1", "h2").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("rk", "start", "windows")).alias("at"))
     distinct = materialize(distinct.select("m", "h1", "h2", "weight", "at.*"), "distinct")
     crowded = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("m", F.lit(True).alias("hot"))
+    crowded = materialize(crowded, "crowded")
+    # at most one in ``hot`` of the segments' number
+    crowded = F.broadcast(crowded) if crowded.count() <= max_broadcast else crowded
     asked = distinct.join(crowded, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     requests = asked.groupBy("rk").agg(F.collect_list(F.struct("start", "windows", "h1", "h2", "weight", "hot")).alias("wanted"))
     shard_key = distinct.select("h1", "h2", F.col("m"))
