@@ -34,6 +34,8 @@ from melodyspark.llm.scratch import materialize, same_row, spread_join
 
 #: holders of a key that the second round aligns kept lines with, and the most a round takes; Spark limits such windows before the shuffle up to 1000 rows
 FIRST_HUBS, MOST_HUBS = 4, 512
+#: parts that a key's holders are dealt into before the earliest of all are taken
+PARTS = 16
 
 
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
@@ -163,6 +165,12 @@ def _aligned_away(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFra
     return gone.select("rk", F.explode("removed").alias("j")).distinct()
 
 
+def _first(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The ``n`` earliest rows of each group."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("at"))
+    return rows.withColumn("n", nth).where(F.col("n") <= n).drop("n")
+
+
 def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
     """rk, removed (numbers of lines, from 0) of documents (doc_id, text, rk) that lose any."""
     trimmed = F.transform(_lines(F.col("text")), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
@@ -195,8 +203,9 @@ def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
         keys = live.groupBy("h").agg(F.max("last").alias("last"), F.max("at").alias("newest"))
         found = spots.select("h", "at").join(keys, "h").where((F.col("at") > F.col("last")) & (F.col("at") < F.col("newest")))
         found = found.select("h", "at", F.col("at.rk").alias("rk")).distinct().join(leads, "rk", "left_semi")
-        nth = F.row_number().over(Window.partitionBy("h").orderBy("at"))
-        hubs = materialize(found.withColumn("n", nth).where(F.col("n") <= hubs_a_key).select("h", F.col("at").alias("hub")), "hubs")
+        # first by parts of a key's holders, so that no task reads more than a few times the hubs of a key
+        parts = found.withColumn("part", F.pmod(F.xxhash64("rk"), F.lit(PARTS)))
+        hubs = materialize(_first(_first(parts, hubs_a_key, "h", "part"), hubs_a_key, "h").select("h", F.col("at").alias("hub")), "hubs")
         new = live.join(hubs, "h").where(F.col("hub") < F.col("at")).select(F.col("hub.rk").alias("a"), F.col("at.rk").alias("b")).distinct()
         new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         lost = materialize(_aligned_away(new, table, min_chars), "gone")
