@@ -175,7 +175,7 @@ def _search(table: pa.Table, size: int) -> pa.Table:
     return pa.table([table["k1"], table["k2"], pa.array(ranges, kind)], names=["k1", "k2", "ranges"])
 
 
-def repeated_spans(keyed: DataFrame, size: int = 35, hot: int = 4096, shard_words: int = 1_200_000, max_broadcast: int = 2_000_000) -> DataFrame:
+def repeated_spans(keyed: DataFrame, size: int = 35, hot: int = 1000, shard_words: int = 500_000, max_broadcast: int = 2_000_000) -> DataFrame:
     """rk and spans (start, end) of words that repeated windows cover, for documents that have any."""
     spark = keyed.sparkSession
     table = segment_table(keyed, size)
