@@ -66,18 +66,12 @@ def j5_uncovered_notes(spark: SparkSession, sf: str) -> DataFrame:
     return I.outside(n.select("recording_id", "frame_id", "onset"), charted, ["recording_id"], "onset", "start", "end", 20.0, ["frame_id"]).select("frame_id")
 
 
-_ANCHORS = {"anchors": "SELECT recording_id, frame_id, t + 0.37::DOUBLE AS start FROM frames WHERE frame_id % 5 = 0", "near": "SELECT a.recording_id, a.frame_id, a.start, (SELECT n.onset FROM notes n WHERE n.recording_id = a.recording_id ORDER BY abs(n.onset - a.start), n.onset LIMIT 1) AS onset FROM anchors a"}
+_ANCHORS = {"anchors": "SELECT recording_id, frame_id, t + 0.37::DOUBLE AS start FROM frames", "near": "SELECT a.recording_id, a.frame_id, a.start, (SELECT n.onset FROM notes n WHERE n.recording_id = a.recording_id ORDER BY abs(n.onset - a.start), n.onset LIMIT 1) AS onset FROM anchors a"}
 
 
 @query(duck("notes", more={**_ANCHORS, "d": "SELECT recording_id, onset - start AS d FROM near WHERE abs(onset - start) <= 1.0"}, body=f"SELECT recording_id, count(*) AS used, {r('CASE WHEN count(*) >= 3 THEN median(d) ELSE 0 END', 4)} AS shift FROM d GROUP BY recording_id"))
 def j6_anchor_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Constant lateness of word times: the median distance to the nearest note onset within a second, from three on."""
-    return anchor_shift(T.frames(spark, sf).where("frame_id % 5 = 0"), T.notes(spark, sf))
-
-
-@query()
-def j6_anchor_shift_all(spark: SparkSession, sf: str) -> DataFrame:
-    """j6_anchor_shift with every frame as a word; its SQL, a search for every word, is run by the tests only."""
     return anchor_shift(T.frames(spark, sf), T.notes(spark, sf))
 
 
@@ -100,18 +94,9 @@ def j7_nearest_attack(spark: SparkSession, sf: str) -> DataFrame:
 _STRETCH = {"g": 'SELECT *, CASE WHEN onset - lag("end") OVER w >= 1.2 THEN 1 WHEN lag("end") OVER w IS NULL THEN 1 ELSE 0 END AS new FROM notes WINDOW w AS (PARTITION BY recording_id ORDER BY onset, frame_id)', "h": "SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY onset, frame_id) AS grp FROM g", "stretch": 'SELECT recording_id, grp, min(onset) AS start, max("end") AS "end", count(*) AS notes FROM h GROUP BY ALL'}
 
 
-@query(duck("notes", more={**_STRETCH, "w": "SELECT recording_id, frame_id, t AS lo, t + 0.3::DOUBLE AS hi FROM frames WHERE frame_id % 3 = 0"}, body='SELECT w.frame_id, s.grp::BIGINT AS grp FROM w JOIN stretch s ON w.recording_id = s.recording_id AND hi > s.start - 0.2::DOUBLE AND lo < s."end" + 0.2::DOUBLE'))
-def j8_words_in_stretches(spark: SparkSession, sf: str) -> DataFrame:
-    from melodyspark.operators.islands import stretches
-
-    st = stretches(T.notes(spark, sf), 1.2, ["recording_id"], ["onset", "frame_id"])
-    w = T.frames(spark, sf).where("frame_id % 3 = 0").select("recording_id", "frame_id", F.col("t").alias("lo"), (F.col("t") + 0.3).alias("hi"))
-    return I.overlap_join(w, st, ["recording_id"], 0.2, 10.0).select("frame_id", F.col("grp").cast("long").alias("grp"))
-
-
 @query(duck("notes", more={**_STRETCH, "w": "SELECT recording_id, frame_id, t AS lo, t + 0.3::DOUBLE AS hi FROM frames"}, body='SELECT w.frame_id, s.grp::BIGINT AS grp FROM w JOIN stretch s ON w.recording_id = s.recording_id AND hi > s.start - 0.2::DOUBLE AND lo < s."end" + 0.2::DOUBLE'))
-def j8_words_in_stretches_all(spark: SparkSession, sf: str) -> DataFrame:
-    """j8_words_in_stretches with every frame as a word."""
+def j8_words_in_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frame, as a word of .3 s, with the sung stretches that it meets within .2 s."""
     from melodyspark.operators.islands import stretches
 
     st = stretches(T.notes(spark, sf), 1.2, ["recording_id"], ["onset", "frame_id"])
@@ -119,19 +104,9 @@ def j8_words_in_stretches_all(spark: SparkSession, sf: str) -> DataFrame:
     return I.overlap_join(w, st, ["recording_id"], 0.2, 10.0).select("frame_id", F.col("grp").cast("long").alias("grp"))
 
 
-@query(duck("notes", more={"base": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE lyric <> ''", "other": "SELECT recording_id, onset + 0.4::DOUBLE AS at, lyric, frame_id % 2 AS pass FROM notes WHERE frame_id % 3 <> 0 AND lyric <> ''"}, body="SELECT b.frame_id, count(DISTINCT o.pass) AS support FROM base b JOIN other o ON b.recording_id = o.recording_id AND b.lyric = o.lyric AND abs(o.at - b.onset) < 0.6::DOUBLE GROUP BY b.frame_id"))
-def j11_supported_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words that another pass heard alike within .6 s, with the number of passes."""
-    n = T.notes(spark, sf).where("lyric <> ''")
-    base = n.select("recording_id", "lyric", "frame_id", "onset", (F.col("onset") - 0.7).alias("a"), (F.col("onset") + 0.7).alias("b"))
-    other = n.where("frame_id % 3 <> 0").select("recording_id", "lyric", (F.col("onset") + 0.4).alias("at"), (F.col("frame_id") % 2).alias("pass"))
-    hit = I.interval_join(other, base, ["recording_id", "lyric"], "at", "a", "b", 2.0).where(F.abs(F.col("at") - F.col("onset")) < 0.6)
-    return hit.groupBy("frame_id").agg(F.count_distinct("pass").alias("support"))
-
-
 @query(duck("notes", more={"base": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE lyric <> ''", "other": "SELECT recording_id, onset + late AS at, lyric, pass FROM base, (VALUES (0, 0.4::DOUBLE), (1, 0.7::DOUBLE)) v(pass, late)"}, body="SELECT b.frame_id, count(DISTINCT o.pass) AS support FROM base b JOIN other o ON b.recording_id = o.recording_id AND b.lyric = o.lyric AND abs(o.at - b.onset) < 0.6::DOUBLE GROUP BY b.frame_id"))
-def j11_supported_words_all(spark: SparkSession, sf: str) -> DataFrame:
-    """j11_supported_words with two passes that heard every word, .4 and .7 s late."""
+def j11_supported_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that another pass heard alike within .6 s, with the number of passes: two that heard every word, .4 and .7 s late."""
     n = T.notes(spark, sf).where("lyric <> ''")
     base = n.select("recording_id", "lyric", "frame_id", "onset", (F.col("onset") - 0.7).alias("a"), (F.col("onset") + 0.7).alias("b"))
     late = F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.lit(x).alias("late")) for k, x in enumerate((0.4, 0.7))]))

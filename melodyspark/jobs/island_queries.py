@@ -12,6 +12,7 @@ from melodyspark.jobs.sql import duck, r
 from melodyspark.operators import edits as E
 from melodyspark.operators import islands as L
 from melodyspark.operators import scoring as G
+from melodyspark.operators import voice as V
 from melodyspark.sources import tables as T
 
 KEY, BY = ["recording_id"], ["onset", "frame_id"]
@@ -35,20 +36,17 @@ def w2_stretches(spark: SparkSession, sf: str) -> DataFrame:
 @query(duck("frames", more={"a": f"SELECT *, coalesce(t - lag(t) OVER {_WT} > 1.5::DOUBLE, true)::INT AS new FROM frames WHERE voiced", "b": f"SELECT *, sum(new) OVER {_WT} AS g FROM a", "s": "SELECT recording_id, g, min(t) - 0.01::DOUBLE AS a, max(t) + 0.01::DOUBLE AS z FROM b GROUP BY ALL HAVING max(t) - min(t) + 0.02::DOUBLE >= 0.18::DOUBLE",
     "c": "SELECT *, coalesce(a - lag(z) OVER (PARTITION BY recording_id ORDER BY a) >= 4, true)::INT AS new FROM s", "d": "SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY a) AS sec FROM c"}, body=f"SELECT recording_id, sec::BIGINT AS section, {r('min(a)', 3)} AS start, {r('max(z)', 3)} AS \"end\", count(*) AS spans FROM d GROUP BY recording_id, sec"))
 def w3_voiced_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Voiced spans of frames that lie close, and acoustic sections of spans that lie close; gaps as the data's frame rate asks."""
-    f = T.frames(spark, sf).where("voiced")
-    w = T.by_time()
-    spans = L.islands(f, KEY, ["t", "frame_id"], F.col("t") - F.lag("t").over(w) > 1.5, "g").groupBy("recording_id", "g").agg((F.min("t") - 0.01).alias("a"), (F.max("t") + 0.01).alias("z")).where("z - a >= 0.18")
-    secs = L.islands(spans, KEY, ["a"], F.col("a") - F.lag("z").over(Window.partitionBy("recording_id").orderBy("a")) >= 4, "section")
-    return secs.groupBy("recording_id", "section").agg(S.round_to(F.min("a"), 3).alias("start"), S.round_to(F.max("z"), 3).alias("end"), F.count(F.lit(1)).alias("spans"))
+    """Voiced spans and acoustic sections; gaps as the data's frame rate asks."""
+    secs = V.voiced_sections(T.frames(spark, sf), KEY, ["t", "frame_id"], gap=1.5, merge=4.0)
+    return secs.select("recording_id", "section", S.round_to(F.col("start"), 3).alias("start"), S.round_to(F.col("end"), 3).alias("end"), "spans")
+
 
 
 @query(duck("frames", more={"i": f"SELECT *, row_number() OVER {_WT} AS i FROM frames", "a": "SELECT *, coalesce(i - lag(i) OVER (PARTITION BY recording_id ORDER BY i) > 2, true)::INT AS new FROM i WHERE voiced", "b": "SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY i) AS g FROM a"}, body="SELECT recording_id, min(i) AS first, max(i) AS last, count(*) AS voiced FROM b GROUP BY recording_id, g HAVING max(i) - min(i) + 1 >= 6"))
 def w4_voiced_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of voiced frames over holes of one frame, six frames long or more."""
-    f = T.frames(spark, sf).withColumn("i", F.row_number().over(T.by_time())).where("voiced")
-    runs = L.islands(f, KEY, ["i"], F.col("i") - F.lag("i").over(Window.partitionBy("recording_id").orderBy("i")) > 2)
-    return runs.groupBy("recording_id", "grp").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("voiced")).where("last - first + 1 >= 6").select("recording_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "voiced")
+    return V.voiced_runs(T.frames(spark, sf), KEY, ["t", "frame_id"], hole=1)
+
 
 
 @query("SELECT vec_id, (i - 1)::INT AS hop, round_even(sqrt(list_sum(list_transform(list_slice(embedding, (i - 1) * 5 + 1, (i - 1) * 5 + 25), lambda x: x::DOUBLE * x::DOUBLE)) / 25) * 1e4, 0) / 1e4 AS rms FROM embeddings, unnest(range(1, 9)) AS u(i)")
@@ -75,13 +73,9 @@ def w6_w7_loudness_dips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(duck("frames", more={"i": f"SELECT *, row_number() OVER {_WT} AS i FROM frames", "m": "SELECT *, quantile_cont(midi, 0.5) OVER (PARTITION BY recording_id ORDER BY i RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS mid FROM i WHERE voiced"}, body=f"SELECT frame_id, {r('CASE WHEN midi - mid > 7.5::DOUBLE THEN midi - 12 * ceil((midi - mid - 7.5::DOUBLE) / 12) WHEN mid - midi > 7.5::DOUBLE THEN midi + 12 * ceil((mid - midi - 7.5::DOUBLE) / 12) ELSE midi END', 4)} AS midi FROM m"))
 def w8_octave_slips(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames moved by octaves to within 7.5 semitones of the median of their neighbourhood, all medians of original values."""
-    f = T.frames(spark, sf).withColumn("i", F.row_number().over(T.by_time())).where("voiced")
-    mid = F.percentile("midi", 0.5).over(Window.partitionBy("recording_id").orderBy("i").rangeBetween(-10, 10))
-    f = f.withColumn("mid", mid)
-    over = F.abs(F.col("midi") - F.col("mid")) - 7.5
-    fixed = F.when(over > 0, F.col("midi") - F.signum(F.col("midi") - F.col("mid")) * 12 * F.ceil(over / 12)).otherwise(F.col("midi"))
-    return f.select("frame_id", S.round_to(fixed, 4).alias("midi"))
+    """Frames moved by octaves towards the median of ten frames on either side."""
+    return V.octave_slips(T.frames(spark, sf), KEY, ["t", "frame_id"], near=10).select("frame_id", S.round_to(F.col("fixed"), 4).alias("midi"))
+
 
 
 @query(duck("secnotes", more={"a": "SELECT *, row_number() OVER (PARTITION BY recording_id, section ORDER BY onset, frame_id) AS i, count(*) OVER (PARTITION BY recording_id, section) AS n FROM secnotes"}, body=f"SELECT recording_id, section, {r('median(median) FILTER (WHERE i > n - greatest(1, n // 3)) - median(median) FILTER (WHERE i <= greatest(1, n // 3))', 4)} AS glide FROM a GROUP BY ALL"))
@@ -107,25 +101,20 @@ def w10_colour_change(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(duck("notes", more={"e": "SELECT n.frame_id, min(f.rms) FILTER (WHERE abs(f.t - n.onset) <= 0.5::DOUBLE) AS low, max(f.rms) FILTER (WHERE f.t < n.onset - 0.5::DOUBLE) AS l, max(f.rms) FILTER (WHERE f.t > n.onset + 0.5::DOUBLE) AS h FROM notes n JOIN frames f ON f.recording_id = n.recording_id AND abs(f.t - n.onset) <= 2.0 GROUP BY 1"}, body=f"SELECT frame_id, {r('low / nullif(least(l, h), 0)', 4)} AS edge FROM e WHERE l IS NOT NULL AND h IS NOT NULL"))
 def w11_attack_edge(spark: SparkSession, sf: str) -> DataFrame:
-    """Loudness at a pitch change against the quieter of both sides' peaks; widths as the data's frame rate asks."""
-    from melodyspark.operators.intervals import interval_join
-
+    """Loudness at every note's onset against both sides' peaks; widths as the data's frame rate asks."""
     f = T.frames(spark, sf)
-    n = T.notes_of(f).select("recording_id", "frame_id", "onset", (F.col("onset") - 2.1).alias("a"), (F.col("onset") + 2.1).alias("b"))
-    near = interval_join(f.select("recording_id", "t", "rms"), n, KEY, "t", "a", "b", 5.0).withColumn("d", F.col("t") - F.col("onset")).where(F.abs("d") <= 2.0)
-    pick = lambda agg, c: agg(F.when(c, F.col("rms")))
-    e = near.groupBy("frame_id").agg(pick(F.min, F.abs("d") <= 0.5).alias("low"), pick(F.max, F.col("t") < F.col("onset") - 0.5).alias("l"), pick(F.max, F.col("t") > F.col("onset") + 0.5).alias("h"))
-    return e.where("l is not null and h is not null").select("frame_id", S.round_to(F.try_divide(F.col("low"), F.least("l", "h")), 4).alias("edge"))
+    cuts = T.notes_of(f).select("recording_id", "frame_id", F.col("onset").alias("at"))
+    return V.attack_edge(f, cuts, KEY, near=0.5, reach=2.0, bucket=5.0).select("frame_id", S.round_to(F.col("edge"), 4).alias("edge"))
+
 
 
 @query(duck("notes", more={"a": f'SELECT *, CASE WHEN midi // 4 = lag(midi // 4) OVER {_W} AND onset - lag("end") OVER {_W} <= 1.0 THEN 0 ELSE 1 END AS new FROM notes', "b": f"SELECT *, sum(new) OVER {_W} AS g FROM a"}, body=f"SELECT recording_id, {r('min(onset)', 3)} AS onset, {r('max(\"end\")', 3)} AS \"end\", count(*) AS pieces, {r('sum(median * (\"end\" - onset)) / nullif(sum(\"end\" - onset), 0)', 3)} AS median FROM b GROUP BY recording_id, g"))
 def w12_merge_held(spark: SparkSession, sf: str) -> DataFrame:
-    """Touching notes of a pitch become one; its median is weighted by duration. Four semitones count as a pitch here."""
+    """Touching notes of a pitch become one. Four semitones count as a pitch here."""
     n = T.notes(spark, sf).withColumn("band", F.floor(F.col("midi") / 4).cast("int"))
-    gap = F.col("onset") - F.lag("end").over(Window.partitionBy("recording_id").orderBy(*BY))
-    g = L.islands(n, KEY, BY, L.changed(KEY, BY, "band") | (gap > 1.0))
-    d = F.col("end") - F.col("onset")
-    return g.groupBy("recording_id", "grp").agg(S.round_to(F.min("onset"), 3).alias("onset"), S.round_to(F.max("end"), 3).alias("end"), F.count(F.lit(1)).alias("pieces"), S.round_to(F.try_divide(F.sum(F.col("median") * d), F.sum(d)), 3).alias("median")).drop("grp")
+    m = V.merge_held(n, KEY, BY, pitch="band", gap=1.0)
+    return m.select("recording_id", S.round_to(F.col("onset"), 3).alias("onset"), S.round_to(F.col("end"), 3).alias("end"), "pieces", S.round_to(F.col("median"), 3).alias("median"))
+
 
 
 @query(duck("notes", more={"x": f'SELECT *, lag("end") OVER {_W} AS prev FROM notes'}, body=f"SELECT recording_id, 'note' AS kind, {r('onset', 3)} AS start, {r('\"end\"', 3)} AS \"end\" FROM x UNION ALL SELECT recording_id, 'rest', {r('coalesce(prev, 0)', 3)}, {r('onset', 3)} FROM x WHERE onset > coalesce(prev, 0) UNION ALL SELECT recording_id, 'outro', {r('max(\"end\")', 3)}, 130.0::DOUBLE FROM x GROUP BY recording_id"))
@@ -156,35 +145,32 @@ def w21_even_spread(spark: SparkSession, sf: str) -> DataFrame:
 @query(duck("frames", more={"m": f"SELECT *, sum(voiced::INT) OVER (PARTITION BY recording_id ORDER BY t, frame_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10.0::DOUBLE AS run FROM frames"}, body=f"SELECT recording_id, {r('min(t) - 0.15::DOUBLE', 3)} AS first_voice FROM m WHERE run > 0.8::DOUBLE GROUP BY 1"))
 def w22_first_voice(spark: SparkSession, sf: str) -> DataFrame:
     """First moment of sustained voice: a centred moving mean over ten frames, zeros beyond the ends."""
-    run = F.sum(F.col("voiced").cast("int")).over(T.by_time().rowsBetween(-5, 4)) / F.lit(10.0)
-    return T.frames(spark, sf).withColumn("run", run).where("run > 0.8").groupBy("recording_id").agg(S.round_to(F.min("t") - 0.15, 3).alias("first_voice"))
+    return V.first_voice(T.frames(spark, sf), KEY, ["t", "frame_id"], span=10).select("recording_id", S.round_to(F.col("first_voice"), 3).alias("first_voice"))
+
 
 
 @query(duck("secnotes", more={"s": 'SELECT recording_id, section, min(onset) AS a, max("end") AS z FROM secnotes GROUP BY ALL', "f": "SELECT *, first_value(a) OVER w AS a0, lag(z) OVER w AS prev_z, lead(a) OVER w AS next_a FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY section)", "c": "SELECT * FROM f WHERE prev_z IS NULL OR prev_z - a0 < 30",
     "q": "SELECT recording_id, a0, max(z) AS z, count(*) AS sections, arg_max(next_a, section) AS nxt FROM c GROUP BY ALL"}, body=f"SELECT recording_id, sections, {r('CASE WHEN a0 > 6 THEN a0 - 4 ELSE 0 END', 2)} AS start, {r('CASE WHEN coalesce(nxt, 130) - z >= 0.6::DOUBLE THEN least(z + 1.4::DOUBLE, coalesce(nxt, 130) - 0.05::DOUBLE) ELSE greatest(z, coalesce(nxt, 130) - 0.02::DOUBLE) END', 2)} AS \"end\" FROM q"))
 def w23_quick_part(spark: SparkSession, sf: str) -> DataFrame:
     """The first sections until their singing spans 30 s, with lead-in and ending."""
-    w = Window.partitionBy("recording_id").orderBy("section")
     s = T.with_section(T.notes(spark, sf)).groupBy("recording_id", "section").agg(F.min("onset").alias("a"), F.max("end").alias("z"))
-    s = s.withColumn("a0", F.first("a").over(w)).withColumn("pz", F.lag("z").over(w)).withColumn("na", F.lead("a").over(w)).where(F.col("pz").isNull() | (F.col("pz") - F.col("a0") < 30))
-    q = s.groupBy("recording_id", "a0").agg(F.max("z").alias("z"), F.count(F.lit(1)).alias("sections"), F.coalesce(F.max_by("na", "section"), F.lit(130.0)).alias("nxt"))
-    end = F.when(F.col("nxt") - F.col("z") >= 0.6, F.least(F.col("z") + 1.4, F.col("nxt") - 0.05)).otherwise(F.greatest(F.col("z"), F.col("nxt") - 0.02))
-    return q.select("recording_id", "sections", S.round_to(F.when(F.col("a0") > 6, F.col("a0") - 4).otherwise(0.0), 2).alias("start"), S.round_to(end, 2).alias("end"))
+    q = V.quick_part(s, KEY, "section", F.lit(130.0), span=30.0)
+    return q.select("recording_id", "sections", S.round_to(F.col("start"), 2).alias("start"), S.round_to(F.col("end"), 2).alias("end"))
+
 
 
-@query(duck("secnotes", more={"i": f"SELECT *, row_number() OVER {_W} - 1 AS i FROM secnotes WHERE frame_id % 9 <> 0"}, body="SELECT recording_id, section, min(i)::INT AS first_note, max(i)::INT AS last_note FROM i GROUP BY ALL"))
+@query(duck("secnotes", more={"i": f"SELECT *, row_number() OVER {_W} - 1 AS i FROM secnotes"}, body="SELECT recording_id, section, min(i)::INT AS first_note, max(i)::INT AS last_note FROM i GROUP BY ALL"))
 def w26_reindex(spark: SparkSession, sf: str) -> DataFrame:
-    n = T.with_section(T.notes(spark, sf)).where("frame_id % 9 != 0").withColumn("i", F.row_number().over(Window.partitionBy("recording_id").orderBy(*BY)) - 1)
+    n = T.with_section(T.notes(spark, sf)).withColumn("i", F.row_number().over(Window.partitionBy("recording_id").orderBy(*BY)) - 1)
     return n.groupBy("recording_id", "section").agg(F.min("i").alias("first_note"), F.max("i").alias("last_note"))
 
 
 @query(duck("score", more={"e": "SELECT song, seq, midi % 3 AS pitch, o_orderkey, (o_orderkey % 2 = 1) AS is_on, sum(dur) OVER (PARTITION BY song ORDER BY seq) AS clock FROM score", "p": "SELECT *, lead(clock) OVER w AS off, lead(is_on) OVER w AS next_on FROM e WINDOW w AS (PARTITION BY song, pitch ORDER BY seq)"}, body="SELECT o_orderkey, clock::BIGINT AS start, (off - clock)::BIGINT AS dur FROM p WHERE is_on AND next_on = false"))
 def w27_note_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """On events with the off event that follows on the same track and pitch, on a running clock."""
-    e = T.score_events(spark, sf).withColumn("pitch", F.col("midi") % 3).withColumn("on", F.col("o_orderkey") % 2 == 1).withColumn("clock", F.sum("dur").over(Window.partitionBy("song").orderBy("seq")))
-    w = Window.partitionBy("song", "pitch").orderBy("seq")
-    p = e.withColumn("off", F.lead("clock").over(w)).withColumn("next_on", F.lead("on").over(w))
-    return p.where(F.col("on") & ~F.col("next_on")).select("o_orderkey", F.col("clock").alias("start"), (F.col("off") - F.col("clock")).alias("dur"))
+    """On events with the off event that follows on the same track and pitch, on a running clock; three pitches a song."""
+    e = T.score_events(spark, sf).withColumn("pitch", F.col("midi") % 3).withColumn("is_on", F.col("o_orderkey") % 2 == 1).withColumn("velocity", F.lit(64)).withColumnRenamed("dur", "delta")
+    return V.note_pairs(e, ["song", "pitch"], ["song"], "seq").select("o_orderkey", "start", "dur")
+
 
 
 @query(duck("score", more={"a": "SELECT *, CASE WHEN lag(tie) OVER (PARTITION BY song ORDER BY seq) THEN 0 ELSE 1 END AS new FROM score", "b": "SELECT *, sum(new) OVER (PARTITION BY song ORDER BY seq) AS g FROM a"}, body="SELECT song, min(seq)::INT AS seq, arg_min(midi, seq) AS midi, sum(dur)::BIGINT AS dur, count(*) AS tied FROM b GROUP BY song, g"))
@@ -260,3 +246,35 @@ def a25_typed_run(spark: SparkSession, sf: str) -> DataFrame:
     early = F.col("done") <= F.col("onset")
     points = F.when(early, 100 + F.when(F.col("onset") - F.col("done") <= 0.3 + 1e-9, 25).otherwise(0)).otherwise(0)
     return n.groupBy("recording_id").agg(F.count_if(early).alias("prepared"), F.sum(points).alias("points"), S.round_to(F.sum(F.length("lyric")) / 5.0 / (F.sum(F.col("end") - F.col("onset")) / 60), 2).alias("wpm"))
+
+
+@query("""WITH b AS (SELECT label, vec_id * 0.005::DOUBLE AS t, embedding FROM embeddings), c AS (SELECT label, vec_id * 0.005::DOUBLE AS cut FROM embeddings WHERE vec_id % 40 = 20),
+x AS (SELECT c.label, cut, t < cut AS before, i, embedding[i]::DOUBLE AS v FROM c JOIN b ON b.label = c.label AND ((t >= cut - 1.5::DOUBLE - 6.0::DOUBLE AND t < cut - 1.5::DOUBLE) OR (t > cut + 1.5::DOUBLE AND t <= cut + 1.5::DOUBLE + 6.0::DOUBLE)), unnest(range(1, 65)) AS u(i)),
+m AS (SELECT label, cut, i, avg(v) FILTER (WHERE before) AS a, avg(v) FILTER (WHERE NOT before) AS z, count(*) FILTER (WHERE before) AS n, count(*) FILTER (WHERE NOT before) AS k FROM x GROUP BY ALL),
+g AS (SELECT label, cut, CASE WHEN min(n) >= 3 AND min(k) >= 3 THEN 1 - corr(a, z) ELSE 0 END AS colour FROM m GROUP BY ALL)
+SELECT c.label, round_even(c.cut * 1e3, 0) / 1e3 AS "at", round_even(coalesce(colour, 0) * 1e3, 0) / 1e3 AS colour FROM c LEFT JOIN g USING (label, cut)""")
+def w10_colour_change_at_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Change of the band vectors' shape across cuts of each label's series, one vector in 5 ms; sides as the data's density asks."""
+    v = T.table(spark, sf, "embeddings").withColumn("t", F.col("vec_id") * 0.005)
+    cuts = v.where("vec_id % 40 = 20").select("label", F.col("t").alias("at"))
+    c = V.colour_change(v.withColumnRenamed("embedding", "bands"), cuts, ["label"], guard=1.5, side=6.0, bucket=30.0)
+    return c.select("label", S.round_to(F.col("at"), 3).alias("at"), S.round_to(F.col("colour"), 3).alias("colour"))
+
+
+@query(duck("words", more={"g": "SELECT recording_id, pos, CASE WHEN pos % 5 < 3 THEN start END AS s, CASE WHEN pos % 5 < 3 THEN \"end\" END AS e FROM words", "k": "SELECT *, last_value(CASE WHEN s IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS bi, last_value(e IGNORE NULLS) OVER w AS be, first_value(CASE WHEN s IS NOT NULL THEN pos END IGNORE NULLS) OVER v AS ai, first_value(s IGNORE NULLS) OVER v AS \"as\" FROM g WINDOW w AS (PARTITION BY recording_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY recording_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"},
+    body=f"SELECT recording_id, pos, {r('coalesce(s, be + (\"as\" - be) * (pos - bi - 0.5::DOUBLE) / (ai - bi)::DOUBLE)', 3)} AS start, CASE WHEN s IS NOT NULL THEN 'known' WHEN bi IS NOT NULL AND ai IS NOT NULL THEN 'interpolated' ELSE 'none' END AS anchor FROM k"))
+def w20_fill_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of words that two in five lack, between the end of the word before and the start of the next."""
+    known = F.col("pos") % 5 < 3
+    w = T.words(spark, sf).select("recording_id", "pos", F.when(known, F.col("start")).alias("start"), F.when(known, F.col("end")).alias("end"))
+    return V.fill_times(w, KEY, "pos").select("recording_id", "pos", S.round_to(F.col("start"), 3).alias("start"), "anchor")
+
+
+@query("""WITH c AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk, embedding FROM embeddings), x AS (SELECT label, chunk * 64 + i - 1 AS p, embedding[i]::DOUBLE AS v FROM c, unnest(range(1, 65)) AS u(i)),
+s AS (SELECT label, p, sum(v * v) OVER (PARTITION BY label ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS e, count(*) OVER (PARTITION BY label) AS n FROM x)
+SELECT label, (p // 5)::BIGINT AS hop, round_even(sqrt(greatest(e, 0) / 25) * 1e4, 0) / 1e4 AS rms FROM s WHERE p % 5 = 0 AND p // 5 < (n - 25) // 5""")
+def w5_sliding_loudness_of_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Loudness over 25 samples every 5 of each label's vectors as the chunks of one signal at 1 kHz."""
+    number = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    c = T.table(spark, sf, "embeddings").select("label", number.alias("chunk"), F.col("embedding").alias("samples"))
+    return V.sliding_loudness(c, ["label"], 1000).select("label", "hop", S.round_to(F.col("rms"), 4).alias("rms"))

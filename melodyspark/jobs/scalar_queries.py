@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from melodyspark.functions import scalars as S
@@ -106,10 +109,56 @@ def p14_skeleton(spark: SparkSession, sf: str) -> DataFrame:
     "s": "SELECT *, list_reduce(list_prepend('', string_split(regexp_replace(va, '[aeiouh]', '', 'g'), '')), lambda x, c: CASE WHEN right(x, 1) = c THEN x ELSE x || c END) AS ka, list_reduce(list_prepend('', string_split(regexp_replace(vb, '[aeiouh]', '', 'g'), '')), lambda x, c: CASE WHEN right(x, 1) = c THEN x ELSE x || c END) AS kb FROM v"},
     body="""SELECT recording_id, pos, CASE WHEN a = b THEN 'exact' WHEN a <> '' AND b <> '' AND (va = vb OR (ka = kb AND (ka <> '' OR substr(regexp_replace(a, '^h+', ''), 1, 1) = substr(regexp_replace(b, '^h+', ''), 1, 1)))) THEN 'homophone' ELSE 'different' END AS relation FROM s"""))
 def p15_word_relation(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact, same sound or different, for each word and the next. The spelling ratio is applied by the alignment helper."""
-    n = T.words(spark, sf).withColumn("next", F.lead("word").over(Window.partitionBy("recording_id").orderBy("pos"))).where("next is not null")
-    a, b = X.latin_key(F.col("word")), X.latin_key(F.col("next"))
-    return n.select("recording_id", "pos", F.when(a == b, "exact").when(X.same_sound(a, b), "homophone").otherwise("different").alias("relation"))
+    """Exact, same sound or different, for each word and the next; the whole rule is p15_spelling_relation."""
+    n = _word_pairs(spark, sf)
+    return n.select("recording_id", "pos", F.when(F.col("x.a") == F.col("y.a"), "exact").when(_one_sound(F.col("x"), F.col("y")), "homophone").otherwise("different").alias("relation"))
+
+
+def _word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word and the next as x and y: key, voiced form, outline and first letter, worked out once a word."""
+    key = X.latin_key(F.col("word"))
+    w = T.words(spark, sf).select("recording_id", "pos", key.alias("a"), F.translate(key, *X.VOICED).alias("v"), X.skeleton(key).alias("k"), F.substring(F.regexp_replace(key, "^h+", ""), 1, 1).alias("f"))
+    w = w.select("recording_id", "pos", F.struct("a", "v", "k", "f").alias("x"))
+    return w.withColumn("y", F.lead("x").over(Window.partitionBy("recording_id").orderBy("pos"))).where("y is not null")
+
+
+def _one_sound(x: Column, y: Column) -> Column:
+    outline = (x["k"] == y["k"]) & ((x["k"] != "") | (x["f"] == y["f"]))
+    return (x["a"] != "") & (y["a"] != "") & ((x["v"] == y["v"]) | outline)
+
+
+@query()
+def p15_spelling_relation(spark: SparkSession, sf: str) -> DataFrame:
+    """As p15_word_relation, and spellings alike to .8 count as one sound; the ratio is worked out once for each pair of words."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    n = _word_pairs(spark, sf).select("recording_id", "pos", F.col("x.a").alias("a"), F.col("y.a").alias("b"), _one_sound(F.col("x"), F.col("y")).alias("same"))
+    unsure = (F.col("a") != F.col("b")) & ~F.col("same") & (F.greatest(F.length("a"), F.length("b")) >= 4) & (F.col("a") != "") & (F.col("b") != "")
+    # twice what both hold of each letter bounds the ratio by length alone
+    unsure = unsure & (2 * F.least(F.length("a"), F.length("b")) >= 0.8 * (F.length("a") + F.length("b")))
+    alike = n.where(unsure).select("a", "b").distinct().withColumn("r", ratio("a", "b")).where("r >= 0.8").select("a", "b", F.lit(True).alias("alike"))
+    found = n.join(alike, ["a", "b"], "left")
+    return found.select("recording_id", "pos", F.when(F.col("a") == F.col("b"), "exact").when(F.col("same") | F.col("alike"), "homophone").otherwise("different").alias("relation"))
+
+
+@query()
+def p16_spread_syllables(spark: SparkSession, sf: str) -> DataFrame:
+    """A word's time spread evenly over its English syllables."""
+    w = T.words(spark, sf).withColumn("parts", X.english_syllables(F.col("word"))).where(F.size("parts") > 0)
+    w = w.select("recording_id", "pos", "start", "end", F.size("parts").alias("k"), F.posexplode("parts").alias("q", "syllable"))
+    at = lambda q: S.round_to(F.col("start") + (F.col("end") - F.col("start")) / F.col("k") * q, 4)
+    return w.select("recording_id", "pos", "q", "syllable", at(F.col("q")).alias("start"), at(F.col("q") + 1).alias("end"))
+
+
+@query(duck("words", more={"f": "SELECT *, coalesce(NOT regexp_matches(lower(lag(word) OVER w), '[aeiouy]') AND regexp_matches(lag(word) OVER w, '^[A-Za-z]') AND regexp_matches(word, '^[A-Za-z]') AND lag(\"end\") OVER w >= start - 0.12::DOUBLE, false) AS glue FROM words WINDOW w AS (PARTITION BY recording_id ORDER BY pos)", "g": "SELECT *, sum(CASE WHEN glue THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY pos) AS grp FROM f"},
+    body="""SELECT recording_id, min(pos) AS pos, string_agg(word, '' ORDER BY pos) AS word, count(*) AS pieces FROM g GROUP BY recording_id, grp"""))
+def p17_rejoin_touching(spark: SparkSession, sf: str) -> DataFrame:
+    """Latin pieces joined to the piece before that has no vowel and touches; a tenth of a second counts as touching here."""
+    glued = X.rejoin(T.words(spark, sf), ["recording_id"], "pos", touch=0.12)
+    return glued.select("recording_id", "pos", "word", "pieces")
 
 
 @query(duck("words", more={"c": "SELECT *, greatest(1, length(word) // 3)::INT AS k FROM words"}, body=f"""SELECT recording_id, pos, (q)::INT AS q, {r('start + ("end" - start) / k * q', 4)} AS start, {r('start + ("end" - start) / k * (q + 1)', 4)} AS "end" FROM c, unnest(range(0, k)) AS u(q)"""))

@@ -13,7 +13,14 @@ from melodyspark.functions import scalars as S
 from melodyspark.functions import text as X
 from melodyspark.jobs.registry import query
 from melodyspark.jobs.sql import duck
+from melodyspark.operators import charting as C
+from melodyspark.operators import islands as L
+from melodyspark.operators import lyrics as Y
 from melodyspark.operators import sequences as Q
+from melodyspark.operators import signal as G
+from melodyspark.operators import stats as A
+from melodyspark.operators import voice as V
+from melodyspark.operators.intervals import interval_join
 from melodyspark.sources import tables as T
 
 ORDER = ["onset", "frame_id"]
@@ -54,22 +61,21 @@ def h2_line_leads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h3_transcript_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Monotone alignment of each turn's tokens to those of the turn before."""
+    """Monotone alignment of each turn's tokens to those of the turn before, at the price of their relation."""
     t = T.table(spark, sf, "conversations").where("text is not null").withColumn("tokens", X.tokens(F.col("text")))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = t.select("conv_id", "turn", F.lag("tokens").over(w).alias("ref"), F.col("tokens").alias("heard")).where("ref is not null")
-    words = pairs.select("conv_id", "turn", F.transform("ref", lambda x: X.latin_key(x)).alias("ref"), F.transform("heard", lambda x: X.latin_key(x)).alias("heard"))
+    words = t.select("conv_id", "turn", F.lag("tokens").over(w).alias("ref"), F.col("tokens").alias("heard")).where("ref is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cost = lambda a, b: 0.0 if a == b else 0.3 if a[:1] == b[:1] and abs(len(a) - len(b)) <= 1 and sum(x != y for x, y in zip(a, b)) <= 1 else 1.0  # noqa: E731, B905
         for pdf in batches:
             out = []
             for c, k, ref, heard in zip(pdf["conv_id"], pdf["turn"], pdf["ref"], pdf["heard"], strict=True):
-                found = Q.align(list(ref), list(heard), cost)
-                out.append((c, k, sum(i >= 0 and j >= 0 and ref[i] == heard[j] for i, j in found), sum(i >= 0 and j >= 0 for i, j in found), len(found)))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "exact", "paired", "steps"])
+                found = Q.align(list(ref), list(heard), lambda a, b: Y.PRICE[Y.relation(a, b)])
+                kinds = [Y.relation(ref[i], heard[j]) for i, j in found if i >= 0 and j >= 0]
+                out.append((c, k, kinds.count("exact"), kinds.count("homophone"), len(kinds), len(found)))
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "exact", "homophone", "paired", "steps"])
 
-    return words.mapInPandas(run, "conv_id long, turn long, exact long, paired long, steps long")
+    return words.mapInPandas(run, "conv_id long, turn long, exact long, homophone long, paired long, steps long")
 
 
 @query()
@@ -82,63 +88,82 @@ def h6_ordered_anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h9_choose_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected syllable boundaries of each section take measured attacks in order, or none."""
-    n = T.with_section(T.notes(spark, sf))
+    """Each note's expected onset, a tenth of a second early, takes a measured attack of its section in order, or none."""
+    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "frame_id", "onset", "rms")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        at = p["onset"].to_numpy()
+        got = C.choose_cuts(at - 0.1, at, p["rms"].to_numpy())
+        return pd.DataFrame({"frame_id": p["frame_id"], "cut": [float(at[g]) if g >= 0 else None for g in got]})
+
+    return Q.by_key(n, ["recording_id", "section"], ORDER, fn, "frame_id long, cut double")
+
+
+@query()
+def h9_split_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line as one held note with the words of its notes: cut where its quiet frames show an attack."""
+    n = T.with_section(T.notes(spark, sf)).select("recording_id", "line", "frame_id", "onset", "end", "rms", "median", "lyric")
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
-        hit = p["frame_id"].to_numpy() % 2 == 0
-        at, depth = p["onset"].to_numpy()[hit], (p["frame_id"].to_numpy()[hit] % 5) / 10
-        expected = p[~hit]
-        got = Q.choose_cuts(expected["onset"].to_numpy(), at, depth)
-        return pd.DataFrame({"frame_id": expected["frame_id"], "cut": [float(at[g]) if g >= 0 else None for g in got]})
+        known = np.where(p["lyric"] != "", p["onset"], np.nan)
+        found = C.split_note(float(p["onset"].iloc[0]), float(p["end"].iloc[-1]), known, p["onset"].to_numpy(), p["rms"].to_numpy(), p["median"].to_numpy() % 1)
+        rows = [(int(p["recording_id"].iloc[0]), int(p["line"].iloc[0]), a, z, len(own)) for a, z, own in found]
+        return pd.DataFrame(rows, columns=["recording_id", "line", "onset", "end", "units"])
 
-    return Q.by_key(n.select("recording_id", "section", "frame_id", "onset"), ["recording_id", "section"], ORDER, fn, "frame_id long, cut double")
+    return Q.by_key(n, ["recording_id", "line"], ORDER, fn, "recording_id long, line int, onset double, end double, units long")
 
 
 @query()
 def h10_pitch_states(spark: SparkSession, sf: str) -> DataFrame:
-    """The cheapest path of whole pitches through each recording's frames, short runs absorbed."""
-    f = T.frames(spark, sf).select("recording_id", "frame_id", "t", "midi", "voiced")
+    """The cheapest path of whole pitches through each voiced run's frames, less the recording's tuning, short runs absorbed.
+
+    Frames are sparse here, so every silence of a second ends a run, however long it is."""
+    f = _tuned_runs(spark, sf)
     fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "midi": Q.absorb_short(Q.pitch_states(p["midi"].to_numpy(), p["voiced"].to_numpy()), 3)})
-    return Q.by_key(f, ["recording_id"], ["t", "frame_id"], fn, "frame_id long, midi int")
+    return Q.by_key(f, ["recording_id", "run"], ["t", "frame_id"], fn, "frame_id long, midi int")
 
 
-@query()
-def h11_absorb_glides(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes with the slides before them: onset of the first, end and pitch of the last."""
-    fn = lambda p: p.assign(g=Q.absorb_glides(p["onset"].to_numpy(), p["end"].to_numpy(), p["midi"].to_numpy(), 0.4, 0.3))[["recording_id", "frame_id", "onset", "end", "midi", "g"]]
-    n = Q.by_key(T.notes(spark, sf).select("recording_id", "frame_id", "onset", "end", "midi"), ["recording_id"], ORDER, fn, "recording_id long, frame_id long, onset double, end double, midi int, g long")
-    return n.groupBy("recording_id", "g").agg(F.min("onset").alias("onset"), F.max("end").alias("end"), F.max_by("midi", F.struct("onset", "frame_id")).alias("midi"), F.count(F.lit(1)).alias("pieces")).drop("g")
+def _tuned_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of voiced runs (recording_id, run): holes of four frames are bridged, midi is less the tuning."""
+    f = T.frames(spark, sf).select("recording_id", "frame_id", "t", "midi", "voiced", "rms")
+    runs = V.voiced_runs(f, ["recording_id"], ["t", "frame_id"]).select("recording_id", F.col("first").alias("run"), "first", (F.col("last") + 1).alias("upto"))
+    numbered = f.withColumn("i", F.row_number().over(T.by_time()))
+    inside = interval_join(numbered, runs, ["recording_id"], "i", "first", "upto", 200.0)
+    tuning = A.tuning_offset(f).select("recording_id", F.col("offset"))
+    return inside.join(tuning, "recording_id").select("recording_id", "run", "frame_id", "t", (F.col("midi") - F.col("offset")).alias("midi"), "voiced", "rms")
 
 
-def _estimate(spark: SparkSession, sf: str, name: str, fn) -> DataFrame:
-    """Pitch of every vector's samples taken as one frame at 4 kHz."""
+@query()
+def h11_absorb_glides(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes with the short slides before them; the notes' times are divided by ten, as the data's are that much longer."""
+    short = lambda c: (F.col(c) / 10).alias(c)
+    f = T.frames(spark, sf).select("recording_id", short("t"), "midi", "voiced")
+    n = T.notes(spark, sf).select("recording_id", "frame_id", short("onset"), short("end"), "midi")
+    return C.without_glides(n, f, ["recording_id"], "frame_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [fn(np.asarray(x, float), 4000.0, 100.0, 1500.0) for x in pdf["embedding"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], name: [None if np.isnan(m) else m for m, _ in got], "confidence": [c for _, c in got]})
 
-    return T.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, f"vec_id long, {name} double, confidence double")
+def _signal(spark: SparkSession, sf: str) -> DataFrame:
+    """Each label's vectors as the chunks of one signal."""
+    number = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return T.table(spark, sf, "embeddings").select("label", number.alias("chunk"), F.col("embedding").alias("samples"))
 
 
 @query()
 def h13_autocorrelation_pitch(spark: SparkSession, sf: str) -> DataFrame:
-    return _estimate(spark, sf, "midi", Q.frame_pitch)
+    """Pitch of each label's vectors as one signal at 4 kHz: frames of 256 samples every 64."""
+    return G.autocorrelation_track(_signal(spark, sf), ["label"], rate=4000, window=256, hop=64)
 
 
 @query()
 def h14_difference_pitch(spark: SparkSession, sf: str) -> DataFrame:
-    return _estimate(spark, sf, "midi", Q.yin_pitch)
+    """Pitch of each label's vectors as one signal at 4 kHz: frames of 256 samples every 64."""
+    return G.difference_track(_signal(spark, sf), ["label"], rate=4000, window=256, hop=64)
 
 
 @query()
 def h15_band_energies(spark: SparkSession, sf: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "bands": [Q.band_energies(np.asarray(x, float)) for x in pdf["embedding"]]})
-
-    return T.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, bands array<double>")
+    """Band energies of each label's vectors as one signal at 16 kHz."""
+    return G.band_track(_signal(spark, sf), ["label"])
 
 
 @query()
@@ -151,29 +176,35 @@ def t2_spaced_dips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def w13_octave_errors(spark: SparkSession, sf: str) -> DataFrame:
-    fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "midi": Q.octave_repairs(p["midi"].to_numpy())})
-    return Q.by_key(T.notes(spark, sf).select("recording_id", "frame_id", "onset", "midi"), ["recording_id"], ORDER, fn, "frame_id long, midi int")
+    """Isolated octave errors, neighbours up to 1.5 s away; notes further apart never meet, so stretches are keys."""
+    n = L.islands(T.notes(spark, sf).select("recording_id", "frame_id", "onset", "midi"), ["recording_id"], ORDER, F.col("onset") - F.lag("onset").over(Window.partitionBy("recording_id").orderBy(*ORDER)) >= 1.5)
+    fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "midi": Q.octave_repairs(p["midi"].to_numpy(), p["onset"].to_numpy())})
+    return Q.by_key(n, ["recording_id", "grp"], ORDER, fn, "frame_id long, midi int")
 
 
 @query()
 def w17_w18_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    n = T.with_section(T.notes(spark, sf)).withColumn("line", F.when(F.col("lyric") == "", -1).otherwise(F.col("line")))
-    fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "phrase": Q.phrases(*(p[c].to_numpy() for c in ("section", "line", "onset", "end")))})
-    return Q.by_key(n.select("recording_id", "frame_id", "section", "line", "onset", "end"), ["recording_id"], ORDER, fn, "frame_id long, phrase int")
+    """Sung lines; every other line starts where the words' reference has a line start."""
+    n = T.with_section(T.notes(spark, sf)).withColumn("starts", F.col("line") % 2 == 0).withColumn("line", F.when(F.col("lyric") == "", -1).otherwise(F.col("line")))
+    fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "phrase": Q.phrases(*(p[c].to_numpy() for c in ("section", "line", "starts", "onset", "end")))})
+    return Q.by_key(n.select("recording_id", "frame_id", "section", "line", "starts", "onset", "end"), ["recording_id"], ORDER, fn, "frame_id long, phrase int")
 
 
 @query()
 def w19_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "piece": Q.pieces(p["onset"].to_numpy(), p["end"].to_numpy())})
-    return Q.by_key(T.notes(spark, sf).select("recording_id", "frame_id", "onset", "end"), ["recording_id"], ORDER, fn, "frame_id long, piece int")
+    """Pieces of at most 26 s of every recording, from 0 to its last note's end."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        found = Q.pieces(p["onset"].to_numpy(), p["end"].to_numpy(), 0.0, float(p["end"].max()))
+        return pd.DataFrame([(int(p["recording_id"].iloc[0]), a, z) for a, z in found], columns=["recording_id", "start", "end"])
+
+    return Q.by_key(T.notes(spark, sf).select("recording_id", "frame_id", "onset", "end"), ["recording_id"], ORDER, fn, "recording_id long, start double, end double")
 
 
 @query(duck("notes", more={"p": 'SELECT *, lag("end") OVER w AS pe, lag(midi // 3) OVER w AS pm, lag(onset) OVER w AS po FROM notes WINDOW w AS (PARTITION BY recording_id ORDER BY onset, frame_id)', "b": 'SELECT frame_id, recording_id, onset, po, "end" FROM p WHERE pm = midi // 3 AND onset - pe <= 1.0',
     "d": "SELECT b.frame_id, f.t AS quiet_at, row_number() OVER (PARTITION BY b.frame_id ORDER BY abs(f.t - onset), f.t) AS k FROM b JOIN frames f ON f.recording_id = b.recording_id AND f.rms <= 0.40::DOUBLE AND abs(f.t - onset) BETWEEN 0.025::DOUBLE AND 1.0 AND f.t - po >= 0.12::DOUBLE AND b.\"end\" - f.t >= 0.12::DOUBLE"}, body="SELECT frame_id, round_even(quiet_at * 100, 0) / 100 AS t FROM d WHERE k = 1"))
 def w25_attack_moves(spark: SparkSession, sf: str) -> DataFrame:
     """Notes that repeat a pitch take the nearest quiet frame as their attack; bounds as the data's frame rate asks."""
-    from melodyspark.operators.intervals import interval_join
-
     f = T.frames(spark, sf)
     w = Window.partitionBy("recording_id").orderBy(*ORDER)
     n = T.notes_of(f).withColumn("band", F.floor(F.col("midi") / 3))
@@ -215,8 +246,6 @@ def h12_drop_known_phrases(spark: SparkSession, sf: str) -> DataFrame:
 @query(duck("notes", more={"h": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE frame_id % 2 = 0 AND lyric <> ''", "p": "SELECT recording_id, frame_id AS other, onset + 0.5::DOUBLE AS at, lyric AS variant FROM notes WHERE frame_id % 2 = 1 AND lyric <> ''"}, body="SELECT h.frame_id, p.other, variant = lyric AS same FROM h JOIN p ON h.recording_id = p.recording_id AND abs(p.at - h.onset) <= 1.2::DOUBLE"))
 def j12_pass_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the hinted pass with those of the unprompted pass within 1.2 s."""
-    from melodyspark.operators.intervals import interval_join
-
     n = T.notes(spark, sf).where("lyric != ''")
     h = n.where("frame_id % 2 = 0").select("recording_id", "frame_id", "onset", "lyric", (F.col("onset") - 1.3).alias("lo"), (F.col("onset") + 1.3).alias("hi"))
     p = n.where("frame_id % 2 = 1").select("recording_id", F.col("frame_id").alias("other"), (F.col("onset") + 0.5).alias("at"), F.col("lyric").alias("variant"))
@@ -224,70 +253,90 @@ def j12_pass_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("frame_id", "other", (F.col("variant") == F.col("lyric")).alias("same"))
 
 
-def _sound_cost(a: str, b: str) -> float:
-    """0 for the same text, .3 for one letter's difference in words of like length, else 1."""
-    if a == b or a[:1] != b[:1]:
-        return float(a != b)
-    return 0.3 if a[:1] == b[:1] and abs(len(a) - len(b)) <= 1 and sum(x != y for x, y in zip(a, b, strict=False)) <= 1 else 1.0
-
-
 @query()
 def h4_h5_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference words against a hinted and an unprompted pass that each miss or change some: counts of each status by block."""
+    """Reference words against a hinted and an unprompted pass that each miss, change or add some: counts of each status by block."""
     pos = F.col("pos")
-    w = T.words(spark, sf).select("recording_id", F.floor(pos / 24).cast("int").alias("block"), pos.alias("pos"), X.latin_key(F.col("word")).alias("word"), "start", "segment")
-    row = F.struct("pos", "word", "start", "segment")
+    w = T.words(spark, sf).select("recording_id", F.floor(pos / 24).cast("int").alias("block"), pos.alias("pos"), X.latin_key(F.col("word")).alias("word"), "start", "p", "segment")
+    row = F.struct("pos", "word", "start", "p", "segment")
     blocks = w.groupBy("recording_id", "block").agg(F.array_sort(F.collect_list(row)).alias("w"))
+    kinds = ("heard", "reference-spelling", "sung-variant", "not-heard", "extra-sung")
+
+    def heard(own: list, drop: int, late: float) -> Y.Heard:
+        """All words but each ``drop``th; each eleventh is another word, each thirteenth is followed by one more."""
+        said = []
+        for x in own:
+            k, t = x["pos"], x["start"] + late
+            if k % drop:
+                said.append(("zonk" if k % 11 == 0 else x["word"], t, x["p"]))
+            if k % 13 == 0:
+                said.append(("quux", t + 0.2, 0.9))
+        text, start, p = zip(*said, strict=True) if said else ((), (), ())
+        return Y.Heard(list(text), np.array(start, float), np.array(start, float) + 0.15, np.array(p, float))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for rec, block, own in zip(pdf["recording_id"], pdf["block"], pdf["w"], strict=True):
-                p = np.array([x["pos"] for x in own])
-                ref, start = [x["word"] for x in own], np.array([x["start"] for x in own])
                 line = np.array([x["segment"] for x in own])
-                heard = [([("x" + r if k % 11 == 0 else r) for r, k in zip(ref, p, strict=True) if k % drop], start[p % drop != 0] + shift) for drop, shift in ((7, 0.0), (5, 0.1))]
-                status, times = Q.reconcile(ref, line, line // 4, heard, _sound_cost)
-                out.append((rec, block, *(status.count(s) for s in ("heard", "sung-variant", "interpolated", "not-heard")), int(np.isnan(times).sum())))
-            yield pd.DataFrame(out, columns=["recording_id", "block", "heard", "sung_variant", "interpolated", "not_heard", "without_time"])
+                found = Y.reconcile([x["word"] for x in own], line, line // 4, {"hinted": heard(own, 7, 0.0), "plain": heard(own, 5, 0.1)})
+                status = [x.status for x in found]
+                out.append((rec, block, *(status.count(k) for k in kinds), sum(x.anchor == "interpolated" for x in found), sum(x.anchor == "none" for x in found)))
+            yield pd.DataFrame(out, columns=["recording_id", "block", *[k.replace("-", "_") for k in kinds], "interpolated", "without_time"])
 
-    return blocks.mapInPandas(run, "recording_id long, block int, heard long, sung_variant long, interpolated long, not_heard long, without_time long")
+    return blocks.mapInPandas(run, "recording_id long, block int, " + ", ".join(f"{k.replace('-', '_')} long" for k in kinds) + ", interpolated long, without_time long")
 
 
 @query()
 def h7_units_to_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """The note that carries each lyric unit of a section; units are every second note's word, a fifth without a time."""
-    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "frame_id", "onset", "end", "line")
+    """The note that carries each lyric unit of a section: words a tenth of a second late, those without a text weak and without a time."""
+    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "frame_id", "onset", "end", "midi", "line", "lyric")
+    return C.place_units(n.drop("line", "lyric"), _units(n), ["recording_id", "section"], "frame_id", "unit")
+
+
+def _units(n: DataFrame) -> DataFrame:
+    """Lyric units of notes: recording_id, section, unit, start, end, weak, line_start, in the order of their notes."""
+    w = Window.partitionBy("recording_id", "section").orderBy(*ORDER)
+    sure = F.col("lyric") != ""
+    at = F.when(sure, F.col("onset") + 0.1)
+    return n.select("recording_id", "section", F.col("frame_id").alias("unit"), F.row_number().over(w).alias("_order"), at.alias("start"), (at + 0.2).alias("end"), (~sure).alias("weak"), F.coalesce(F.col("line") != F.lag("line").over(w), F.lit(True)).alias("line_start"))
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        unit = p[p["frame_id"] % 2 == 0]
-        want = np.where(unit["frame_id"] % 5 == 0, np.nan, unit["onset"] + 0.1)
-        fresh = np.concatenate([[True], np.diff(unit["line"]) != 0])[: len(unit)]
-        got = Q.align_units(p["onset"].to_numpy(), p["end"].to_numpy(), want, fresh)
-        return pd.DataFrame({"unit": unit["frame_id"], "note": [int(p["frame_id"].iloc[g]) if g >= 0 else None for g in got]})
 
-    return Q.by_key(n, ["recording_id", "section"], ORDER, fn, "unit long, note long")
+@query()
+def h8_notes_from_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes that every section's atoms make under its units; the notes' times are divided by ten, as the data's are that much longer."""
+    short = lambda c: (F.col(c) / 10).alias(c)
+    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "frame_id", short("onset"), short("end"), (F.col("midi") % 12 + 60).alias("midi"), "median", "rms", "line", "lyric")
+    none = F.lit(None).cast("double")
+    atoms = n.select("recording_id", "section", "onset", "end", "midi", (F.col("median") - F.rint("median")).alias("glide"), F.col("rms").alias("cut_depth"), none.alias("cut_colour"), F.col("rms").alias("edge"))
+    return C.notes_of_atoms(atoms, _units(n), ["recording_id", "section"], "unit")
 
 
 @query()
 def h17_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """The atom table of every recording."""
-    f = T.frames(spark, sf).select("recording_id", "frame_id", "t", "midi", "voiced", "rms")
+    """The atom table of every voiced run: a run of a pitch is cut at its loudness dips; times divided by ten, as the data's are that much longer."""
+    f = _tuned_runs(spark, sf).withColumn("t", F.col("t") / 10)
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
-        rows = Q.atoms(*(p[c].to_numpy() for c in ("t", "midi", "voiced", "rms")))
+        t, midi, voiced, rms = (p[c].to_numpy() for c in ("t", "midi", "voiced", "rms"))
+        path = Q.absorb_short(Q.pitch_states(midi, voiced), 2)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
+        rows = []
+        for a, b in zip(edge, edge[1:], strict=False):
+            end = float(t[b - 1]) + 0.01
+            at, depth = Q.dips(t, rms, float(t[a]), end)
+            rows += Q.cut_run(t[a:b], midi[a:b], voiced[a:b], int(path[a]), float(t[a]), end, t[at], depth)
         out = pd.DataFrame(rows, columns=["onset", "end", "midi", "median", "glide", "depth"])
         out.insert(0, "recording_id", p["recording_id"].iloc[0])
         return out
 
-    return Q.by_key(f, ["recording_id"], ["t", "frame_id"], fn, "recording_id long, onset double, end double, midi int, median double, glide double, depth double")
+    return Q.by_key(f, ["recording_id", "run"], ["t", "frame_id"], fn, "recording_id long, onset double, end double, midi int, median double, glide double, depth double")
 
 
 @query()
 def t7_reattacks(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames where a held sound is struck again, for each recording's loudness as one held pitch."""
-    f = T.frames(spark, sf).select("recording_id", "frame_id", "t", "rms")
-    return Q.by_key(f, ["recording_id"], ["t", "frame_id"], lambda p: p[["frame_id"]].iloc[Q.reattacks(p["rms"].to_numpy())], "frame_id long")
+    """Frames where a held sound is struck again, for each voiced run's loudness as one held pitch; three frames a piece here."""
+    return Q.by_key(_tuned_runs(spark, sf), ["recording_id", "run"], ["t", "frame_id"], lambda p: p[["frame_id"]].iloc[Q.reattacks(p["rms"].to_numpy(), least=3)], "frame_id long")
 
 
 _STR = {"g": 'SELECT *, CASE WHEN onset - lag("end") OVER w < 1.2::DOUBLE THEN 0 ELSE 1 END AS new FROM notes WINDOW w AS (PARTITION BY recording_id ORDER BY onset, frame_id)', "h": "SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY onset, frame_id) AS grp FROM g", "st": 'SELECT recording_id, grp, min(onset) AS a, max("end") AS z FROM h GROUP BY ALL', "x": "SELECT *, lead(a) OVER (PARTITION BY recording_id ORDER BY grp) - z AS gap FROM st"}
@@ -312,8 +361,6 @@ _LOC = {"blk": "SELECT recording_id, section, count(*) AS n, count(*) FILTER (WH
 @query(duck("secnotes", more=_LOC, body="SELECT o.recording_id, o.section, o.heard, round_even(coalesce(p.mid, a) * 1e3, 0) / 1e3 AS start, round_even(z * 1e3, 0) / 1e3 AS \"end\" FROM ok o LEFT JOIN pk p ON p.recording_id = o.recording_id AND p.section = o.section"))
 def h16_locate_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections by their anchored words: absent ones are left out, a boundary sits in the widest silence before the first anchor."""
-    from melodyspark.operators.intervals import interval_join
-
     n = T.with_section(T.notes(spark, sf))
     sure = lambda c: F.when(F.col("frame_id") % 4 != 3, F.col(c))
     blocks = n.groupBy("recording_id", "section").agg(F.count(F.lit(1)).alias("n"), F.count(sure("onset")).alias("heard"), F.min(sure("onset")).alias("a"), F.max(sure("end")).alias("z"))

@@ -13,6 +13,7 @@ from melodyspark.jobs.sql import case_list, duck, r
 from melodyspark.operators import intervals as I
 from melodyspark.operators import quality as Q
 from melodyspark.operators import stats as A
+from melodyspark.operators import voice as V
 from melodyspark.sources import tables as T
 
 
@@ -38,12 +39,9 @@ def a6_loudness_gate(spark: SparkSession, sf: str) -> DataFrame:
     body=f"SELECT recording_id, count(*) AS notes, count(*) FILTER (WHERE abs(d) <= 0.6::DOUBLE) AS exact, count(*) FILTER (WHERE abs(((d + 6) % 12 + 12) % 12 - 6) <= 0.6::DOUBLE) AS octave, count(*) FILTER (WHERE d IS NULL) AS silent, {r('median(abs(((d + 6) % 12 + 12) % 12 - 6))', 4)} AS med_err FROM d GROUP BY 1"))
 def a7_chart_score(spark: SparkSession, sf: str) -> DataFrame:
     """Right, right but for the octave, and unsung spans of each chart. Three voiced frames are enough here."""
-    f = T.frames(spark, sf).select("recording_id", "t", "midi", "voiced")
-    joined = I.interval_join(f, spans(f), ["recording_id"], "t", "start", "end", 10.0, how="right")
-    m = joined.groupBy("recording_id", "span", "expected").agg(F.count("t").alias("n"), F.count_if("voiced").alias("v"), F.median(F.when(F.col("voiced"), F.col("midi"))).alias("med"))
-    d = F.when((F.col("n") > 0) & (F.col("v") >= 0.3 * F.col("n")) & (F.col("v") >= 3), F.col("med") - F.col("expected"))
-    m = m.withColumn("d", d).withColumn("o", F.abs(S.octave_blind(F.col("d"))))
-    return m.groupBy("recording_id").agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.abs("d") <= 0.6).alias("exact"), F.count_if(F.col("o") <= 0.6).alias("octave"), F.count_if(F.col("d").isNull()).alias("silent"), S.round_to(F.median("o"), 4).alias("med_err"))
+    f = T.frames(spark, sf)
+    found = V.chart_match(f, spans(f), ["recording_id"], "span", least=3)
+    return found.withColumn("med_err", S.round_to(F.col("med_err"), 4))
 
 
 _FIELDS = "(5 + frame_id % 9)::INT AS frames, 0.6::DOUBLE + (frame_id % 10) / 20.0::DOUBLE AS coverage, 0.7::DOUBLE + (frame_id % 7) / 20.0::DOUBLE AS stable, 0.75::DOUBLE + (frame_id % 5) / 20.0::DOUBLE AS support"

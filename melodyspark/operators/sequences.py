@@ -62,18 +62,30 @@ def align(ref: list[str], heard: list[str], cost: Callable[[str, str], float], g
 
 
 def ordered_anchors(start: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The heaviest subset of anchors whose times never go back (the first such subset); true where kept."""
+    """The heaviest subset of anchors whose times never go back (the first such subset); true where kept.
+
+    The best total up to each time is kept in a tree over the ranks of times, so work grows as n log n.
+    """
     n = len(start)
-    total, back = weight.astype(float).copy(), np.full(n, -1)
+    ranks = np.unique(start, return_inverse=True)[1] + 1 if n else np.empty(0, int)
+    total, back = np.zeros(n), np.full(n, -1)
+    tree: list[tuple[float, int]] = [(0.0, 0)] * (n + 2)  # (total, minus the anchor): the first anchor of a total wins
     for i in range(n):
-        before = np.flatnonzero(start[:i] <= start[i])
-        if len(before):
-            j = before[np.argmax(total[before])]
-            total[i], back[i] = total[i] + total[j], j
+        r, best = int(ranks[i]), (0.0, 1)
+        while r > 0:
+            best = max(best, tree[r]) if tree[r][0] else best
+            r -= r & -r
+        total[i] = weight[i] + best[0]
+        back[i] = -best[1] if best[0] else -1
+        r = int(ranks[i])
+        while r < len(tree):
+            if not tree[r][0] or (total[i], -i) > tree[r]:
+                tree[r] = (float(total[i]), -i)
+            r += r & -r
     keep, i = np.zeros(n, bool), int(np.argmax(total)) if n else -1
     while i >= 0:
         keep[i] = True
-        i = back[i]
+        i = int(back[i])
     return keep
 
 
@@ -95,42 +107,50 @@ def pitch_states(midi: np.ndarray, voiced: np.ndarray, low: int = 45, high: int
 
 
 def absorb_short(path: np.ndarray, least: int) -> np.ndarray:
-    """Runs shorter than ``least`` take the pitch of the run after them, or before where there is none."""
-    out = path.copy()
-    while True:
-        cut = np.flatnonzero(np.diff(out)) + 1
-        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(out)]])
-        short = np.flatnonzero(end - begin < least)
-        if len(begin) <= 1 or not len(short):
-            return out
-        k = short[np.argmin((end - begin)[short])]
-        out[begin[k] : end[k]] = out[begin[k + 1]] if k + 1 < len(begin) else out[begin[k - 1]]
-
-
-def octave_repairs(midi: np.ndarray) -> np.ndarray:
-    """Isolated octave errors, left to right on repaired neighbours: a note 9 from both moves by 12 if that gains 6."""
+    """Runs shorter than ``least`` join the run after them, the last one the run before; the first short run goes first."""
+    cut = np.flatnonzero(np.diff(path)) + 1
+    runs = [[int(a), int(b)] for a, b in zip([0, *cut], [*cut, len(path)], strict=True)]
+    pitch = [int(path[a]) for a, _ in runs]
+    k = 0
+    while k < len(runs) and len(runs) > 1:
+        if runs[k][1] - runs[k][0] >= least:
+            k += 1
+            continue
+        if k + 1 < len(runs):
+            runs[k + 1][0] = runs[k][0]
+        else:
+            runs[k - 1][1] = runs[k][1]
+        del runs[k], pitch[k]
+    return np.repeat(pitch, [b - a for a, b in runs])
+
+
+def octave_repairs(midi: np.ndarray, onset: np.ndarray, near: float = 1.5) -> np.ndarray:
+    """Isolated octave errors, left to right on repaired neighbours that begin within ``near`` seconds.
+
+    A note 9 or more from the worst of its neighbours moves by an octave, up before down, if the worst is then 6 less.
+    """
     out = midi.astype(int).copy()
-    for i in range(1, len(out) - 1):
-        near = [out[i - 1], out[i + 1]]
-        if min(abs(out[i] - x) for x in near) < 9:
+    for i in range(len(out)):
+        around = np.array([out[k] for k in (i - 1, i + 1) if 0 <= k < len(out) and abs(onset[k] - onset[i]) < near])
+        if not len(around) or (worst := np.abs(out[i] - around).max()) < 9:
             continue
-        far = sum(abs(out[i] - x) for x in near)
-        moved = min((sum(abs(out[i] + s - x) for x in near), s) for s in (-12, 12))
-        if far - moved[0] >= 12:
-            out[i] += moved[1]
+        for shift in (12, -12):
+            if np.abs(out[i] + shift - around).max() <= worst - 6:
+                out[i] += shift
+                break
     return out
 
 
-def phrases(section: np.ndarray, line: np.ndarray, start: np.ndarray, end: np.ndarray, breath: float = 0.45, longest: int = 12) -> np.ndarray:
-    """Numbers of sung lines: a section or line begins one, so does a breath after six notes; long ones split at their widest gap."""
+def phrases(section: np.ndarray, line: np.ndarray, line_start: np.ndarray, start: np.ndarray, end: np.ndarray, breath: float = 0.45, longest: int = 12) -> np.ndarray:
+    """Numbers of sung lines. A section begins one, so does another line where a lyric line starts, and a breath in
+    wordless singing (line under 0) or after six notes; longer ones than ``longest`` split at their widest gap."""
     n = len(start)
-    begins, size = [0] if n else [], 1
+    begins = [0] if n else []
     for i in range(1, n):
-        fresh = section[i] != section[i - 1] or (line[i] >= 0 and line[i] != line[i - 1])
-        if fresh or (start[i] - end[i - 1] >= breath and (line[i] < 0 or size >= 6)):
+        if section[i] != section[i - 1] or (line[i] >= 0 and line[i] != line[i - 1] and line_start[i]):
+            begins.append(i)
+        elif start[i] - end[i - 1] >= breath and (line[i] < 0 or i - begins[-1] >= 6):
             begins.append(i)
-            size = 0
-        size += 1
     gaps = np.concatenate([[0.0], start[1:] - end[:-1]]) if n else np.empty(0)
     todo = [(a, b) for a, b in zip(begins, [*begins[1:], n], strict=True)]
     done = []
@@ -146,232 +166,76 @@ def phrases(section: np.ndarray, line: np.ndarray, start: np.ndarray, end: np.nd
     return np.cumsum(first)
 
 
-def pieces(start: np.ndarray, end: np.ndarray, longest: float = 26.0, least: float = 6.0) -> np.ndarray:
-    """Piece numbers: no piece is longer than ``longest`` where a silence at least ``least`` after the last cut allows it."""
-    out, first, number = np.zeros(len(start), int), 0, 0
-    for i in range(len(start)):
-        while end[i] - start[first] > longest and i > first:
-            cuts = [k for k in range(first + 1, i + 1) if start[k] - start[first] >= least]
-            if not cuts:
-                break
-            k = max(cuts, key=lambda c: (start[c] - end[c - 1], -c))
-            number += 1
-            out[k:] = number
-            first = k
-    return out
-
-
-def absorb_glides(onset: np.ndarray, end: np.ndarray, midi: np.ndarray, longest: float = 0.12, gap: float = 0.05) -> np.ndarray:
-    """Slides: a short note that touches a longer one within four semitones joins it. Returns the group of each note."""
-    group = np.arange(len(onset))
-    for i in range(len(onset) - 1):
-        if end[i] - onset[i] <= longest and onset[i + 1] - end[i] <= gap and 0 < abs(midi[i + 1] - midi[i]) <= 4 and end[i + 1] - onset[i + 1] > end[i] - onset[i]:
-            group[group == group[i]] = i + 1
-    return group
-
-
-def choose_cuts(expected: np.ndarray, at: np.ndarray, depth: np.ndarray, miss: float = 0.6) -> list[int]:
-    """Measured attacks for expected boundaries, in order: near and deep ones are cheap, a miss costs ``miss``; -1 for none."""
-    b, d = len(expected), len(at)
-    cost = np.zeros((b + 1, d + 1))
-    for i in range(1, b + 1):
-        cost[i, 0] = cost[i - 1, 0] + miss
-        for j in range(1, d + 1):
-            take = cost[i - 1, j - 1] + 0.5 * abs(at[j - 1] - expected[i - 1]) + 0.5 * depth[j - 1]
-            cost[i, j] = min(cost[i - 1, j] + miss, take, cost[i, j - 1])
-    out, j = [-1] * b, d
-    i = b
-    while i:
-        if np.isclose(cost[i, j], cost[i - 1, j] + miss):
-            i -= 1
-        elif np.isclose(cost[i, j], cost[i, j - 1]) if j else False:
-            j -= 1
-        else:
-            out[i - 1] = j - 1
-            i, j = i - 1, j - 1
-    return out
-
-
-def frame_pitch(x: np.ndarray, rate: float, low: float, high: float) -> tuple[float, float]:
-    """Pitch in MIDI and confidence of one frame by normalised autocorrelation; nan where there is none."""
-    y = x - x.mean()
-    n = len(y)
-    spectrum = np.fft.rfft(y, 2 * n)
-    power = np.fft.irfft(spectrum * spectrum.conj())[:n]
-    energy = np.cumsum(y**2)
-    lag = np.arange(n)
-    left, right = energy[n - 1 - lag], energy[-1] - np.concatenate([[0.0], energy[:-1]])
-    norm = power / np.maximum(np.sqrt(left * right), 1e-12)
-    lo, hi = max(1, int(rate / high)), min(n - 2, int(rate / low))
-    if hi <= lo:
-        return float("nan"), 0.0
-    peaks = [k for k in range(lo, hi) if norm[k] > norm[k - 1] and norm[k] >= norm[k + 1]]
-    if not peaks:
-        return float("nan"), 0.0
-    top = max(norm[k] for k in peaks)
-    k = next(k for k in peaks if norm[k] >= 0.9 * top)
-    bend = norm[k - 1] - 2 * norm[k] + norm[k + 1]
-    exact = k + (0.5 * (norm[k - 1] - norm[k + 1]) / bend if bend else 0.0)
-    return float(69 + 12 * np.log2(rate / exact / 440)), float(norm[k])
-
-
-def yin_pitch(x: np.ndarray, rate: float, low: float, high: float, limit: float = 0.15) -> tuple[float, float]:
-    """Pitch in MIDI and confidence of one frame by the cumulative mean difference."""
-    n = len(x) // 2
-    diff = np.array([np.sum((x[:n] - x[k : k + n]) ** 2) for k in range(n)])
-    mean = np.ones(n)
-    mean[1:] = diff[1:] * np.arange(1, n) / np.maximum(np.cumsum(diff[1:]), 1e-12)
-    lo, hi = max(2, int(rate / high)), min(n - 1, int(rate / low))
-    if hi <= lo:
-        return float("nan"), 0.0
-    under = [k for k in range(lo, hi) if mean[k] < limit and mean[k] <= mean[k + 1]]
-    k = under[0] if under else lo + int(np.argmin(mean[lo:hi]))
-    bend = mean[k - 1] - 2 * mean[k] + mean[min(k + 1, n - 1)]
-    exact = k + (0.5 * (mean[k - 1] - mean[min(k + 1, n - 1)]) / bend if bend else 0.0)
-    return float(69 + 12 * np.log2(rate / exact / 440)), float(1 - mean[k])
-
-
-def band_energies(x: np.ndarray, bands: int = 8) -> np.ndarray:
-    """Log energy of a frame in bands of equal ratio."""
-    power = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2
-    edges = np.unique(np.round(np.geomspace(1, len(power), bands + 1)).astype(int))
-    return np.log10(np.array([power[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)]) + 1e-9)
-
-
-def chain(options: list[list[tuple[float, float, int]]], line: np.ndarray, verse: np.ndarray, back: float = 0.25, look: int = 60) -> list[int]:
-    """One time for each reference token: the best ordered chain of options.
-
-    ``options[i]`` holds (time, gain, id) of what was heard for token i. Times may step back by
-    ``back`` seconds; they may run ahead by 2.5 s a token and half a second, by three seconds more
-    across lines of a verse, and freely across verses. Returns the chosen id of each token, -1 for none.
-    """
-    nodes = [(i, t, g, k) for i, own in enumerate(options) for t, g, k in own]
-    best, came = [g for _, _, g, _ in nodes], [-1] * len(nodes)
-    for b, (i, t, g, _) in enumerate(nodes):
-        for a in range(max(0, b - look), b):
-            j, s, _, _ = nodes[a]
-            if j == i or t < s - back:
-                continue
-            ahead = 2.5 * (i - j) + 0.5 + (0.0 if line[i] == line[j] else 3.0 if verse[i] == verse[j] else np.inf)
-            if t - s <= ahead and best[a] + g > best[b]:
-                best[b], came[b] = best[a] + g, a
-    out = [-1] * len(options)
-    b = int(np.argmax(best)) if nodes else -1
-    while b >= 0:
-        out[nodes[b][0]] = nodes[b][3]
-        b = came[b]
-    return out
-
-
-def fill_times(times: np.ndarray) -> np.ndarray:
-    """Missing times between two known ones lie on the line between them; open ends stay missing."""
-    known = np.flatnonzero(~np.isnan(times))
-    if len(known) < 2:
-        return times
-    out = np.interp(np.arange(len(times)), known, times[known])
-    out[: known[0]] = out[known[-1] + 1 :] = np.nan
-    return out
-
-
-def reconcile(ref: list[str], line: np.ndarray, verse: np.ndarray, passes: list[tuple[list[str], np.ndarray]], cost: Callable[[str, str], float]) -> tuple[list[str], np.ndarray]:
-    """Status and time of each reference token from the passes: hinted first, then unprompted ones.
+def pieces(onset: np.ndarray, end: np.ndarray, first: float, last: float, longest: float = 26.0, least: float = 6.0) -> list[tuple[float, float]]:
+    """Pieces (start, end) of the interval first .. last, none longer than ``longest``.
 
-    heard: the same text, or its sound; sung-variant: another text that two passes agree on;
-    interpolated: not heard but between heard ones; not-heard.
+    A cut lies in the middle of the widest silence between notes that is more than ``least`` after the last cut and less than
+    ``longest``, of equal ones the latest; where there is none, it lies ``longest`` after the last.
     """
-    options: list[list[tuple[float, float, int]]] = [[] for _ in ref]
-    said: list[list[tuple[str, float, float]]] = [[] for _ in ref]
-    for p, (tokens, times) in enumerate(passes):
-        for i, j in align(ref, tokens, cost):
-            if i >= 0 and j >= 0:
-                price = cost(ref[i], tokens[j])
-                said[i].append((tokens[j], times[j], price))
-                if price < 1:
-                    options[i].append((float(times[j]), 1.0 + (0.2 if p else 0.0), len(said[i]) - 1))
-    for i, own in enumerate(said):
-        for k, (word, t, price) in enumerate(own):
-            if price >= 1 and any(word == other for n, (other, _, _) in enumerate(own) if n != k):
-                options[i].append((float(t), 0.7, k))
-    got = chain([sorted(o) for o in options], line, verse)
-    times = np.array([said[i][k][1] if k >= 0 else np.nan for i, k in enumerate(got)])
-    status = ["not-heard" if k < 0 else "heard" if said[i][k][2] < 1 else "sung-variant" for i, k in enumerate(got)]
-    filled = fill_times(times)
-    return ["interpolated" if s == "not-heard" and not np.isnan(f) else s for s, f in zip(status, filled, strict=True)], filled
-
-
-def align_units(onset: np.ndarray, end: np.ndarray, want: np.ndarray, line_start: np.ndarray) -> np.ndarray:
-    """For each lyric unit the note that carries it, -1 if it is dropped; units keep their order.
-
-    A note takes a unit, continues the one before, or is shared by several; a unit may be dropped.
-    Costs: three a second outside the anchor's window of -.25 to +.45 s; 1.5 for a new line that
-    does not follow a breath; .45 for a continuing note, 2.5 after a breath; sharing .5 to 4 by how
-    short the note is; 5 for a dropped unit. ``want`` is the anchor time, nan for none.
-    """
-    n, m = len(onset), len(want)
-    length = end - onset
-    breath = np.concatenate([[True], onset[1:] - end[:-1] >= 0.45]) if n else np.empty(0, bool)
-    share = np.select([length >= 0.9, length >= 0.6, length >= 0.4], [0.5, 1.0, 2.0], 4.0)
-    cost = np.full((n + 1, m + 1), np.inf)
-    how = np.zeros((n + 1, m + 1), int)
-    cost[0] = 5.0 * np.arange(m + 1)
-    how[0, 1:] = 3
-    for i in range(1, n + 1):
-        for j in range(m + 1):
-            late = 0.0 if j == 0 or np.isnan(want[j - 1]) else 3.0 * max(0.0, want[j - 1] - 0.25 - onset[i - 1], onset[i - 1] - want[j - 1] - 0.45)
-            tries = [(cost[i - 1, j] + (2.5 if breath[i - 1] else 0.45), 1)]
-            if j:
-                tries.append((cost[i - 1, j - 1] + late + (1.5 if line_start[j - 1] and not breath[i - 1] else 0.0), 0))
-                tries.append((cost[i, j - 1] + share[i - 1] + late, 2))
-                tries.append((cost[i, j - 1] + 5.0, 3))
-            cost[i, j], how[i, j] = min(tries)
-    out, i, j = np.full(m, -1), n, m
-    while i or j:
-        step = how[i, j]
-        if step == 0:
-            out[j - 1] = i - 1
-            i, j = i - 1, j - 1
-        elif step == 1:
-            i -= 1
-        elif step == 2:
-            out[j - 1] = i - 1
-            j -= 1
-        else:
-            j -= 1
-    return out
-
-
-def atoms(t: np.ndarray, midi: np.ndarray, voiced: np.ndarray, rms: np.ndarray, shortest: int = 2, dip: float = 0.6, spacing: float = 1.0) -> list[tuple]:
-    """Pieces of one pitch: onset, end, midi, median, glide, depth of the dip that begins it (null at a pitch change).
-
-    The state path gives runs of a pitch; a run is cut at spaced loudness minima that lie under
-    ``dip`` of the run's peaks on both sides.
-    """
-    if not len(t):
+    inside = (onset >= first) & (end <= last + 0.5)
+    if not inside.any():
         return []
-    path = absorb_short(pitch_states(midi, voiced), shortest)
-    cut = np.flatnonzero(np.diff(path)) + 1
+    a, b = end[inside][:-1], onset[inside][1:]
+    gap, mid = b - a, (a + b) / 2
+    cuts = [first]
+    while last - cuts[-1] > longest:
+        near = np.flatnonzero((mid > cuts[-1] + least) & (mid < cuts[-1] + longest))
+        pick = max(near, key=lambda k: (gap[k], mid[k]), default=None)
+        cuts.append(cuts[-1] + longest if pick is None else float(np.rint(mid[pick] * 100) / 100))
+    return list(zip(cuts, [*cuts[1:], last], strict=True))
+
+
+def dips(t: np.ndarray, rms: np.ndarray, a: float, b: float, edge: float = 0.07, spacing: float = 0.10, near: int = 4, reach: int = 30, deepest: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and depths of loudness dips inside (a, b): minima of the three-point mean within ``near`` that lie under
+    ``deepest`` of the peaks of ``reach`` on both sides; the deepest first, at least ``spacing`` apart, in order of time."""
+    smooth = np.convolve(rms, np.ones(3) / 3, "same")
+    found, depth = [], []
+    for i in np.flatnonzero((t > a + edge) & (t < b - edge)).tolist():
+        left, right = smooth[max(0, i - reach) : i], smooth[i + 1 : i + 1 + reach]
+        if len(left) and len(right) and smooth[i] <= smooth[max(0, i - near) : i + near + 1].min() + 1e-12:
+            level = smooth[i] / max(1e-9, min(left.max(), right.max()))
+            if level < deepest:
+                found.append(i)
+                depth.append(level)
+    at, level = np.array(found, int), np.array(depth)
+    keep = spaced(level, t[at], spacing)
+    return at[keep], level[keep]
+
+
+def cut_run(t: np.ndarray, midi: np.ndarray, voiced: np.ndarray, pitch: int, start: float, end: float, dip_t: np.ndarray, dip_depth: np.ndarray, least: float = 0.10, spacing: float = 0.15) -> list[tuple]:
+    """Atoms of one run of a pitch: onset, end, midi, median, glide, depth of the dip that begins it (None for the first).
+
+    The run (frames t, midi less the tuning, voiced) is cut at its dips, clearest first, that leave ``least`` at both
+    ends and lie ``spacing`` apart. The glide is the median of the last third of an atom's frames less that of the first.
+    """
+    room = (dip_t - start >= least) & (end - dip_t >= least)
+    at, depth = dip_t[room], dip_depth[room]
+    keep = spaced(depth, at, spacing)
+    at, depth = at[keep], depth[keep]
+    order = np.argsort(at)
+    edges = [start, *at[order].tolist(), end]
     out = []
-    for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(t)]]), strict=True):
-        low = [k for k in range(a + 1, b - 1) if rms[k] <= rms[k - 1] and rms[k] < rms[k + 1]]
-        depth = np.array([rms[k] / max(1e-9, min(rms[a:k].max(), rms[k + 1 : b].max())) for k in low])
-        good = np.flatnonzero(depth < dip)
-        kept = good[spaced(depth[good], t[np.array(low, int)[good]], spacing)] if len(good) else good
-        edges = [(a, None), *sorted((low[k], float(depth[k])) for k in kept)]
-        for (x, d), y in zip(edges, [*[e[0] for e in edges[1:]], b], strict=True):
-            third = max(1, (y - x) // 3)
-            own = midi[x:y]
-            out.append((float(t[x]), float(t[y - 1]), int(path[x]), float(np.median(own)), float(np.median(own[-third:]) - np.median(own[:third])), d))
+    for k, (p, q) in enumerate(zip(edges, edges[1:], strict=False)):
+        own = midi[(t >= p) & (t < q) & voiced]
+        third = max(1, len(own) // 3)
+        glide = float(np.median(own[-third:]) - np.median(own[:third])) if len(own) >= 3 else 0.0
+        out.append((p, q, pitch, float(np.median(own)) if len(own) else float(pitch), glide, float(depth[order][k - 1]) if k else None))
     return out
 
 
-def reattacks(rms: np.ndarray, near: int = 6, side: int = 25, depth: float = 0.45, least: int = 3) -> list[int]:
-    """Cuts of one held pitch, left to right: minima within ``near`` frames under ``depth`` of both sides' peaks."""
-    out, last, n = [], 0, len(rms)
-    for k in range(1, n - 1):
-        if rms[k] > rms[max(0, k - near) : k + near + 1].min():
-            continue
-        peaks = min(rms[max(0, k - side) : k].max(), rms[k + 1 : k + 1 + side].max())
-        if rms[k] < depth * peaks and k - last >= 2 * least and n - k >= 2 * least:
+def reattacks(rms: np.ndarray, near: int = 6, side: int = 25, depth: float = 0.45, least: int = 18) -> list[int]:
+    """Cuts of one held pitch, left to right, with ``least`` frames on either side: minima of the three-point mean within
+    ``near`` frames that lie under ``depth`` of both sides' peaks over ``side`` frames."""
+    out: list[int] = []
+    if len(rms) < 2 * least:
+        return out
+    smooth = np.convolve(rms, np.ones(3) / 3, "same")
+    k = least
+    while k < len(smooth) - least:
+        peaks = min(smooth[max(0, k - side) : k].max(), smooth[k + 1 : k + 1 + side].max())
+        if smooth[k] == smooth[max(0, k - near) : k + near + 1].min() and smooth[k] < depth * peaks:
             out.append(k)
-            last = k
+            k += least
+        else:
+            k += 1
     return out

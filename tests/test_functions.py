@@ -40,7 +40,7 @@ def test_clock_and_error(spark):
 
 
 def test_syllables(spark):
-    english = {"jumped": "jumped", "happy": "hap|py", "little": "lit|tle", "over": "o|ver", "rainbow": "rain|bow", "make": "make"}
+    english = {"jumped": "jumped", "happy": "hap|py", "little": "lit|tle", "over": "o|ver", "rainbow": "rain|bow", "make": "make", "together": "to|geth|er", "People": "Peo|ple", "lives": "lives", "where\u2019s": "where's", "'": ""}
     for word, parts in english.items():
         assert "|".join(one(spark, X.english_syllables(F.lit(word)))) == parts
     malay = {"sayang": "sa|yang", "dia": "di|a", "buah": "bu|ah", "ketipung": "ke|ti|pung", "kambing": "kam|bing", "bagai": "ba|gai"}
