@@ -16,6 +16,7 @@ from melodyspark.jobs.sql import duck
 from melodyspark.operators import charting as C
 from melodyspark.operators import islands as L
 from melodyspark.operators import lyrics as Y
+from melodyspark.operators import quality as Z
 from melodyspark.operators import sequences as Q
 from melodyspark.operators import signal as G
 from melodyspark.operators import stats as A
@@ -216,13 +217,13 @@ def w25_attack_moves(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("frame_id").agg(S.round_to(F.min_by("at", F.struct(away, F.col("at"))), 2).alias("t"))
 
 
-@query(duck("notes", more={"q": "SELECT recording_id, floor(onset / 20)::INT AS section, (row_number() OVER (PARTITION BY recording_id, floor(onset / 20) ORDER BY onset, frame_id) - 1)::INT AS q, midi, frame_id FROM notes"}, body="SELECT a.frame_id, (b.midi + 2)::INT AS midi, b.midi IS NULL AS missing FROM q a LEFT JOIN q b ON a.recording_id = b.recording_id AND b.section = a.section - 1 AND a.q = b.q WHERE a.section % 2 = 1"))
+@query(duck("secnotes", more={"q": "SELECT recording_id, section, line % 4 AS line, (row_number() OVER (PARTITION BY recording_id, section, line ORDER BY onset, frame_id) - 1)::INT AS q, midi FROM secnotes"}, body="SELECT a.recording_id, a.section, a.line::INT AS line, a.q, a.midi AS old, (b.midi + 2)::INT AS new FROM q a LEFT JOIN q b ON a.recording_id = b.recording_id AND b.section = a.section - 1 AND a.line = b.line AND a.q = b.q"))
 def j18_copy_tune(spark: SparkSession, sf: str) -> DataFrame:
-    """Pitches of a section from the section before, syllable by syllable, transposed; missing counterparts are reported."""
-    n = T.with_section(T.notes(spark, sf)).withColumn("q", F.row_number().over(Window.partitionBy("recording_id", "section").orderBy(*ORDER)) - 1)
-    source = n.select("recording_id", (F.col("section") + 1).alias("section"), "q", F.col("midi").alias("from"))
-    out = n.where("section % 2 = 1").select("recording_id", "section", "q", "frame_id").join(source, ["recording_id", "section", "q"], "left")
-    return out.select("frame_id", (F.col("from") + 2).alias("midi"), F.col("from").isNull().alias("missing"))
+    """Every section takes the tune of the one before, line by line and syllable by syllable, two semitones up; missing counterparts have none."""
+    q = F.row_number().over(Window.partitionBy("recording_id", "section", "line").orderBy(*ORDER)) - 1
+    n = T.with_section(T.notes(spark, sf)).withColumn("q", q).select("recording_id", "section", (F.col("line") % 4).alias("line"), "q", "midi")
+    rules = n.select("recording_id", "section", "line").distinct().select("recording_id", "section", (F.col("section") - 1).alias("source"), "line", F.lit(1000).alias("syllables"), F.lit(2).alias("transpose"))
+    return Z.copied_tune(n, rules, "recording_id")
 
 
 @query(duck("words", more={"j": "SELECT *, lower(regexp_replace(word || coalesce(lead(word) OVER w, '') || coalesce(lead(word, 2) OVER w, ''), '[^A-Za-z]', '', 'g')) AS acc FROM words WINDOW w AS (PARTITION BY recording_id ORDER BY pos)"}, body="SELECT recording_id, pos FROM j WHERE starts_with(acc, 'ofthe') OR starts_with(acc, 'dela') OR starts_with(acc, 'inund')"))
@@ -243,13 +244,13 @@ def h12_drop_known_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return P.drop_known(T.words(spark, sf).select("recording_id", "pos", "word"), known, ["recording_id"], "pos", "word")
 
 
-@query(duck("notes", more={"h": "SELECT recording_id, frame_id, onset, lyric FROM notes WHERE frame_id % 2 = 0 AND lyric <> ''", "p": "SELECT recording_id, frame_id AS other, onset + 0.5::DOUBLE AS at, lyric AS variant FROM notes WHERE frame_id % 2 = 1 AND lyric <> ''"}, body="SELECT h.frame_id, p.other, variant = lyric AS same FROM h JOIN p ON h.recording_id = p.recording_id AND abs(p.at - h.onset) <= 1.2::DOUBLE"))
+@query(duck("notes", more={"h": "SELECT recording_id, frame_id, onset, lyric, rms AS p FROM notes WHERE lyric <> ''", "o": "SELECT recording_id, frame_id AS other, onset + 0.5::DOUBLE AS at, lyric AS variant, rms AS q FROM notes WHERE lyric <> ''"}, body="SELECT h.frame_id, o.other, variant = lyric AS same FROM h JOIN o ON h.recording_id = o.recording_id AND abs(o.at - h.onset) < 1.2::DOUBLE AND least(p, q) >= 0.4::DOUBLE"))
 def j12_pass_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of the hinted pass with those of the unprompted pass within 1.2 s."""
+    """Sure words (p of .4 or more) of the hinted pass with those of the unprompted pass within 1.2 s, which heard every word half a second late."""
     n = T.notes(spark, sf).where("lyric != ''")
-    h = n.where("frame_id % 2 = 0").select("recording_id", "frame_id", "onset", "lyric", (F.col("onset") - 1.3).alias("lo"), (F.col("onset") + 1.3).alias("hi"))
-    p = n.where("frame_id % 2 = 1").select("recording_id", F.col("frame_id").alias("other"), (F.col("onset") + 0.5).alias("at"), F.col("lyric").alias("variant"))
-    d = interval_join(p, h, ["recording_id"], "at", "lo", "hi", 3.0).where(F.abs(F.col("at") - F.col("onset")) <= 1.2)
+    h = n.select("recording_id", "frame_id", "onset", "lyric", F.col("rms").alias("p"), (F.col("onset") - 1.3).alias("lo"), (F.col("onset") + 1.3).alias("hi"))
+    o = n.select("recording_id", F.col("frame_id").alias("other"), (F.col("onset") + 0.5).alias("at"), F.col("lyric").alias("variant"), F.col("rms").alias("q"))
+    d = interval_join(o, h, ["recording_id"], "at", "lo", "hi", 3.0).where((F.abs(F.col("at") - F.col("onset")) < 1.2) & (F.least("p", "q") >= 0.4))
     return d.select("frame_id", "other", (F.col("variant") == F.col("lyric")).alias("same"))
 
 
@@ -372,3 +373,42 @@ def h16_locate_sections(spark: SparkSession, sf: str) -> DataFrame:
     pick = interval_join(gaps, room, ["recording_id"], "mid", "pz", "upto", 20.0).groupBy("recording_id", "section").agg(F.max_by("mid", F.struct("gap", "mid")).alias("mid"))
     out = ok.join(pick, ["recording_id", "section"], "left")
     return out.select("recording_id", "section", "heard", S.round_to(F.coalesce("mid", "a"), 3).alias("start"), S.round_to(F.col("z"), 3).alias("end"))
+
+
+@query()
+def j13_a15_sister_expectations(spark: SparkSession, sf: str) -> DataFrame:
+    """The pitch class that other sections sing at each syllable, in the section's own key; lines of five seconds."""
+    q = F.row_number().over(Window.partitionBy("recording_id", "section", "line").orderBy(*ORDER)) - 1
+    n = T.with_section(T.notes(spark, sf)).withColumn("q", q).select("recording_id", "section", F.lit(0).alias("verse"), (F.col("line") % 4).alias("line"), "q", "midi")
+    return Z.sister_expectations(n, "recording_id", "section", to_one_key(n, "recording_id", "section"))
+
+
+def to_one_key(syllables: DataFrame, key: str, section: str) -> DataFrame:
+    """key, section, shift: the transposition that brings each section's tune nearest to that of the longest (of equals the first)."""
+    order = F.struct("verse", "line", "q", "midi")
+    tunes = syllables.where("midi is not null").groupBy(key, section).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["midi"]).alias("_ms"))
+    longest = tunes.groupBy(key).agg(F.max(F.struct(F.size("_ms").alias("n"), (-F.col(section)).alias("s"), F.col("_ms").alias("ms"))).alias("_r"))
+    text = lambda notes, shift: F.array_join(F.transform(notes, lambda m: F.char(m + F.lit(20 + shift))), "")
+    both = tunes.join(longest, key)
+    tries = F.array_min(F.array(*[F.struct(F.levenshtein(text(F.col("_ms"), k), text(F.col("_r.ms"), 0)).alias("edits"), F.lit(k).alias("shift")) for k in SHIFTS]))
+    return both.select(key, section, F.when(F.col(section) == -F.col("_r.s"), 0).otherwise(tries["shift"]).alias("shift"))
+
+
+@query()
+def w24_excerpt_end_by_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each recording's excerpt ends: interlude, another register or wordless singing, else the widest gap."""
+    n = T.notes(spark, sf).select("recording_id", "frame_id", "onset", "end", "midi", "lyric")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        sung = p["lyric"] != ""
+        end = Q.excerpt_end(*(p[c].to_numpy() for c in ("onset", "end", "midi")), p["onset"][sung].to_numpy(), p["end"][sung].to_numpy())
+        return pd.DataFrame({"recording_id": [int(p["recording_id"].iloc[0])], "excerpt_end": [end]})
+
+    return Q.by_key(n, ["recording_id"], ORDER, fn, "recording_id long, excerpt_end double")
+
+
+@query(duck("notes", body="SELECT recording_id, frame_id, (row_number() OVER (PARTITION BY recording_id ORDER BY onset, \"end\", frame_id) - 1)::INT AS position FROM notes"))
+def t4_events_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of a recording in order of time, with their positions; recordings are never sorted among each other."""
+    w = Window.partitionBy("recording_id").orderBy("onset", "end", "frame_id")
+    return T.notes(spark, sf).select("recording_id", "frame_id", (F.row_number().over(w) - 1).alias("position"))

@@ -20,6 +20,31 @@ def expected_by_sisters(votes: DataFrame, keys: list[str], section: str, value:
     return best.where((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all"))).select(*keys, section, (-F.col("b.v")).cast("int").alias(value))
 
 
+def sister_expectations(syllables: DataFrame, key: str, section: str, transpositions: DataFrame, least_sections: int = 3, least: int = 2, share: float = 0.6) -> DataFrame:
+    """The pitch class that other sections of a song sing at each syllable: ``key``, ``section``, verse, line, q, pc in the section's own key.
+
+    Syllables: ``key``, ``section``, verse, line, q, midi. Sections vote where they have the same line with as many syllables, after
+    ``transpositions`` (``key``, ``section``, shift) has brought them to one key; songs of fewer than ``least_sections`` have no expectation.
+    """
+    own = [key, section, "verse", "line"]
+    many = syllables.groupBy(key).agg(F.count_distinct(section).alias("_s")).where(F.col("_s") >= least_sections).select(key)
+    sized = syllables.join(many, key).join(syllables.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")), own).join(transpositions, [key, section])
+    votes = sized.where("midi is not null").withColumn("pc", F.pmod(F.col("midi") + F.col("shift"), F.lit(12)))
+    got = expected_by_sisters(votes.select(key, "line", "_n", "q", section, "pc"), [key, "line", "_n", "q"], section, "pc", least, share)
+    out = sized.join(got, [key, section, "line", "_n", "q"])
+    return out.select(*own, "q", F.pmod(F.col("pc") - F.col("shift"), F.lit(12)).cast("int").alias("pc"))
+
+
+def copied_tune(syllables: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Syllables of sections that take their tune from another: ``key``, section, line, q, old, new; new is null where the source has no counterpart.
+
+    Syllables: ``key``, section, line, q, midi. Rules: ``key``, section, source, line, syllables (how many of the line), transpose.
+    """
+    source = syllables.select(key, F.col("section").alias("source"), "line", "q", F.col("midi").alias("_from"))
+    mine = syllables.join(rules, [key, "section", "line"]).where(F.col("q") < F.col("syllables"))
+    return mine.join(source, [key, "source", "line", "q"], "left").select(key, "section", "line", "q", F.col("midi").alias("old"), (F.col("_from") + F.col("transpose")).alias("new"))
+
+
 def diff_versions(old: DataFrame, new: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     """Rows added, removed or changed between two versions: ids, change, old_* and new_*."""
     a = old.select(*ids, *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("_a"))

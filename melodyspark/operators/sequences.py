@@ -239,3 +239,42 @@ def reattacks(rms: np.ndarray, near: int = 6, side: int = 25, depth: float = 0.4
         else:
             k += 1
     return out
+
+
+def excerpt_end(onset: np.ndarray, end: np.ndarray, midi: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, breath: float = 0.45, least: float = 15.0, target: float = 24.0, most: float = 45.0, interlude: float = 2.5) -> float:
+    """Where an excerpt of whole stretches ends: the first end after ``least`` seconds of singing that an interlude, another
+    register (7 semitones from the median so far) or wordless singing follows; else before the widest gap from ``target`` to ``most`` seconds."""
+    new = np.concatenate([[True], onset[1:] - end[:-1] >= breath])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(onset)]])
+    widest: tuple[float, float] | None = None
+    for (_, z), (a2, z2) in zip(zip(first[:-1], last[:-1], strict=True), zip(first[1:], last[1:], strict=True), strict=True):
+        stop, sung = float(end[z - 1]), end[z - 1] - onset[0]
+        gap = float(onset[a2] - stop)
+        other = abs(np.median(midi[a2:z2]) - np.median(midi[:z])) >= 7
+        words = ((word_end > onset[a2] - 0.3) & (word_start < end[z2 - 1] + 0.3)).any()
+        if sung >= least and (gap >= interlude or other or not words):
+            return stop
+        if sung > most:
+            break
+        if sung >= target and (widest is None or gap > widest[0]):
+            widest = (gap, stop)
+    return widest[1] if widest else float(end[-1])
+
+
+def attack_move(before: float, boundary: float, end: float, t: np.ndarray, rms: np.ndarray) -> float | None:
+    """A strong loudness dip near the boundary of two touching notes of one pitch, None if it is no clearer than the boundary itself.
+
+    ``before`` is the first note's onset, ``end`` the second's end; t, rms: the loudness around both. A dip is at most .40 deep, .025 to
+    .10 s away, .12 s inside, and 40 % quieter than the boundary.
+    """
+    at, depth = dips(t, rms, before, end, edge=0.09, spacing=0.08)
+    x = t[at]
+    good = (depth <= 0.40) & (np.abs(x - boundary) >= 0.025) & (np.abs(x - boundary) <= 0.10) & (x - before >= 0.12) & (end - x >= 0.12)
+    if not good.any():
+        return None
+    cut = float(min(x[good], key=lambda v: abs(v - boundary)))
+    here, valley = rms[np.abs(t - boundary) <= 0.015], rms[np.abs(t - cut) <= 0.01]
+    if not len(here) or not len(valley) or valley.min() >= 0.6 * here.min():
+        return None
+    return float(np.rint(cut * 100) / 100)

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from melodyspark.operators import edits, intervals, islands, quality, scoring, sequences, stats
+from melodyspark.jobs.sequence_queries import to_one_key
+from melodyspark.operators import charting, edits, intervals, islands, quality, scoring, sequences, stats
 from melodyspark.streaming import live
 
 
@@ -159,8 +160,9 @@ def test_dips_atoms_and_reattacks():
 
 def test_streaming_steps_do_not_depend_on_batches():
     rng = np.random.default_rng(2)
-    rows = pd.DataFrame({"frame_id": range(60), "t": np.cumsum(rng.random(60)), "midi": rng.integers(50, 80, 60).astype(float), "voiced": rng.random(60) < 0.8, "hit": rng.random(60) < 0.7})
-    for step in (live.combo_step, live.confirm_step, live.register_step):
+    t = np.cumsum(rng.random(60) / 10)
+    rows = pd.DataFrame({"frame_id": range(60), "t": t, "midi": rng.integers(50, 80, 60).astype(float), "voiced": rng.random(60) < 0.8, "hit": rng.random(60) < 0.7, "expected": 60.0, "phrase": (t // 1).astype(int), "step": (t // 1).astype(int), "run": (t // 1.5).astype(int)})
+    for step in (live.combo_step, live.confirm_step, live.register_step, lambda now, x: live.setup_step(now, x, least=0.1, tolerance=12.0)):
         whole, made = step({}, rows)
         state, parts = {}, []
         for i in range(0, 60, 7):
@@ -169,3 +171,98 @@ def test_streaming_steps_do_not_depend_on_batches():
         assert str(state) == str(whole)
         if step is not live.combo_step:
             assert parts == made
+
+
+def _samples(*rows, **same):
+    return pd.DataFrame([dict(zip(("t", "midi", "voiced"), r, strict=True)) for r in rows]).assign(frame_id=range(len(rows)), **same)
+
+
+def test_a_new_run_begins_anew():
+    rows = pd.DataFrame({"t": [0.0, 1.0, 2.0, 0.5, 3.0, 1.5], "hit": [True, True, True, True, False, True], "run": [1, 1, 1, 2, 1, 2]})
+    state, made = live.combo_step({}, rows)
+    # the late sample of the first run is ignored
+    assert made == [(1, 3, 3, 3), (2, 2, 2, 2)] and state["run"] == 2
+
+
+def test_jumps_are_confirmed():
+    # the first pitch at once; a glitch is held; a jump that lasts 25 ms counts; a gap holds; silence clears
+    rows = _samples((0.0, 60.0, True), (0.010, 72.0, True), (0.030, 72.0, True), (0.036, 72.0, True), (0.1, 0.0, False), (0.2, 72.0, True), (0.5, 0.0, False))
+    assert [p for _, p in live.confirm_step({}, rows)[1]] == [60.0, 60.0, 60.0, 72.0, 72.0, 72.0, None]
+    assert live.confirm_quiet({"pitch": 60.0}) == ({"pitch": 60.0}, [(None, None)]) and live.confirm_quiet({"pitch": float("nan")})[1] == []
+
+
+def test_the_register_changes_between_phrases():
+    def octaves(rows, phrase):
+        return [o for _, o in live.register_step({}, _samples(*rows, expected=52.0).assign(phrase=phrase))[1]]
+
+    up = [(0.01, 64.0, True), (0.04, 64.0, True), (0.10, 64.0, True)]
+    assert octaves(up, 1) == [0, 0, 1]
+    # 80 ms of evidence, silence and other pitches interrupt it
+    assert octaves([(0.01, 64.0, True), (0.02, 0.0, False), (0.32, 64.0, True)], 1) == [0, 0, 0]
+    assert octaves([(0.01, 64.0, True), (0.05, 66.0, True), (0.12, 64.0, True)], 1) == [0, 0, 0]
+    # a phrase that began right keeps its register, the next one may change
+    rows = [(0.0, 52.0, True), (0.1, 64.0, True), (0.3, 64.0, True), (0.4, 64.0, True), (0.5, 64.0, True)]
+    assert octaves(rows, [1, 1, 1, 2, 2]) == [0, 0, 0, 0, 1]
+
+
+def test_voice_setup():
+    match = lambda t: [(x, 60.3, True) for x in t]
+    steps = lambda rows: [m[0] for m in live.setup_step({}, _samples(*rows, expected=60.0, step=4))[1]]
+    assert steps(match([0.0, 0.1, 0.2, 0.3, 0.4])) == [4]
+    assert steps(match([0.0, 0.1, 0.2])) == [] and steps(match([0.0, 0.1, 0.25, 0.35])) == []
+    # another octave is no match, and neither is a pitch class that is off
+    assert steps([(x / 20, 72.0, True) for x in range(20)]) == [] and steps([(x / 20, 63.0, True) for x in range(20)]) == []
+
+
+def test_excerpt_ends():
+    onset = np.arange(60) * 1.0
+    end = onset + 0.7
+    midi = np.full(60, 60)
+    cut = lambda end=end, midi=midi, words=onset, onset=onset: sequences.excerpt_end(onset, end, midi, words, words + 0.5)
+    gone = onset.copy()
+    gone[20:] += 2.5
+    assert cut(onset=gone, end=gone + 0.7, words=gone) == 19.7
+    high = midi.copy()
+    high[30:] = 67
+    parted = onset.copy()
+    parted[30:] += 0.5
+    assert cut(onset=parted, end=parted + 0.7, midi=high, words=parted) == 29.7
+    assert cut(onset=parted, end=parted + 0.7, words=parted[:30]) == 29.7
+    # nothing of the kind: before the widest gap from 24 to 45 s
+    wide = onset.copy()
+    wide[28:] += 0.3
+    wide[40:] += 0.6
+    assert cut(onset=wide, end=wide + 0.7, words=wide) == round(39.3 + 0.7, 1) or abs(cut(onset=wide, end=wide + 0.7, words=wide) - 40.0) < 1e-9
+    assert cut(end=onset + 0.99) == 59.99
+
+
+def test_attacks_move_to_strong_dips(spark):
+    t = np.arange(0, 2.0, 0.005)
+    dip = lambda at, depth: 1 - depth * np.exp(-(((t - at) / 0.012) ** 2))
+    move = lambda rms, boundary=1.0: sequences.attack_move(0.0, boundary, 2.0, t, rms)
+    assert move(dip(1.06, 0.8)) == 1.06 and move(dip(0.95, 0.8)) == 0.95
+    assert move(np.ones(len(t))) is None and move(dip(1.06, 0.5)) is None and move(dip(1.12, 0.8)) is None and move(dip(1.01, 0.8)) is None
+    # the boundary is as clear an attack itself
+    assert move(dip(1.06, 0.8) * dip(1.0, 0.75)) is None
+    n = spark.createDataFrame([(1, 1, 0, 0.0, 1.0, 60, "a"), (1, 2, 0, 1.0, 2.0, 60, "b"), (2, 1, 0, 0.0, 1.0, 60, "a"), (2, 2, 0, 1.0, 2.0, 61, "b")], "rec int, note int, section int, onset double, end double, midi int, lyric string")
+    e = spark.createDataFrame([(k, float(a), float(b)) for k in (1, 2) for a, b in zip(t, dip(1.06, 0.8), strict=True)], "rec int, t double, rms double")
+    assert [tuple(r) for r in charting.attack_moves(n, e, ["rec"], "note").collect()] == [(1, 2, 1.06)]
+
+
+def test_sister_votes(spark):
+    verses = {"a": [62, 64, 66], "b": [62, 64, 66], "c": [64, 66, 68], "d": [62, 62, 66]}
+    names = {x: k for k, x in enumerate(verses)}
+    rows = [("s", names[v], 0, 0, q, m) for v, notes in verses.items() for q, m in enumerate(notes)] + [("two", k, 0, 0, 0, 62 + 2 * k) for k in range(2)]
+    n = spark.createDataFrame(rows, "song string, section int, verse int, line int, q int, midi int")
+    got = {}
+    for r in quality.sister_expectations(n, "song", "section", to_one_key(n, "song", "section")).collect():
+        got.setdefault((r["song"], r["section"]), {})[r["q"]] = r["pc"]
+    assert got["s", names["d"]] == {0: 2, 1: 4, 2: 6} and got["s", names["c"]] == {0: 4, 1: 6, 2: 8} and not [k for k in got if k[0] == "two"]
+
+
+def test_copied_tune(spark):
+    n = spark.createDataFrame([(1, s, line, q, 60 + 10 * s + q) for s in (0, 1) for line in (0, 1) for q in range(3 - s * line)] + [(1, 1, 1, 3, 50)], "rec int, section int, line int, q int, midi int")
+    rules = spark.createDataFrame([(1, 1, 0, 0, 2, -1), (1, 1, 0, 1, 9, 0)], "rec int, section int, source int, line int, syllables int, transpose int")
+    got = sorted((r["line"], r["q"], r["new"]) for r in quality.copied_tune(n, rules, "rec").collect())
+    assert got == [(0, 0, 59), (0, 1, 60), (1, 0, 60), (1, 1, 61), (1, 3, None)]
+
