@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from melodyspark.functions import scalars as S
 from melodyspark.jobs.registry import query
 from melodyspark.jobs.sql import duck, r
+from melodyspark.operators import audit as U
 from melodyspark.operators import intervals as I
 from melodyspark.operators import quality as Q
 from melodyspark.operators import stats as A
@@ -71,24 +72,17 @@ _ANCHORS = {"anchors": "SELECT recording_id, frame_id, t + 0.37::DOUBLE AS start
 
 @query(duck("notes", more={**_ANCHORS, "d": "SELECT recording_id, onset - start AS d FROM near WHERE abs(onset - start) <= 1.0"}, body=f"SELECT recording_id, count(*) AS used, {r('CASE WHEN count(*) >= 3 THEN median(d) ELSE 0 END', 4)} AS shift FROM d GROUP BY recording_id"))
 def j6_anchor_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Constant lateness of word times: the median distance to the nearest note onset within a second, from three on."""
-    return anchor_shift(T.frames(spark, sf), T.notes(spark, sf))
-
-
-def anchor_shift(frames: DataFrame, notes: DataFrame) -> DataFrame:
-    words = frames.select("recording_id", "frame_id", (F.col("t") + 0.37).alias("start"))
-    near = I.nearest(words, notes, ["recording_id"], "start", "onset", "frame_id")
-    d = words.join(near, ["recording_id", "frame_id"]).withColumn("d", F.col("nearest") - F.col("start")).where(F.abs("d") <= 1.0)
-    return d.groupBy("recording_id").agg(F.count(F.lit(1)).alias("used"), S.round_to(F.when(F.count(F.lit(1)) >= 3, F.median("d")).otherwise(0.0), 4).alias("shift"))
+    """Constant lateness of word times: every frame is a word, .37 s late."""
+    words = T.frames(spark, sf).select("recording_id", "frame_id", (F.col("t") + 0.37).alias("start"))
+    found = U.anchor_shift(words, T.notes(spark, sf), ["recording_id"], "frame_id")
+    return found.withColumn("shift", S.round_to(F.col("shift"), 4))
 
 
 @query(duck("notes", more={"att": "SELECT recording_id, t AS at FROM frames WHERE NOT voiced", "p": "SELECT n.frame_id, a.at, a.at - n.onset AS delta, row_number() OVER (PARTITION BY n.frame_id ORDER BY abs(a.at - n.onset), a.at) AS k FROM notes n JOIN att a ON n.recording_id = a.recording_id AND abs(a.at - n.onset) <= 0.30::DOUBLE"}, body=f"SELECT frame_id, {r('delta', 4)} AS delta, abs(delta) > 0.1::DOUBLE AS late FROM p WHERE k = 1"))
 def j7_nearest_attack(spark: SparkSession, sf: str) -> DataFrame:
-    n = T.notes(spark, sf).select("recording_id", "frame_id", "onset", (F.col("onset") - 0.5).alias("a"), (F.col("onset") + 0.5).alias("b"))
-    at = T.frames(spark, sf).where(~F.col("voiced")).select("recording_id", F.col("t").alias("at"))
-    d = I.interval_join(at, n, ["recording_id"], "at", "a", "b", 2.0).withColumn("delta", F.col("at") - F.col("onset")).where(F.abs("delta") <= 0.30)
-    best = d.groupBy("frame_id").agg(F.min_by("delta", F.struct(F.abs("delta"), F.col("at"))).alias("delta"))
-    return best.select("frame_id", S.round_to(F.col("delta"), 4).alias("delta"), (F.abs("delta") > 0.1).alias("late"))
+    attacks = T.frames(spark, sf).where(~F.col("voiced")).select("recording_id", F.col("t").alias("at"))
+    best = U.nearest_attack(T.notes(spark, sf), attacks, ["recording_id"], "frame_id")
+    return best.select("frame_id", S.round_to(F.col("delta"), 4).alias("delta"), "late")
 
 
 _STRETCH = {"g": 'SELECT *, CASE WHEN onset - lag("end") OVER w >= 1.2 THEN 1 WHEN lag("end") OVER w IS NULL THEN 1 ELSE 0 END AS new FROM notes WINDOW w AS (PARTITION BY recording_id ORDER BY onset, frame_id)', "h": "SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY onset, frame_id) AS grp FROM g", "stretch": 'SELECT recording_id, grp, min(onset) AS start, max("end") AS "end", count(*) AS notes FROM h GROUP BY ALL'}

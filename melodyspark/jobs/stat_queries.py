@@ -10,7 +10,7 @@ from melodyspark.jobs.interval_queries import READ_SQL, SPANS, span_points, span
 from melodyspark.jobs.registry import query
 from melodyspark.jobs.scalar_queries import _LANE
 from melodyspark.jobs.sql import case_list, duck, r
-from melodyspark.operators import intervals as I
+from melodyspark.operators import audit as U
 from melodyspark.operators import quality as Q
 from melodyspark.operators import stats as A
 from melodyspark.operators import voice as V
@@ -80,13 +80,12 @@ def a9_second_opinion(spark: SparkSession, sf: str) -> DataFrame:
 @query(duck("frames", more=READ_SQL, body=f"""SELECT recording_id, span, frames, {r('coverage', 3)} AS voiced_fraction, {r('agreement', 3)} AS agreement, CASE WHEN frames < 4 OR coverage < 0.45::DOUBLE THEN 'insufficient-independent-voice' WHEN agreement < 0.65::DOUBLE THEN 'independent-pitch-disagreement' END AS flag,
 CASE WHEN NOT (frames < 4 OR coverage < 0.45::DOUBLE) AND agreement < 0.65::DOUBLE AND support >= 0.3::DOUBLE THEN round_even(median, 0)::INT END AS candidate FROM reads WHERE frames < 4 OR coverage < 0.45::DOUBLE OR agreement < 0.65::DOUBLE"""))
 def a10_review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes to review: too little independent voice, or a voice that disagrees, with a candidate where it is steady."""
+    """Notes to review, with a candidate where the voice is steady: three frames in ten are enough here."""
     pts = span_points(spark, sf)
     agree = pts.groupBy("recording_id", "span").agg(F.avg(F.when(F.col("voiced"), (F.abs(F.col("midi") - F.col("expected")) <= 0.65).cast("int"))).alias("agreement"))
     x = A.reading(pts, ["recording_id", "span"]).join(agree, ["recording_id", "span"])
-    weak = (F.col("frames") < 4) | (F.col("coverage") < 0.45)
-    flag = F.when(weak, "insufficient-independent-voice").when(F.col("agreement") < 0.65, "independent-pitch-disagreement")
-    cand = F.when((flag == "independent-pitch-disagreement") & (F.col("support") >= 0.3), F.rint("median").cast("int"))
+    flag = U.review_flag(F.col("frames"), F.col("coverage"), F.col("agreement"))
+    cand = U.candidate_pitch(flag, F.col("median"), F.col("support"), sure=0.3)
     return x.select("recording_id", "span", "frames", S.round_to(F.col("coverage"), 3).alias("voiced_fraction"), S.round_to(F.col("agreement"), 3).alias("agreement"), flag.alias("flag"), cand.alias("candidate")).where("flag is not null")
 
 
@@ -94,14 +93,7 @@ def a10_review_queue(spark: SparkSession, sf: str) -> DataFrame:
     "q": "SELECT recording_id, section, avg((frame_id % 5 = 0)::INT) AS fl, coalesce(median(step), 0) AS med, count(*) FILTER (WHERE step >= 9) / greatest(1, count(step))::DOUBLE AS leap, avg((lyric <> '')::INT) AS lab FROM j GROUP BY ALL"},
     body=f"SELECT recording_id, section, {r('fl', 2)} AS flagged, med::DOUBLE AS median_step, {r('leap', 2)} AS leaps, {r('lab', 2)} AS labelled, CASE WHEN {r('fl', 2)} >= 0.35::DOUBLE OR {r('leap', 2)} >= 0.15::DOUBLE THEN 'pitch-unreliable' WHEN {r('lab', 2)} < 0.6::DOUBLE THEN 'lyrics-sparse' END AS quality FROM q"))
 def a11_section_quality(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("recording_id", "section").orderBy("onset", "frame_id")
-    n = T.with_section(T.notes(spark, sf))
-    step = F.when(F.lead("onset").over(w) - F.col("end") < 0.3, F.abs(F.lead("midi").over(w) - F.col("midi")))
-    q = n.withColumn("step", step).groupBy("recording_id", "section").agg(
-        S.round_to(F.avg((F.col("frame_id") % 5 == 0).cast("int")), 2).alias("flagged"), F.coalesce(F.median("step"), F.lit(0.0)).alias("median_step"),
-        S.round_to(F.count_if(F.col("step") >= 9) / F.greatest(F.lit(1), F.count("step")), 2).alias("leaps"), S.round_to(F.avg((F.col("lyric") != "").cast("int")), 2).alias("labelled"),
-    )
-    return q.withColumn("quality", F.when((F.col("flagged") >= 0.35) | (F.col("leaps") >= 0.15), "pitch-unreliable").when(F.col("labelled") < 0.6, "lyrics-sparse"))
+    return U.section_quality(T.with_section(T.notes(spark, sf)), ["recording_id", "section"], ["onset", "frame_id"], F.col("frame_id") % 5 == 0)
 
 
 _STATUS = "CASE frame_id % 4 WHEN 0 THEN 'heard' WHEN 1 THEN 'heard+extra-sung' WHEN 2 THEN 'interpolated' ELSE 'not-heard' END"
@@ -115,9 +107,8 @@ def _status() -> F.Column:
 @query(duck("secnotes", more={"s": f"SELECT recording_id, section, unnest(string_split({_STATUS}, '+')) AS s FROM secnotes"}, body="SELECT recording_id, section, count(*) FILTER (WHERE s = 'heard') AS heard, count(*) FILTER (WHERE s = 'extra-sung') AS extra_sung, count(*) FILTER (WHERE s = 'interpolated') AS interpolated, count(*) FILTER (WHERE s = 'heard') < greatest(3, 0.3::DOUBLE * count(*)) AS absent FROM s GROUP BY ALL"))
 def a12_a14_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Statuses of a section's words, where one word can have two; a verse with few heard words is absent."""
-    s = T.with_section(T.notes(spark, sf)).select("recording_id", "section", F.explode(F.split(_status(), "\\+")).alias("s"))
-    n = s.groupBy("recording_id", "section").agg(*[F.count_if(F.col("s") == v).alias(v.replace("-", "_")) for v in ("heard", "extra-sung", "interpolated")], F.count(F.lit(1)).alias("n"))
-    return n.withColumn("absent", F.col("heard") < F.greatest(F.lit(3.0), 0.3 * F.col("n"))).drop("n")
+    n = T.with_section(T.notes(spark, sf)).withColumn("status", _status())
+    return U.status_counts(n, ["recording_id", "section"], "status", ["heard", "extra-sung", "interpolated"])
 
 
 @query(duck("secnotes", body="SELECT recording_id, section, count(*) AS notes, count(*) FILTER (WHERE lyric = '') AS unlabelled FROM secnotes GROUP BY ROLLUP (recording_id, section)"))
@@ -151,22 +142,17 @@ def _lane_sql(x: str) -> str:
 
 @query(duck("notes", more={"m": "SELECT recording_id, min(midi) AS lo, max(midi) AS hi FROM notes GROUP BY 1", "w": f"SELECT *, {_lane_sql('lo - 60')} AS w0, {_lane_sql('hi - 60')} AS w1 FROM m"}, body=f"SELECT recording_id, (hi - lo)::INT AS semitones, {r('w0 - greatest(0, 1 - (w1 - w0)) / 2', 3)} AS low, {r('w1 + greatest(0, 1 - (w1 - w0)) / 2', 3)} AS high FROM w"))
 def a19_lane_window(spark: SparkSession, sf: str) -> DataFrame:
-    m = T.notes(spark, sf).groupBy("recording_id").agg(F.min("midi").alias("lo"), F.max("midi").alias("hi"))
-    m = m.withColumn("w0", S.lane(F.col("lo") - 60)).withColumn("w1", S.lane(F.col("hi") - 60))
-    pad = F.greatest(F.lit(0.0), 1 - (F.col("w1") - F.col("w0"))) / 2
-    return m.select("recording_id", (F.col("hi") - F.col("lo")).cast("int").alias("semitones"), S.round_to(F.col("w0") - pad, 3).alias("low"), S.round_to(F.col("w1") + pad, 3).alias("high"))
+    return U.lane_window(T.notes(spark, sf), ["recording_id"]).select("recording_id", "semitones", S.round_to(F.col("low"), 3).alias("low"), S.round_to(F.col("high"), 3).alias("high"))
 
 
 @query(duck("frames", body="SELECT recording_id, string_agg(event_type, ',' ORDER BY t0, f0) AS kinds FROM (SELECT recording_id, event_type, min(t) AS t0, arg_min(frame_id, t) AS f0 FROM frames GROUP BY ALL) GROUP BY 1"))
 def a20_first_seen_order(spark: SparkSession, sf: str) -> DataFrame:
-    f = T.frames(spark, sf).groupBy("recording_id", "event_type").agg(F.min(F.struct("t", "frame_id")).alias("at"))
-    return f.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_type"))).alias("l")).select("recording_id", F.array_join(F.transform("l", lambda x: x["event_type"]), ",").alias("kinds"))
+    return U.first_seen(T.frames(spark, sf), ["recording_id"], "event_type", ["t", "frame_id"]).select("recording_id", F.array_join("values", ",").alias("kinds"))
 
 
 @query(duck("score", more={"p": "SELECT *, seq // 2 AS attack FROM score"}, body="SELECT song, attack, arg_max(o_orderkey, {'m': midi, 'k': o_orderkey}) AS o_orderkey, max(midi) AS midi FROM p GROUP BY ALL"))
 def a21_top_line(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.score_events(spark, sf).withColumn("attack", F.expr("seq div 2"))
-    return e.groupBy("song", "attack").agg(F.max_by("o_orderkey", F.struct("midi", "o_orderkey")).alias("o_orderkey"), F.max("midi").alias("midi"))
+    return U.top_line(T.score_events(spark, sf).withColumn("attack", F.expr("seq div 2")), ["song", "attack"], "o_orderkey")
 
 
 @query(duck("frames", more={"s": "SELECT event_type, rms, row_number() OVER (PARTITION BY event_type ORDER BY rms) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM frames"}, body="SELECT event_type, max(rms) FILTER (WHERE i = floor(0.5 * n)) AS median, max(rms) FILTER (WHERE i = floor(0.95::DOUBLE * n)) AS p95, max(rms) AS max FROM s GROUP BY 1"))
@@ -182,36 +168,33 @@ def a22_index_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 @query(duck("notes", more={"w": "SELECT recording_id, min(t) + 20 AS first_word FROM frames WHERE event_type = 'purchase' GROUP BY 1", "c": "SELECT n.recording_id, first_word, count(*) AS early, min(onset) AS start FROM notes n JOIN w USING (recording_id) WHERE onset < first_word - 0.6::DOUBLE GROUP BY ALL"}, body=f"SELECT recording_id, early, {r('start', 2)} AS start, {r('first_word', 2)} AS \"end\" FROM c WHERE early >= 8"))
 def a26_missing_opening(spark: SparkSession, sf: str) -> DataFrame:
     """Recordings sung for eight notes or more before the first transcribed word: the interval to transcribe again."""
-    w = T.frames(spark, sf).where("event_type = 'purchase'").groupBy("recording_id").agg((F.min("t") + 20).alias("first_word"))
-    early = T.notes(spark, sf).join(w, "recording_id").where(F.col("onset") < F.col("first_word") - 0.6)
-    g = early.groupBy("recording_id", "first_word").agg(F.count(F.lit(1)).alias("early"), F.min("onset").alias("start")).where("early >= 8")
-    return g.select("recording_id", "early", S.round_to(F.col("start"), 2).alias("start"), S.round_to(F.col("first_word"), 2).alias("end"))
+    w = T.frames(spark, sf).where("event_type = 'purchase'").select("recording_id", (F.col("t") + 20).alias("start"))
+    g = U.missing_openings(T.notes(spark, sf), w, ["recording_id"])
+    return g.select("recording_id", "early", S.round_to(F.col("start"), 2).alias("start"), S.round_to(F.col("end"), 2).alias("end"))
 
 
 @query(duck("frames", more={"p": "SELECT *, max(rms) OVER (PARTITION BY recording_id) AS peak FROM frames", "d": "SELECT recording_id, max(t) - min(t) AS gap FROM (SELECT recording_id, event_type, max(t) AS t FROM frames GROUP BY ALL) GROUP BY 1"}, body=f"SELECT recording_id, {r('max(t) + 0.5', 3)} AS last_audible, first(gap) > 0.2::DOUBLE AS discrepant FROM p JOIN d USING (recording_id) WHERE rms > 0.3::DOUBLE * peak GROUP BY 1"))
 def a27_durations(spark: SparkSession, sf: str) -> DataFrame:
-    """Last audible moment of a recording, and whether its assets end more than .2 s apart."""
+    """Last audible moment of a recording (at three tenths of the peak here), and whether its assets end more than .2 s apart."""
     f = T.frames(spark, sf)
-    ends = f.groupBy("recording_id", "event_type").agg(F.max("t").alias("t"), F.max("rms").alias("peak"))
-    whole = ends.groupBy("recording_id").agg((F.max("t") - F.min("t") > 0.2).alias("discrepant"), F.max("peak").alias("peak"))
-    loud = f.join(whole, "recording_id").where(F.col("rms") > 0.3 * F.col("peak"))
-    return loud.groupBy("recording_id").agg(S.round_to(F.max("t") + 0.5, 3).alias("last_audible"), F.first("discrepant").alias("discrepant"))
+    ends = f.groupBy("recording_id", "event_type").agg(F.max("t").alias("length"))
+    loud = U.last_audible(f, ["recording_id"], share=0.3).join(U.discrepant_lengths(ends, ["recording_id"]), "recording_id")
+    return loud.select("recording_id", S.round_to(F.col("last_audible"), 3).alias("last_audible"), "discrepant")
 
 
 @query(duck("notes", more={"c": "SELECT recording_id, max(onset) - 10 AS cut, count(*) AS notes, count(*) FILTER (WHERE lyric = '') AS unlabelled, count(*) FILTER (WHERE frame_id % 6 = 0) AS splits, count(*) FILTER (WHERE midi > 80) AS high FROM notes GROUP BY 1"}, body="SELECT c.recording_id, notes, unlabelled, splits, high, count(f.t) AS words_after_cut FROM c LEFT JOIN frames f ON f.recording_id = c.recording_id AND f.t >= cut GROUP BY ALL"))
 def a28_song_summary(spark: SparkSession, sf: str) -> DataFrame:
     f = T.frames(spark, sf)
-    c = T.notes_of(f).groupBy("recording_id").agg((F.max("onset") - 10).alias("cut"), F.count(F.lit(1)).alias("notes"), F.count_if(F.col("lyric") == "").alias("unlabelled"), F.count_if(F.col("frame_id") % 6 == 0).alias("splits"), F.count_if(F.col("midi") > 80).alias("high"))
-    after = f.select("recording_id", "t").join(c.select("recording_id", "cut"), "recording_id").groupBy("recording_id").agg(F.count_if(F.col("t") >= F.col("cut")).alias("words_after_cut"))
-    return c.drop("cut").join(after, "recording_id")
+    n = T.notes_of(f)
+    cut = n.groupBy("recording_id").agg((F.max("onset") - 10).alias("cut"))
+    return U.song_summary(n, f, ["recording_id"], {"unlabelled": F.col("lyric") == "", "splits": F.col("frame_id") % 6 == 0, "high": F.col("midi") > 80}, cut)
 
 
 @query(duck("notes", more={"g": 'SELECT recording_id, onset - prev AS gap, (prev + onset) / 2 AS mid, floor((prev + onset) / 2 / 30)::INT AS range_no FROM (SELECT *, lag("end") OVER (PARTITION BY recording_id ORDER BY onset, frame_id) AS prev FROM notes) WHERE prev IS NOT NULL'}, body=f"SELECT recording_id, range_no, {r('mid', 4)} AS boundary FROM g QUALIFY row_number() OVER (PARTITION BY recording_id, range_no ORDER BY gap DESC, mid DESC) = 1"))
 def t1_widest_silence(spark: SparkSession, sf: str) -> DataFrame:
-    """The section boundary in each stretch of 30 s: the middle of its widest silence, the later of equals."""
-    prev = F.lag("end").over(Window.partitionBy("recording_id").orderBy("onset", "frame_id"))
-    g = T.notes(spark, sf).withColumn("prev", prev).where("prev is not null").withColumn("mid", (F.col("prev") + F.col("onset")) / 2).withColumn("range_no", F.floor(F.col("mid") / 30).cast("int"))
-    return g.groupBy("recording_id", "range_no").agg(S.round_to(F.max_by("mid", F.struct(F.col("onset") - F.col("prev"), F.col("mid"))), 4).alias("boundary"))
+    """The section boundary in each stretch of 30 s."""
+    g = U.widest_silences(T.notes(spark, sf), ["recording_id"], ["onset", "frame_id"], number=F.floor(F.col("mid") / 30).cast("int"))
+    return g.withColumn("boundary", S.round_to(F.col("boundary"), 4))
 
 
 @query(duck("notes", more={"a": "SELECT frame_id, onset, 'sung' AS src FROM notes", "b": "SELECT event_id AS frame_id, NULL::DOUBLE AS onset, 'extra' AS src FROM events WHERE event_type = 'error'"}, body=f"SELECT frame_id, {r('onset', 3)} AS onset, src FROM a UNION ALL SELECT * FROM b"))
