@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from melodyspark.llm.scratch import materialize, same_row, spread_join
+from melodyspark.llm.scratch import big_keys, materialize, same_row, spread_join
 
 #: holders of a key that the second round aligns kept lines with, and the most a round takes; Spark limits such windows before the shuffle up to 1000 rows
 FIRST_HUBS, MOST_HUBS = 4, 512
@@ -185,7 +185,7 @@ def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
     shared = spots.groupBy("h").agg(F.min("at").alias("last"), F.max("at").alias("newest"), F.count(F.lit(1)).alias("holders")).where(F.col("last") < F.col("newest"))
     shared = materialize(shared.select("h", "last", "holders"), "shared-keys")
     # a very common line meets its first holder in many tasks
-    spots = materialize(spread_join(spots, shared, "h", "holders", F.col("at")), "shared-lines")
+    spots = materialize(spread_join(spots, shared.drop("holders"), "h", big_keys(shared, "h", "holders"), F.col("at")), "shared-lines")
     pairs = materialize(spots.where(F.col("at") > F.col("last")).select(F.col("last.rk").alias("a"), F.col("at.rk").alias("b")).distinct(), "pairs")
     gone = materialize(_aligned_away(pairs, table, min_chars), "gone")
 

@@ -17,7 +17,7 @@ pair a member and shingle, not all pairs; yet every pair that could link two com
 verified, so the components are exact. Frequencies of all shingles are counted; they decide only
 the order, never what is compared, and at most ``max_frequent`` of the most frequent are broadcast.
 
-A class is known by its smallest doc_id and a hash of that row's text, so classes differ even where
+A class is known by a 64-bit hash of the id and text of its first row, so classes differ even where
 rows repeat a doc_id. Texts of a class that meets many others are copied to several tasks.
 
 Defined results: null and empty texts have no shingles and are linked with nothing. Rows with a
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from melodyspark.llm.arrowtext import SPACED, U64, chunks, windows, words
 from melodyspark.llm.components import components
-from melodyspark.llm.scratch import materialize, same_row, spread_join
+from melodyspark.llm.scratch import big_keys, materialize, same_row, spread_join
 
 #: similarity as a fraction of whole numbers: 100 * intersection >= 80 * union
 NUM, DEN = 80, 100
@@ -196,8 +196,9 @@ def _near(n1: F.Column, i: F.Column, n2: F.Column, j: F.Column) -> F.Column:
 
 def _with_text(pairs: DataFrame, packed: DataFrame, side: str, other: str, most: int, max_broadcast: int) -> DataFrame:
     """``pairs`` with the packed text of one side; texts of more than ``most`` pairs are copied to several tasks."""
-    table = pairs.groupBy(F.col(side).alias("cid")).agg(F.count(F.lit(1)).alias("pairs")).join(packed, "cid").select(F.col("cid").alias(side), "pairs", F.col("packed").alias(f"t{side}"))
-    return spread_join(pairs, table, side, "pairs", F.col(other), most, max_broadcast)
+    big = big_keys(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("pairs")), side, "pairs", most)
+    table = packed.select(F.col("cid").alias(side), F.col("packed").alias(f"t{side}"))
+    return spread_join(pairs, table, side, big, F.col(other), max_broadcast)
 
 
 def verify(texts: DataFrame, pairs: DataFrame, size: int, max_broadcast: int = 1_000_000, most: int = 100) -> DataFrame:
@@ -205,15 +206,14 @@ def verify(texts: DataFrame, pairs: DataFrame, size: int, max_broadcast: int = 1
     ids = materialize(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids
     none = Order(np.empty(0, U64), np.empty(0, U64))
-    kind = pairs.schema["a"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [None if x is None else zlib.compress(x.encode(), 1) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["cid", "packed"])
 
-    named = texts.select(F.struct(F.col("doc_id").alias("d"), "k").alias("cid"), "text")
-    chosen = named.join(wanted, "cid", "left_semi").mapInArrow(pack, f"cid {kind}, packed binary").dropDuplicates(["cid"])
+    named = texts.select(F.col("k").alias("cid"), "text")
+    chosen = named.join(wanted, "cid", "left_semi").mapInArrow(pack, "cid long, packed binary").dropDuplicates(["cid"])
     chosen = materialize(chosen, "pair-texts")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def verify(texts: DataFrame, pairs: DataFrame, size: int, max_broadcast: int = 1
             yield pa.RecordBatch.from_arrays([c.take(pa.array(np.concatenate(good))) for c in b.columns[:2]], names=["a", "b"])
 
     full = _with_text(_with_text(pairs.select("a", "b"), chosen, "b", "a", most, max_broadcast), chosen, "a", "b", most, max_broadcast)
-    return full.select("a", "b", "ta", "tb").mapInArrow(judge, f"a {kind}, b {kind}")
+    return full.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -269,8 +269,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     order = frequent_shingles(texts, size, max_frequent)
     sig = materialize(signatures(texts, size, order), "signatures")
     usable = sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    full = usable.groupBy("n", "digest").agg(F.min(F.struct(F.col("doc_id").alias("d"), "k")).alias("cid"), F.first("prefix").alias("prefix"))
-    classes = materialize(full.select("cid", "n", "digest", F.xxhash64("prefix").alias("ph")), "classes")
+    full = usable.groupBy("n", "digest").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.first("prefix").alias("prefix"))
+    full = full.select("n", "digest", F.col("rep.k").alias("cid"), F.col("rep.doc_id").alias("low"), "prefix")
+    classes = materialize(full.select("cid", "low", "n", "digest", F.xxhash64("prefix").alias("ph")), "classes")
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     followers = materialize(classes.join(groups, ["n", "ph"]).where(F.col("cid") != F.col("gid")).select("cid", "gid", "ph"), "followers")
     few = followers.select("cid")
@@ -315,8 +316,10 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         fresh = materialize(verify(texts, pairs, size), "verified")
         links = fresh if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh)
         labels = components(links)
-    out = sig.select("doc_id", "n", "digest").join(_labelled(classes.select("cid", "n", "digest"), labels).select("n", "digest", "cid", "label"), ["n", "digest"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label.d", "doc_id")).alias("component_id")
+    known = _labelled(classes.select("cid", "low", "n", "digest"), labels)
+    lowest = known.groupBy("label").agg(F.min("low").alias("component"))
+    out = sig.select("doc_id", "n", "digest").join(known.join(lowest, "label").select("n", "digest", "component"), ["n", "digest"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component, F.lower(F.hex("digest")).alias("class_id"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +29,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote in this session; frames that still read them must have been written elsewhere."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def same_row(id_col: Column, text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes, equal for rows that agree in id and text; a null is a value of its own."""
     parts = id_col.isNull(), id_col.cast("string"), text.isNull(), text
@@ -46,15 +55,22 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, max_br
     return docs.join(F.broadcast(gone) if few else gone, (k1 == F.col("_gone1")) & (k2 == F.col("_gone2")), "left_anti")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, size_col: str, other: Column, most: int = 1000, max_broadcast: int = 1_000_000) -> DataFrame:
-    """``rows`` joined to ``table``, which has one row a key and in ``size_col`` the number of its rows.
+def big_keys(sizes: DataFrame, key: str, size_col: str, most: int = 1000) -> DataFrame | None:
+    """_key and _parts of the keys with more than ``most`` rows, at most one in ``most`` of all rows; None if there are none."""
+    big = sizes.where(F.col(size_col) > most).select(F.col(key).alias("_key"), F.ceil(F.col(size_col) / F.lit(most)).cast("int").alias("_parts"))
+    big = materialize(big, "big-keys")
+    return None if big.isEmpty() else big
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, big: DataFrame | None, other: Column, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key; rows of ``big`` keys are dealt over several tasks by ``other``.
 
-    Keys of more than ``most`` rows are dealt over several tasks by ``other``; such keys are at most one
-    in ``most`` of all rows and are broadcast up to ``max_broadcast`` of them.
+    The big keys are broadcast up to ``max_broadcast`` of them.
     """
-    parts = F.ceil(F.col(size_col) / F.lit(most)).cast("int")
-    big = materialize(table.where(F.col(size_col) > most).select(F.col(key).alias("_key"), parts.alias("_parts")), "big-keys")
+    if big is None:
+        return rows.join(table, key)
     big = F.broadcast(big) if big.count() <= max_broadcast else big
-    dealt = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1)))).drop("_key", "_parts")
-    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)).cast("long") - 1))).drop(size_col)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_part", F.pmod(F.xxhash64(other), parts)).drop("_key", "_parts")
+    copies = table.join(big, F.col(key) == F.col("_key"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("_key", "_parts")
     return dealt.join(copies, [key, "_part"]).drop("_part")

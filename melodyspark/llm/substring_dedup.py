@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from melodyspark.llm.arrowtext import SPACED, U64, Words, chunks, joined, mix, powers, windows, words
 from melodyspark.llm.fmindex import repeated_windows
-from melodyspark.llm.scratch import materialize, same_row, spread_join
+from melodyspark.llm.scratch import big_keys, materialize, same_row, spread_join
 
 GRAM, RUN = 8, 256
 _R = 0xA0761D6478BD642F
@@ -182,7 +182,7 @@ def repeated_spans(keyed: DataFrame, size: int = 35, hot: int = 1000, shard_word
     twice = table.groupBy("m").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("twice").cast("int")).alias("t"))
     twice = materialize(twice.where(F.col("rows") + F.col("t") > 1).select("m", "rows"), "minimizers")
     # the segments of a very common minimizer are dealt over many tasks
-    maybe = materialize(spread_join(table.drop("twice"), twice, "m", "rows", F.col("rk")), "segments")
+    maybe = materialize(spread_join(table.drop("twice"), twice.select("m"), "m", big_keys(twice, "m", "rows"), F.col("rk")), "segments")
     distinct = maybe.groupBy("m", "h1", "h2").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("rk", "start", "windows")).alias("at"))
     distinct = materialize(distinct.select("m", "h1", "h2", "weight", "at.*"), "distinct")
     crowded = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("m", F.lit(True).alias("hot"))

@@ -122,6 +122,19 @@ def test_token_counts(docs, empty):
     assert token_counts.length_histogram(token_counts.encoded_lengths(empty)).count() == 0
 
 
+def test_encoder_round_trip(docs):
+    """Every text decodes to itself, and no token joins two of the pattern's pieces."""
+    import regex
+
+    enc = token_counts.encoder(f"{token_counts.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.encoded_lengths(docs.where("doc_id is not null")).collect()}
+    for i, t in TEXTS:
+        if i is not None:
+            ids = enc.encode_ordinary(t or "")
+            assert enc.decode(ids) == (t or "") and got[i] == len(ids)
+            assert len(ids) == sum(len(enc.encode_ordinary(x)) for x in regex.findall(token_counts.PATTERN, t or ""))
+
+
 def test_mixing(docs, empty):
     plan = mixing.plan_mix(docs, entropy_share=0.99, max_repeats=3.0, block_docs=2)
     rows = plan.collect()

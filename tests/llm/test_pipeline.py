@@ -36,6 +36,19 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def normal(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def contaminated(words, windows):
+    hit = set()
+    for k in {len(w) for w in windows}:
+        for i in range(len(words) - k + 1):
+            if tuple(words[i : i + k]) in windows:
+                hit |= set(range(i, i + k))
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
@@ -72,6 +85,10 @@ def test_stages(spark):
                         x, y = find(a), find(b)
                         root[max(x, y)] = min(x, y)
             assert set(kept[name]) == {i for i in ids if find(i) == i}
+        if name == "decontamination":
+            items = [normal(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            windows = {tuple(w[i : i + min(13, len(w))]) for w in items if w for i in range(max(1, len(w) - 12))}
+            assert set(kept[name]) == {i for i, t in had.items() if not contaminated(normal(t), windows)}
         before = after
     mixed = corpus_pipeline.mix_sources(spark, before, SF)
     assert {"doc_id", "text", "epoch", "block_key"} <= set(mixed.columns)

@@ -58,8 +58,7 @@ def test_near_copies_equal_brute_force(spark, params):
 def test_hub_texts_are_copied_to_several_tasks(spark):
     base = prose(80)
     texts = spark.createDataFrame([(i, i * 7, f"{base} w{i}") for i in range(60)], "doc_id long, k long, text string")
-    pair = F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("k"))
-    pairs = texts.where("doc_id > 0").select(pair.alias("a"), F.struct(F.col("doc_id").alias("d"), "k").alias("b"))
+    pairs = texts.where("doc_id > 0").select(F.lit(0).cast("long").alias("a"), F.col("k").alias("b"))
     for most, bound in ((5, 10), (5, 0), (1000, 10**6)):
         assert ngram_join.verify(texts, pairs, 5, max_broadcast=bound, most=most).count() == 59
 
@@ -127,3 +126,15 @@ def test_blocks_of_the_benchmark_leave_columns_alone(spark):
     bench = spark.createDataFrame([(k, " ".join(text.split()[k : k + 14])) for k in range(20)], "item_id long, text string")
     left = decontaminate.drop_contaminated(docs, bench, max_bytes=500)
     assert left.columns == docs.columns and [tuple(r)[2:] for r in left.collect()] == [(8, "b")]
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from melodyspark.llm import scratch
+
+    made = scratch.materialize(spark.range(3), "three")
+    path = Path(scratch._written[spark.sparkContext.applicationId][-1])
+    assert made.count() == 3 and path.exists()
+    scratch.forget(spark)
+    assert not path.exists()
