@@ -60,6 +60,19 @@ def h2_line_leads(spark: SparkSession, sf: str) -> DataFrame:
     return g.where("no_word + shared + off_tune > 0")
 
 
+@query()
+def h2_leads_of_placed_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Leads of every line whose words were placed on its notes: shared and dropped words, notes without one, notes off their pitch."""
+    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "line", "frame_id", "onset", "end", "midi", "median", "lyric")
+    placed = C.place_units(n.drop("line", "lyric", "median"), _units(n), ["recording_id", "section"], "frame_id", "unit")
+    line = n.select(F.col("frame_id").alias("unit"), "line")
+    words = placed.join(line, "unit").groupBy("recording_id", "section", "line").agg(F.count_if("shared").alias("shared"), F.count_if(F.col("frame_id").isNull()).alias("dropped"))
+    owned = placed.where("frame_id is not null").select("frame_id", F.lit(True).alias("owned")).distinct()
+    off = F.count_if(F.abs(F.col("median") - F.col("midi")) > 0.4).alias("off_tune")
+    notes = n.join(owned, "frame_id", "left").groupBy("recording_id", "section", "line").agg(F.count_if(F.col("owned").isNull()).alias("no_word"), off)
+    return notes.join(words, ["recording_id", "section", "line"]).where("no_word + shared + dropped + off_tune > 0")
+
+
 @query()
 def h3_transcript_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Monotone alignment of each turn's tokens to those of the turn before, at the price of their relation."""

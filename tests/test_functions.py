@@ -1,5 +1,8 @@
 """Small cases of column functions, with the answers worked out by hand."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from melodyspark.functions import scalars as S
@@ -53,3 +56,57 @@ def test_sounds(spark):
     assert same("beep", "peep") and same("dikubas", "dikupas") and same("oi", "hoi")
     assert not same("star", "moon") and not same("", "a")
     assert one(spark, X.tokens(F.lit("小星 twin-kle, it's"))) == ["小", "星", "twin-kle", "it's"]
+
+
+def plain_english(word):
+    """The documented rule: cut after a vowel group, or after the first of several consonants; silent e and -ed end no syllable."""
+    core = re.sub("[^A-Za-z'-]", "", word.replace("\u2019", "'"))
+    if not re.search("[A-Za-z]", core):
+        return []
+    out = []
+    for part in filter(None, core.split("-")):
+        low = part.lower()
+        vowels = [m.span() for m in re.finditer("[aeiouy]+", low)]
+        if len(vowels) > 1 and vowels[-1] == (len(low) - 1, len(low)) and low[-1] == "e" and low[-2] != "l":
+            vowels.pop()
+        elif len(vowels) > 1 and low[-2:] == "ed" and low[-3] not in "td" and vowels[-1][1] == len(low) - 1:
+            vowels.pop()
+        cuts = [0, *[z if b - z <= 1 else z + 1 for (_, z), (b, _) in zip(vowels, vowels[1:])], len(part)]  # noqa: B905, RUF007
+        out += [part[a:z] for a, z in zip(cuts, cuts[1:]) if a < z]  # noqa: B905, RUF007
+    return out
+
+
+def plain_malay(word):
+    w = re.sub("[^A-Za-z]", "", word)
+    units = re.findall("ng|ny|sy|kh|gh|[a-z]", w.lower())
+    parts, last = [[]], None
+    for k, u in enumerate(units):
+        rest = units[k + 1 :]
+        vowel, final = u in "aeiou", not rest and last is not None and last + u in ("ai", "au", "oi")
+        if vowel and last is not None and not final:
+            # a vowel after a vowel parts; one consonant goes with the next vowel, of more the first stays
+            head = [x for x in parts[-1]]
+            at = max(i for i, x in enumerate(head) if x in "aeiou")
+            between = head[at + 1 :]
+            keep = at + 1 + (0 if len(between) <= 1 else 1)
+            parts[-1:] = [head[:keep], head[keep:]]
+        parts[-1].append(u)
+        last = u if vowel else (last if last is None else "-")
+    sizes = [sum(map(len, p)) for p in parts if p]
+    out, at = [], 0
+    for n in sizes:
+        out.append(w[at : at + n])
+        at += n
+    return out
+
+
+def test_syllables_against_plain_rules(spark):
+    rnd = random.Random(2)
+    bits = ["a", "e", "i", "o", "u", "y", "ed", "le", "b", "c", "d", "l", "ng", "ny", "r", "s", "st", "t", "th", "kh", "ai", "au", "'", "-"]
+    words = sorted({"".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7))) for _ in range(4000)} | {"Played", "little", "agreed", "baked", "added"})
+    known = {e.replace("-", "") for e in X.ENGLISH_EXCEPTIONS}
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.english_syllables(F.col("w")).alias("e"), X.malay_syllables(F.col("w")).alias("m"))
+    for r in df.collect():
+        if r["w"].lower() not in known:
+            assert r["e"] == plain_english(r["w"]), r["w"]
+        assert r["m"] == plain_malay(r["w"]), r["w"]
