@@ -49,10 +49,10 @@ def align(ref: list[str], heard: list[str], cost: Callable[[str, str], float], g
         table[i] = np.minimum.accumulate(start) + np.arange(m + 1) * gap
     out, i, j = [], n, m
     while i or j:
-        if i and j and np.isclose(table[i, j], table[i - 1, j - 1] + price[i - 1, j - 1]):
+        if i and j and abs(table[i, j] - table[i - 1, j - 1] - price[i - 1, j - 1]) < 1e-9:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and np.isclose(table[i, j], table[i - 1, j] + gap):
+        elif i and abs(table[i, j] - table[i - 1, j] - gap) < 1e-9:
             i -= 1
             out.append((i, -1))
         else:
