@@ -2,8 +2,9 @@
 
 Toxic and ordinary labelled texts each give character n-gram counts of their own (see kneserney); both
 back off to the same shortest n-grams, counted over both, so an expression too rare in one class is
-smoothed by what all texts have. A document's evidence is the difference of its log-likelihoods under
-the two models, each divided by its length. The evidence of labelled rows that no model was trained on
+smoothed by what all texts have. A toxic text is ordinary but for some expressions: its likelihood is
+that of the ordinary model with a small ``share`` of the toxic one mixed in at every character. A document's
+evidence is the difference of its toxic and ordinary log-likelihoods, each divided by its length. The evidence of labelled rows that no model was trained on
 is collected in a histogram of fixed size; a logistic curve, fitted to it under the assumption that some labels are wrong, turns evidence into a score from 0 to 1.
 
 Defined results: null and empty texts have no evidence and get the score of evidence 0. Labels
@@ -23,8 +24,10 @@ from melodyspark.llm.scratch import materialize, same_row, without
 
 #: how many of the shortest orders the classes share
 SHARED = 2
+#: the toxic model's share in the likelihood of toxic text
+SHARE = 0.002
 #: histogram of evidence: bins of this width, from -LIMIT to LIMIT
-BIN, LIMIT = 0.0005, 2.0
+BIN, LIMIT = 0.0001, 2.0
 
 
 def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -75,7 +78,8 @@ def evidence(docs: DataFrame, labels: DataFrame, row: Column, id_col: str, text_
     if not sides["c0"] or not sides["c1"]:
         return None
     model = kneserney.estimate(counts, ["c0", "c1"], SHARED, order)
-    model = materialize(model.select("g", "n", F.log("q_c0").alias("ordinary"), F.log("q_c1").alias("toxic")), "model")
+    mixed = F.log(SHARE * F.col("q_c1") + (1 - SHARE) * F.col("q_c0"))
+    model = materialize(model.select("g", "n", F.log("q_c0").alias("ordinary"), mixed.alias("toxic")), "model")
     scored = kneserney.score(docs.select(row.alias("row"), text), model, ["ordinary", "toxic"], order, lower=True, hot=hot)
     return scored.select("row", "n_scored", *[F.coalesce(F.try_divide(c, "n_scored"), F.lit(0.0)).alias(c) for c in ("ordinary", "toxic")])
 
