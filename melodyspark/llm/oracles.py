@@ -92,6 +92,35 @@ SELECT record_id, canonical, 2 * rp AS response_id, status, CASE WHEN status = '
 FROM s
 """
 
+OP12 = """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = f"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all({_LOW.format('text')}, '{_TERM}')) AS term FROM documents),
+bt AS (SELECT item_id, unnest(regexp_extract_all({_LOW.format('text')}, '{_TERM}')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+q AS (SELECT item_id, term, count(*) AS times FROM bt GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op4_source_mixing": OP4,
@@ -99,4 +128,6 @@ ORACLES = {
     "op8_exact_dedup": OP8,
     "op9_warc_revisits": OP9,
     "op10_substring_dedup": OP10,
+    "op12_hard_negatives": OP12,
+    "op13_ranked_search": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melodyspark.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, warc
+from melodyspark.llm import bpe, decontaminate, exact_dedup, hard_negatives, lexical, line_dedup, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, warc
 from melodyspark.llm.oracles import ORACLES
 
 
@@ -60,10 +60,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    hexed = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hexed(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_source_mixing, op5_benchmark_decontamination,
-        op6_toxicity, op7_line_dedup, op8_exact_dedup, op9_warc_revisits, op10_substring_dedup,
+        op6_toxicity, op7_line_dedup, op8_exact_dedup, op9_warc_revisits, op10_substring_dedup, op11_bpe_round_trip, op12_hard_negatives, op13_ranked_search,
     )
     return {f.__name__: f for f in ops}
 
