@@ -223,6 +223,8 @@ def _search_block(docs: DataFrame, queries: list, shard_docs: int, k: int, how:
             for r in range(b.num_rows):
                 ids, rows = b.column(0).slice(r, 1).flatten(), b.column(1).slice(r, 1).flatten()
                 shard = Shard.unpack(b.column(2)[r].as_py())
+                if not asked.value:
+                    continue
                 got = [(item, *shard.search(terms, times, len(rows), k)) for item, terms, times in asked.value]
                 number = pa.array(np.concatenate([x[1] for x in got]))
                 item = np.repeat([x[0] for x in got], [len(x[1]) for x in got])
