@@ -332,4 +332,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicate_components(docs, id_col, text_col, **params)
     gone = materialize(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
     few = gone.count() <= max_broadcast
-    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")

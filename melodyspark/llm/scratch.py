@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, tempfile.mkdtemp(prefix="melodyspark-"))
     return base.rstrip("/")
@@ -52,7 +54,8 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, max_br
     gone = materialize(gone.select(F.col("k1").alias("_gone1"), F.col("k2").alias("_gone2")).distinct(), "gone")
     k1, k2 = same_row(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string"))
     few = gone.count() <= max_broadcast
-    return docs.join(F.broadcast(gone) if few else gone, (k1 == F.col("_gone1")) & (k2 == F.col("_gone2")), "left_anti")
+    # by the frame, not by name: docs may have columns of these names
+    return docs.join(F.broadcast(gone) if few else gone, (k1 == gone["_gone1"]) & (k2 == gone["_gone2"]), "left_anti")
 
 
 def big_keys(sizes: DataFrame, key: str, size_col: str, most: int = 1000) -> DataFrame | None:

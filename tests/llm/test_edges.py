@@ -143,7 +143,7 @@ def test_mixing(docs, empty):
     assert sum(r["n_tokens"] * r["copies"] for r in rows) <= total
     assert mixing.plan_mix(empty).count() == 0
     mixed = mixing.mix(docs, block_docs=2)
-    assert set(docs.columns) | {"epoch", "block_key"} == set(mixed.columns)
+    assert set(docs.columns) | {"epoch", "block_key", "place_key"} == set(mixed.columns)
     one = mixing.plan_mix(docs.withColumn("source", F.lit("s")), block_docs=3).collect()
     assert all(r["copies"] == 1 for r in one if r["n_tokens"])
 

@@ -11,7 +11,7 @@ from melodyspark.llm import queries as registered
 from melodyspark.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
