@@ -15,7 +15,7 @@ from melodyspark.operators import stats as A
 from melodyspark.sources import tables as T
 
 #: test spans of ten seconds with an expected pitch, long enough to hold several frames
-SPANS = {"spans": "SELECT recording_id, k::INT AS span, k * 10.0::DOUBLE AS start, k * 10.0::DOUBLE + 10 AS \"end\", (50 + (recording_id + k) % 20)::INT AS expected FROM (SELECT DISTINCT recording_id FROM frames), range(12) u(k)"}
+SPANS = {"spans": "SELECT recording_id, k::INT AS span, k * 10.0::DOUBLE AS start, k * 10.0::DOUBLE + 10 AS \"end\", (50 + (recording_id + k) % 20)::INT AS expected FROM (SELECT recording_id, floor(max(t) / 10)::INT AS last FROM frames GROUP BY 1), unnest(generate_series(0, last)) AS u(k)"}
 _INSET = 'f.t >= s.start + least(0.05::DOUBLE, ("end" - start) * 0.2::DOUBLE) AND f.t < s."end" - least(0.04::DOUBLE, ("end" - start) * 0.2::DOUBLE)'
 READ_SQL = {
     **SPANS,
@@ -27,8 +27,7 @@ READ_SQL = {
 
 
 def spans(frames: DataFrame) -> DataFrame:
-    ids = frames.select("recording_id").distinct().withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    return ids.select("recording_id", "span", (F.col("span") * 10.0).alias("start"), (F.col("span") * 10.0 + 10).alias("end"), (50 + (F.col("recording_id") + F.col("span")) % 20).cast("int").alias("expected"))
+    return T.steps(frames, 10.0, "span").select("recording_id", "span", (F.col("span") * 10.0).alias("start"), (F.col("span") * 10.0 + 10).alias("end"), (50 + (F.col("recording_id") + F.col("span")) % 20).cast("int").alias("expected"))
 
 
 def span_points(spark: SparkSession, sf: str) -> DataFrame:

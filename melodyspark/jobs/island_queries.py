@@ -117,13 +117,14 @@ def w12_merge_held(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query(duck("notes", more={"x": f'SELECT *, lag("end") OVER {_W} AS prev FROM notes'}, body=f"SELECT recording_id, 'note' AS kind, {r('onset', 3)} AS start, {r('\"end\"', 3)} AS \"end\" FROM x UNION ALL SELECT recording_id, 'rest', {r('coalesce(prev, 0)', 3)}, {r('onset', 3)} FROM x WHERE onset > coalesce(prev, 0) UNION ALL SELECT recording_id, 'outro', {r('max(\"end\")', 3)}, 130.0::DOUBLE FROM x GROUP BY recording_id"))
+@query(duck("notes", "lengths", more={"x": f'SELECT *, lag("end") OVER {_W} AS prev FROM notes'}, body=f"SELECT recording_id, 'note' AS kind, {r('onset', 3)} AS start, {r('\"end\"', 3)} AS \"end\" FROM x UNION ALL SELECT recording_id, 'rest', {r('coalesce(prev, 0)', 3)}, {r('onset', 3)} FROM x WHERE onset > coalesce(prev, 0) UNION ALL SELECT recording_id, 'outro', {r('max(\"end\")', 3)}, {r('max(length)', 3)} FROM x JOIN lengths USING (recording_id) GROUP BY recording_id"))
 def w14_rests(spark: SparkSession, sf: str) -> DataFrame:
     """A timeline without gaps: notes, a rest for each silence, and the outro."""
-    x = T.notes(spark, sf).withColumn("prev", F.coalesce(F.lag("end").over(Window.partitionBy("recording_id").orderBy(*BY)), F.lit(0.0)))
+    f = T.frames(spark, sf)
+    x = T.notes_of(f).withColumn("prev", F.coalesce(F.lag("end").over(Window.partitionBy("recording_id").orderBy(*BY)), F.lit(0.0)))
     row = lambda kind, a, b: (F.lit(kind).alias("kind"), S.round_to(a, 3).alias("start"), S.round_to(b, 3).alias("end"))
     rests = x.where("onset > prev").select("recording_id", *row("rest", F.col("prev"), F.col("onset")))
-    outro = x.groupBy("recording_id").agg(F.max("end").alias("e")).select("recording_id", *row("outro", F.col("e"), F.lit(130.0)))
+    outro = x.groupBy("recording_id").agg(F.max("end").alias("e")).join(T.lengths(f), "recording_id").select("recording_id", *row("outro", F.col("e"), F.col("length")))
     return x.select("recording_id", *row("note", F.col("onset"), F.col("end"))).unionByName(rests).unionByName(outro)
 
 
@@ -149,12 +150,13 @@ def w22_first_voice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query(duck("secnotes", more={"s": 'SELECT recording_id, section, min(onset) AS a, max("end") AS z FROM secnotes GROUP BY ALL', "f": "SELECT *, first_value(a) OVER w AS a0, lag(z) OVER w AS prev_z, lead(a) OVER w AS next_a FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY section)", "c": "SELECT * FROM f WHERE prev_z IS NULL OR prev_z - a0 < 30",
-    "q": "SELECT recording_id, a0, max(z) AS z, count(*) AS sections, arg_max(next_a, section) AS nxt FROM c GROUP BY ALL"}, body=f"SELECT recording_id, sections, {r('CASE WHEN a0 > 6 THEN a0 - 4 ELSE 0 END', 2)} AS start, {r('CASE WHEN coalesce(nxt, 130) - z >= 0.6::DOUBLE THEN least(z + 1.4::DOUBLE, coalesce(nxt, 130) - 0.05::DOUBLE) ELSE greatest(z, coalesce(nxt, 130) - 0.02::DOUBLE) END', 2)} AS \"end\" FROM q"))
+@query(duck("secnotes", "lengths", more={"s": 'SELECT recording_id, section, min(onset) AS a, max("end") AS z FROM secnotes GROUP BY ALL', "f": "SELECT *, first_value(a) OVER w AS a0, lag(z) OVER w AS prev_z, lead(a) OVER w AS next_a FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY section)", "c": "SELECT * FROM f WHERE prev_z IS NULL OR prev_z - a0 < 30",
+    "q": "SELECT recording_id, a0, length, max(z) AS z, count(*) AS sections, arg_max(next_a, section) AS nxt FROM c JOIN lengths USING (recording_id) GROUP BY ALL"}, body=f"SELECT recording_id, sections, {r('CASE WHEN a0 > 6 THEN a0 - 4 ELSE 0 END', 2)} AS start, {r('CASE WHEN coalesce(nxt, length) - z >= 0.6::DOUBLE THEN least(z + 1.4::DOUBLE, coalesce(nxt, length) - 0.05::DOUBLE) ELSE greatest(z, coalesce(nxt, length) - 0.02::DOUBLE) END', 2)} AS \"end\" FROM q"))
 def w23_quick_part(spark: SparkSession, sf: str) -> DataFrame:
     """The first sections until their singing spans 30 s, with lead-in and ending."""
-    s = T.with_section(T.notes(spark, sf)).groupBy("recording_id", "section").agg(F.min("onset").alias("a"), F.max("end").alias("z"))
-    q = V.quick_part(s, KEY, "section", F.lit(130.0), span=30.0)
+    f = T.frames(spark, sf)
+    s = T.with_section(T.notes_of(f)).groupBy("recording_id", "section").agg(F.min("onset").alias("a"), F.max("end").alias("z")).join(T.lengths(f), "recording_id")
+    q = V.quick_part(s, [*KEY, "length"], "section", F.col("length"), span=30.0)
     return q.select("recording_id", "sections", S.round_to(F.col("start"), 2).alias("start"), S.round_to(F.col("end"), 2).alias("end"))
 
 

@@ -46,7 +46,7 @@ KEY_SQL = {
     "keys": "SELECT recording_id, coalesce(tonic, 0)::INT AS tonic FROM (SELECT DISTINCT recording_id FROM frames) LEFT JOIN (SELECT recording_id, tonic FROM scored QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY s DESC, tonic) = 1) USING (recording_id)",
 }
 BEAT_SQL = {
-    "heard": "SELECT recording_id, floor(t)::INT AS beat, median(440 * pow(2.0, (midi - 69) / 12)) AS hz, count(*) AS n FROM frames WHERE voiced AND t >= 0 AND t < 121 GROUP BY ALL",
+    "heard": "SELECT recording_id, floor(t)::INT AS beat, median(440 * pow(2.0, (midi - 69) / 12)) AS hz, count(*) AS n FROM frames WHERE voiced AND t >= 0 GROUP BY ALL",
     "grid": "SELECT b.recording_id, b.beat, hz, coalesce(n, 0) AS frames FROM beats b LEFT JOIN heard USING (recording_id, beat)",
 }
 

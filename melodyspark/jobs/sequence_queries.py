@@ -235,7 +235,7 @@ def j18_copy_tune(spark: SparkSession, sf: str) -> DataFrame:
     """Every section takes the tune of the one before, line by line and syllable by syllable, two semitones up; missing counterparts have none."""
     q = F.row_number().over(Window.partitionBy("recording_id", "section", "line").orderBy(*ORDER)) - 1
     n = T.with_section(T.notes(spark, sf)).withColumn("q", q).select("recording_id", "section", (F.col("line") % 4).alias("line"), "q", "midi")
-    rules = n.select("recording_id", "section", "line").distinct().select("recording_id", "section", (F.col("section") - 1).alias("source"), "line", F.lit(1000).alias("syllables"), F.lit(2).alias("transpose"))
+    rules = n.groupBy("recording_id", "section", "line").agg(F.count(F.lit(1)).alias("syllables")).select("recording_id", "section", (F.col("section") - 1).alias("source"), "line", "syllables", F.lit(2).alias("transpose"))
     return Z.copied_tune(n, rules, "recording_id")
 
 

@@ -8,7 +8,8 @@ CTES = {
         json_extract(props, '$.k')::DOUBLE / 100 AS rms, event_type FROM events""",
     "notes": """SELECT recording_id, frame_id, t AS onset, least(t + 0.2::DOUBLE + rms, lead(t) OVER (PARTITION BY recording_id ORDER BY t, frame_id)) AS "end",
         round_even(midi, 0)::INT AS midi, midi AS median, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS lyric, rms FROM frames WHERE voiced""",
-    "beats": """SELECT recording_id, b::INT AS beat, b::DOUBLE AS t_start FROM (SELECT DISTINCT recording_id FROM frames), unnest(generate_series(0, 120)) AS u(b)""",
+    "beats": """SELECT recording_id, b::INT AS beat, b::DOUBLE AS t_start FROM (SELECT recording_id, floor(max(t))::INT AS last FROM frames GROUP BY 1), unnest(generate_series(0, last)) AS u(b)""",
+    "lengths": "SELECT recording_id, max(t) + 2.0::DOUBLE AS length FROM frames GROUP BY 1",
     "secnotes": """SELECT *, floor(onset / 20)::INT AS section, floor(onset / 5)::INT AS line FROM notes""",
     "sections": """SELECT DISTINCT recording_id, section, section * 20.0::DOUBLE AS start, (section + 1) * 20.0::DOUBLE AS "end" FROM secnotes""",
     "readings": """SELECT recording_id, frame_id, 'a' AS reader, median FROM notes UNION ALL SELECT recording_id, frame_id, 'b', median + 0.1::DOUBLE FROM notes
@@ -22,7 +23,7 @@ CTES = {
     "score": """SELECT o_custkey AS song, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, (48 + o_orderkey % 24)::INT AS midi,
         (1 + o_orderkey % 3)::INT AS dur, o_orderkey % 5 = 0 AS tie, o_orderkey FROM orders""",
 }
-NEEDS = {"notes": ["frames"], "beats": ["frames"], "secnotes": ["frames", "notes"], "sections": ["frames", "notes", "secnotes"], "readings": ["frames", "notes"], "chart_old": ["frames", "notes"], "chart_new": ["frames", "notes"]}
+NEEDS = {"notes": ["frames"], "beats": ["frames"], "lengths": ["frames"], "secnotes": ["frames", "notes"], "sections": ["frames", "notes", "secnotes"], "readings": ["frames", "notes"], "chart_old": ["frames", "notes"], "chart_new": ["frames", "notes"]}
 
 
 def r(x: str, places: int) -> str:

@@ -48,10 +48,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes_of(frames(spark, sf_dir))
 
 
-def beats(frames: DataFrame, last: int = 120) -> DataFrame:
-    """One beat a second for every recording: recording_id, beat, t_start."""
-    ids = frames.select("recording_id").distinct()
-    return ids.withColumn("beat", F.explode(F.sequence(F.lit(0), F.lit(last)))).select("recording_id", "beat", F.col("beat").cast("double").alias("t_start"))
+def steps(frames: DataFrame, width: float, name: str) -> DataFrame:
+    """recording_id and numbers from 0 to that of the step of ``width`` seconds that holds the recording's last frame."""
+    last = frames.groupBy("recording_id").agg(F.greatest(F.lit(0), F.floor(F.max("t") / width).cast("int")).alias("last"))
+    return last.select("recording_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias(name))
+
+
+def beats(frames: DataFrame) -> DataFrame:
+    """One beat a second for every recording, up to its last frame: recording_id, beat, t_start."""
+    return steps(frames, 1.0, "beat").select("recording_id", "beat", F.col("beat").cast("double").alias("t_start"))
+
+
+def lengths(frames: DataFrame, tail: float = 2.0) -> DataFrame:
+    """recording_id, length: ``tail`` seconds after the last frame, so that the last note has ended."""
+    return frames.groupBy("recording_id").agg((F.max("t") + tail).alias("length"))
 
 
 def sections(notes: DataFrame, width: float = 20.0) -> DataFrame:
