@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from melodyspark.llm.arrowtext import SPACED, chunks
 from melodyspark.llm.arrowtext import words as words_of
@@ -222,28 +223,48 @@ def _known(text: str) -> Known:
     return Known(Vocabulary(text))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE, chunk: int = 8 << 20) -> DataFrame:
-    """doc_id and ids (array<int>) of every row. ``chunk``: bytes of text whose words are merged together."""
+def _joined(ids: pa.Array, offsets: np.ndarray, names: pa.Array) -> pa.Array:
+    """The tokens of each list of ids joined by one space; ids without a token are passed over."""
+    at = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    good = (at >= 0) & (at < len(names))
+    taken = names.take(pa.array(np.where(good, at, 0)))
+    good &= taken.is_valid().to_numpy(zero_copy_only=False)
+    if not good.all():
+        offsets, taken = np.concatenate([[0], np.cumsum(good)])[offsets], taken.filter(pa.array(good))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), taken), pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE, chunk: int = 2 << 20, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array<int>) of every row, and with ``decoded`` what these ids decode to.
+
+    ``chunk``: bytes of text whose words are merged together; memory follows it and the longest text.
+    """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(shared.value)
+        names = pa.array(known.vocab.tokens, pa.large_string())
         for b in batches:
             for lo, hi, data, at in chunks(b.column(1), chunk):
                 ids, counts = known.texts(data, at)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=["doc_id", "ids"])
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                out = {"doc_id": b.column(0).slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))}
+                if decoded:
+                    out["decoded"] = _joined(pa.array(ids), offsets, names)
+                yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+
 
+def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = WORD_BPE, most: int = 1_000_000) -> DataFrame:
+    """``encoded`` with column decoded: the tokens of ``ids_col``, word ends and special tokens included, joined by one space.
 
-def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = WORD_BPE) -> DataFrame:
-    """``encoded`` (doc_id, ids) with column decoded: its tokens, word ends and special tokens included, joined by one space."""
+    Batches are taken in slices of about ``most`` ids.
+    """
     spark = encoded.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -251,20 +272,15 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = WORD_BPE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(_known(shared.value).vocab.tokens, pa.large_string())
         for b in batches:
-            lists = b.column(1)
-            flat, counts = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            # ids outside the vocabulary and nulls have no token
-            at = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            good = (at >= 0) & (at < len(names))
-            taken = names.take(pa.array(np.where(good, at, 0)))
-            good &= taken.is_valid().to_numpy(zero_copy_only=False)
-            total = np.concatenate([[0], np.cumsum(good)])
-            ends = total[np.concatenate([[0], np.cumsum(counts)])]
-            tokens = pa.LargeListArray.from_arrays(pa.array(ends), taken.filter(pa.array(good)))
-            text = pc.if_else(lists.is_valid(), pc.binary_join(tokens, pa.scalar(" ", pa.large_string())), pa.scalar(None, pa.large_string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), text.cast(pa.string())], names=["row", "decoded"])
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+                lists = b.column(1).slice(lo, hi - lo)
+                text = _joined(lists.flatten(), upto[lo : hi + 1] - upto[lo], names)
+                yield pa.RecordBatch.from_pydict({"row": b.column(0).slice(lo, hi - lo), "decoded": pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.string()))})
+                lo = hi
 
     row = encoded.select(F.struct(*[encoded[f"`{c}`"] for c in encoded.columns]).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, decoded string"
-    out = row.mapInArrow(run, schema)
+    out = row.mapInArrow(run, T.StructType([row.schema["row"], T.StructField("decoded", T.StringType())]))
     return out.select(*[F.col("row").getField(c).alias(c) for c in encoded.columns], "decoded")

@@ -61,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    out = bpe.encode(_table(spark, sf_dir, "documents"), decoded=True)
     hexed = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hexed(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"))
 
