@@ -214,31 +214,51 @@ def j10_apply_edits(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("frame_id", "part", S.round_to(F.col("onset"), 3).alias("onset"), S.round_to(F.col("end"), 3).alias("end"), "midi")
 
 
-_SAMPLES = {"smp": """SELECT n.recording_id, n.frame_id AS note, n.onset AS t, n."end", n.onset + k * 0.04::DOUBLE AS a, n.onset + k * 0.04::DOUBLE + 0.03::DOUBLE AS b, CASE WHEN (n.frame_id + k) % 6 = 0 OR k < n.frame_id % 4 THEN NULL ELSE ((n.frame_id * 7 + k * 13) % 120 - 40)::DOUBLE END AS error FROM notes n, range(8) u(k)""",
-    "sung": "SELECT *, b - a AS d, a - lag(b) OVER (PARTITION BY note ORDER BY a, b) AS gap FROM smp WHERE error IS NOT NULL", "base": "SELECT note, sum(d) AS sung, sum(CASE WHEN gap > 0 AND gap <= 0.08::DOUBLE THEN gap ELSE 0 END) AS gaps, min(a) AS first FROM sung GROUP BY 1",
-    "wm": "SELECT note, min(error) FILTER (WHERE upto >= total / 2 - 1e-9) AS median FROM (SELECT note, error, sum(w) OVER (PARTITION BY note ORDER BY error) AS upto, sum(w) OVER (PARTITION BY note) AS total FROM (SELECT note, error, sum(d) AS w FROM sung GROUP BY ALL)) GROUP BY 1",
-    "gr": """SELECT n.recording_id, n.note, t, median, greatest(0, coalesce(first - t, "end" - t)) AS late, coalesce((sung + least(gaps, 0.15::DOUBLE * ("end" - t))) / ("end" - t), 0) AS cover FROM (SELECT DISTINCT recording_id, note, t, "end" FROM smp) n LEFT JOIN base USING (note) LEFT JOIN wm USING (note)""",
-    "graded": "SELECT *, CASE WHEN median IS NULL THEN 'miss' WHEN abs(median) <= 35 AND late <= 0.10::DOUBLE AND cover >= 0.80::DOUBLE THEN 'perfect' WHEN abs(median) <= 65 AND late <= 0.18::DOUBLE AND cover >= 0.60::DOUBLE THEN 'great' WHEN abs(median) <= 90 AND late <= 0.25::DOUBLE AND cover >= 0.35::DOUBLE THEN 'good' ELSE 'miss' END AS grade FROM gr"}
+_SAMPLES = {"smp": """SELECT n.recording_id, n.frame_id AS note, n.onset AS t, n."end", n.onset + k * 0.04::DOUBLE AS a, n.onset + (k + 1) * 0.04::DOUBLE AS b, CASE WHEN (n.frame_id + k) % 6 = 0 OR k < n.frame_id % 4 THEN NULL ELSE ((n.frame_id * 7 + k * 13) % 120 - 40)::DOUBLE END AS error FROM notes n, range(25) u(k)"""}
+_CATS = ", ".join(f"({i}, '{n}', {c}, {late}::DOUBLE, {cover}::DOUBLE, {w}::DOUBLE)" for i, (n, c, late, cover, w) in enumerate(G.GRADES))
+_TIER = " ".join(f"WHEN combo >= {least} THEN {worth}" for least, worth in G.TIERS)
+#: grades and streaks of the samples ``smp``, for DuckDB
+GRADE_SQL = {
+    "cats": f"SELECT * FROM (VALUES {_CATS}) v(c, name, cents, latest, least_cover, worth)",
+    "clip": """SELECT *, greatest(a, t) AS ca, greatest(0, least(b, "end") - greatest(a, t)) AS d FROM smp""",
+    "sil": "SELECT *, sum(CASE WHEN error IS NULL THEN d ELSE 0 END) OVER (PARTITION BY recording_id, note ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS s FROM clip",
+    "voi": "SELECT *, abs(error) <= cents AS ok, coalesce(lag(abs(error) <= cents) OVER w, false) AS pok, ca - lag(ca + d) OVER w AS gap, s - lag(s) OVER w AS silent FROM sil, cats WHERE error IS NOT NULL WINDOW w AS (PARTITION BY recording_id, note, c ORDER BY a, b)",
+    "runs": f"SELECT *, sum((ok AND NOT (pok AND gap <= 1e-9))::INT) OVER (PARTITION BY recording_id, note, c ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run, CASE WHEN pok AND gap > 1e-9 AND gap <= {G.BRIDGE}::DOUBLE + 1e-9 THEN least(gap, silent) ELSE 0 END AS credit FROM voi",
+    "steady": 'SELECT recording_id, note, t, "end", c, run, sum(d) AS d, sum(credit) AS credit, min(ca) AS first FROM runs WHERE ok GROUP BY ALL',
+    "cov": f'SELECT recording_id, note, c, (sum(d) + least(sum(credit), {G.BRIDGE_SHARE}::DOUBLE * any_value("end" - t))) / any_value("end" - t) AS cover, min(CASE WHEN d >= least({G.STABLE}::DOUBLE, {G.STABLE_SHARE}::DOUBLE * ("end" - t)) - 1e-9 THEN first END) - any_value(t) AS late FROM steady GROUP BY recording_id, note, c',
+    "wm": "SELECT recording_id, note, min(e) FILTER (WHERE upto >= total / 2 - 1e-9) AS median FROM (SELECT *, sum(w) OVER (PARTITION BY recording_id, note ORDER BY e) AS upto, sum(w) OVER (PARTITION BY recording_id, note) AS total FROM (SELECT recording_id, note, abs(error) AS e, sum(d) AS w FROM clip WHERE error IS NOT NULL AND d > 0 GROUP BY ALL)) GROUP BY ALL",
+    "won": "SELECT recording_id, note, min(c) AS c FROM cov JOIN wm USING (recording_id, note) JOIN cats USING (c) WHERE median <= cents AND late <= latest + 1e-9 AND cover >= least_cover - 1e-9 GROUP BY ALL",
+    "graded": f"""SELECT n.recording_id, n.note, n.t, n."end", median, late, coalesce(cover, 0) AS cover, CASE WHEN won.c IS NULL THEN 'miss' ELSE name END AS grade, CASE WHEN won.c IS NULL THEN 0 ELSE worth END AS worth
+        FROM (SELECT DISTINCT recording_id, note, t, "end" FROM smp) n LEFT JOIN wm ON wm.recording_id = n.recording_id AND wm.note = n.note LEFT JOIN won ON won.recording_id = n.recording_id AND won.note = n.note
+        JOIN cats ON cats.c = coalesce(won.c, {len(G.GRADES) - 1}) LEFT JOIN cov ON cov.recording_id = n.recording_id AND cov.note = n.note AND cov.c = cats.c""",
+    "broken": "SELECT *, sum((grade NOT IN ('perfect', 'great'))::INT) OVER (PARTITION BY recording_id ORDER BY t, note) AS run FROM graded",
+    "streak": "SELECT *, sum((grade IN ('perfect', 'great'))::INT) OVER (PARTITION BY recording_id, run ORDER BY t, note) AS combo FROM broken",
+    "scored": f"SELECT *, worth * CASE {_TIER} END AS points FROM streak",
+}
 
 
 def samples(n: DataFrame) -> DataFrame:
+    """One second of samples of .04 s for every note."""
     k = F.col("k")
-    x = n.select("recording_id", F.col("frame_id").alias("note"), F.col("onset").alias("t"), "end", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    x = n.select("recording_id", F.col("frame_id").alias("note"), F.col("onset").alias("t"), "end", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k"))
     none = ((F.col("note") + k) % 6 == 0) | (k < F.col("note") % 4)
-    return x.withColumn("a", F.col("t") + k * 0.04).withColumn("b", F.col("t") + k * 0.04 + 0.03).withColumn("error", F.when(~none, ((F.col("note") * 7 + k * 13) % 120 - 40).cast("double"))).drop("k")
+    return x.withColumn("a", F.col("t") + k * 0.04).withColumn("b", F.col("t") + (k + 1) * 0.04).withColumn("error", F.when(~none, ((F.col("note") * 7 + k * 13) % 120 - 40).cast("double"))).drop("k")
 
 
-@query(duck("notes", more=_SAMPLES, body=f"SELECT note, median, {r('late', 4)} AS late, {r('cover', 4)} AS cover, grade FROM graded"))
+@query(duck("notes", more={**_SAMPLES, **GRADE_SQL}, body=f"SELECT note, median, {r('late', 4)} AS late, {r('cover', 4)} AS cover, grade FROM graded"))
 def a23_grade_notes(spark: SparkSession, sf: str) -> DataFrame:
     g = G.grade_notes(samples(T.notes(spark, sf)), ["recording_id", "note"])
     return g.select("note", "median", S.round_to(F.col("late"), 4).alias("late"), S.round_to(F.col("cover"), 4).alias("cover"), "grade")
 
 
-@query(duck("notes", more={**_SAMPLES, "rn": "SELECT *, sum((grade = 'miss')::INT) OVER (PARTITION BY recording_id ORDER BY t, note) AS run FROM graded", "cb": "SELECT *, sum((grade <> 'miss')::INT) OVER (PARTITION BY recording_id, run ORDER BY t, note) AS combo FROM rn"},
-    body="SELECT recording_id, count(*) FILTER (WHERE grade = 'perfect') AS perfect, count(*) FILTER (WHERE grade = 'great') AS great, count(*) FILTER (WHERE grade = 'good') AS good, count(*) FILTER (WHERE grade = 'miss') AS miss, max(combo)::BIGINT AS best_combo, sum(CASE WHEN grade = 'miss' THEN 0 WHEN combo >= 40 THEN 3 WHEN combo >= 20 THEN 2.5 WHEN combo >= 10 THEN 2 ELSE 1 END)::DOUBLE AS points FROM cb GROUP BY 1"))
+_RANK = " ".join(f"WHEN performance >= {least} - 1e-9 THEN '{name}'" for name, least in G.RANKS)
+
+
+@query(duck("notes", more={**_SAMPLES, **GRADE_SQL, "sums": "SELECT recording_id, count(*) FILTER (WHERE grade = 'perfect') AS perfect, count(*) FILTER (WHERE grade = 'great') AS great, count(*) FILTER (WHERE grade = 'good') AS good, count(*) FILTER (WHERE grade = 'miss') AS miss, max(combo)::BIGINT AS best_combo, sum(points)::DOUBLE AS points, 100 * avg(worth) AS performance FROM scored GROUP BY 1"},
+    body=f"SELECT recording_id, perfect, great, good, miss, best_combo, {r('points', 3)} AS points, {r('performance', 3)} AS performance, CASE {_RANK} ELSE 'F' END AS rank FROM sums"))
 def a24_w15_performance(spark: SparkSession, sf: str) -> DataFrame:
     g = G.streaks(G.grade_notes(samples(T.notes(spark, sf)), ["recording_id", "note"]), ["recording_id"], ["t", "note"])
-    return g.groupBy("recording_id").agg(*[F.count_if(F.col("grade") == x).alias(x) for x in ("perfect", "great", "good", "miss")], F.max("combo").alias("best_combo"), F.sum("points").alias("points"))
+    return G.performance(g, ["recording_id"]).withColumn("points", S.round_to(F.col("points"), 3)).withColumn("performance", S.round_to(F.col("performance"), 3))
 
 
 @query(duck("notes", more={"d": 'SELECT recording_id, frame_id, onset AS deadline, onset - (frame_id % 9 - 3) * 0.1::DOUBLE AS done, length(lyric) AS chars, "end" - onset AS dur FROM notes WHERE lyric <> \'\''}, body=f"SELECT recording_id, count(*) FILTER (WHERE done <= deadline) AS prepared, sum(CASE WHEN done <= deadline THEN 100 + CASE WHEN deadline - done <= 0.3::DOUBLE + 1e-9 THEN 25 ELSE 0 END ELSE 0 END)::BIGINT AS points, {r('sum(chars) / 5.0::DOUBLE / (sum(dur) / 60)', 2)} AS wpm FROM d GROUP BY 1"))

@@ -64,11 +64,6 @@ def test_edits(spark):
     assert [(r["onset"], r["end"], r["midi"]) for r in out] == [(0.0, 0.5, 60), (0.5, 1.0, 61), (1.0, 3.0, 62), (3.0, 4.0, 65)]
 
 
-def test_grades(spark):
-    g = lambda c, t, v: spark.range(1).select(scoring.grade(F.lit(c).cast("double"), F.lit(t), F.lit(v)).alias("g")).first()["g"]
-    assert [g(35, 0.1, 0.8), g(36, 0.1, 0.8), g(-66, 0.1, 0.8), g(91, 0.0, 1.0), g(0, 0.26, 1.0), g(0, 0.0, 0.34), g(None, 0.0, 1.0)] == ["perfect", "great", "good", "miss", "miss", "miss", "miss"]
-
-
 def test_alignment_is_cheapest():
     cost = lambda a, b: float(a != b)
     rng = np.random.default_rng(0)
