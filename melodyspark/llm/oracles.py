@@ -88,7 +88,7 @@ j AS (SELECT v.*, (SELECT max(r.p) FROM c r WHERE r.canonical = v.canonical AND
 s AS (SELECT j.*, r.tag, r.sha, CASE WHEN rp IS NULL THEN 'no-response' WHEN coalesce(etag = r.tag, m = 10 * rp) THEN 'resolved' ELSE 'validator-mismatch' END AS status
       FROM j LEFT JOIN c r ON r.p = j.rp)
 SELECT record_id, canonical, 2 * rp AS response_id, status, CASE WHEN status = 'resolved' THEN sha END AS payload_sha256,
-       CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || t || chr(10) || 'etag: ' || tag || chr(10) || 'expires: ' || (t + 60) || chr(10) || 'server: origin' END AS headers
+       CASE WHEN status = 'resolved' THEN 'Content-Type: text/html' || chr(10) || 'Date: ' || t || chr(10) || 'ETag: ' || tag || chr(10) || 'Expires: ' || (t + 60) || chr(10) || 'Server: origin' END AS headers
 FROM s
 """
 
