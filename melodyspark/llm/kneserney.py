@@ -10,9 +10,10 @@ texts: no table is collected, folded or cut.
 2. ``estimate`` derives the lower orders (continuation counts) by suffix, joins counts to the totals
    of their contexts and to the next shorter order, and so gives every n-gram that occurs in a
    document its probability under every model, n-grams that training never saw included.
-3. ``score`` reads the documents again. The ``hot`` most frequent n-grams, a fixed number whatever the
-   input, are broadcast and summed in place; the others are counted per document and joined to
-   the table of step 2, sharded by n-gram. Both give the same sums.
+3. ``score`` reads the documents again. The most frequent n-grams, at most ``hot`` whatever the input and
+   told by a histogram of counts, are broadcast and summed in place; the others are counted per document
+   and joined to the table of step 2, sharded by n-gram, those of very many occurrences dealt over several
+   tasks. Both give the same sums.
 
 Tables hold n-grams as strings; only the broadcast ones are found by a 64-bit hash.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from melodyspark.llm.arrowtext import LOWER, U64, chunks, mix
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm.scratch import big_keys, materialize, spread_join
 
 ORDER = 5
 #: n-grams whose values are broadcast for scoring: under 10 MB, whatever the input
@@ -276,13 +277,30 @@ class _Hot:
         return out
 
 
-def score(rows: DataFrame, grams: DataFrame, values: list[str], order: int = ORDER, lower: bool = False, hot: int = HOT) -> DataFrame:
+def frequent_from(grams: DataFrame, hot: int, steps: int = 16) -> Column:
+    """A condition on n that at most ``hot`` n-grams meet: the bound lies between steps of a histogram of log2 n.
+
+    The histogram has at most 64 * ``steps`` rows; no task sorts or gathers n-grams.
+    """
+    step = F.floor(F.log2("n") * steps).cast("int")
+    total, cut = 0, None
+    for r in grams.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("grams")).orderBy(F.desc("s")).collect():
+        total += r["grams"]
+        if total > hot:
+            break
+        cut = r["s"]
+    return F.lit(False) if cut is None else step >= cut
+
+
+def score(rows: DataFrame, grams: DataFrame, values: list[str], order: int = ORDER, lower: bool = False, hot: int = HOT, common: int = 50_000) -> DataFrame:
     """``rows`` (row, text) as row, n_scored and the sum of every value over the text's n-grams.
 
-    ``grams`` has g, n and the value columns for every n-gram of the texts.
+    ``grams`` has g, n and the value columns for every n-gram of the texts. Of those that are not broadcast,
+    n-grams of more than ``common`` occurrences are dealt over several tasks.
     """
     spark = rows.sparkSession
-    top = grams.orderBy(F.desc("n"), "g").limit(hot).select("g", *values).toArrow()
+    often = frequent_from(grams, hot)
+    top = grams.where(often).select("g", *values).toArrow()
     found = _Hot(top["g"].to_pylist(), np.stack([top[v].to_numpy() for v in values], 1).reshape(-1, len(values)), order)
     shared = spark.sparkContext.broadcast(found)
 
@@ -322,7 +340,9 @@ def score(rows: DataFrame, grams: DataFrame, values: list[str], order: int = ORD
     part = rows.select("row", "text").mapInArrow(run, T.StructType([rows.schema["row"], *extra]))
     part = materialize(part.withColumn("key", F.monotonically_increasing_id()), "hot-sums")
     asked = part.where(F.size("cold") > 0).select("key", F.explode("cold").alias("x")).select("key", "x.g", "x.c")
-    cold = asked.join(grams.select("g", *values), "g").groupBy("key").agg(*[F.sum(F.col(v) * F.col("c")).alias(f"cold_{v}") for v in values])
+    rest = grams.where(~often)
+    met = spread_join(asked, rest.select("g", *values), "g", big_keys(rest, "g", "n", common), F.col("key"))
+    cold = met.groupBy("key").agg(*[F.sum(F.col(v) * F.col("c")).alias(f"cold_{v}") for v in values])
     both = part.drop("cold").join(cold, "key", "left")
     return both.select("row", "n_scored", *[(F.col(v) + F.coalesce(f"cold_{v}", F.lit(0.0))).alias(v) for v in values])
 

@@ -101,8 +101,8 @@ def test_two_classes_share_short_orders(rows, shared):
 def test_broadcast_and_joined_sums_agree(rows):
     model = kneserney.estimate(kneserney.gram_counts(rows, 2, 3), ["c0"], order=3).select("g", "n", F.log("q_c0").alias("logp")).cache()
     plain = Plain([t for i, t in enumerate(TEXTS) if i % 5 != 4 and i % 2 == 0], 3)
-    for hot in (0, 20, 10**6):
-        got = kneserney.score(rows.select(F.struct("id").alias("row"), "text"), model, ["logp"], 3, hot=hot).collect()
+    for hot, common in ((0, 10**6), (20, 3), (10**6, 10**6)):
+        got = kneserney.score(rows.select(F.struct("id").alias("row"), "text"), model, ["logp"], 3, hot=hot, common=common).collect()
         assert len(got) == len(TEXTS)
         for r in got:
             grams = padded(TEXTS[r["row"]["id"]], 3)
