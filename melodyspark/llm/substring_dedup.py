@@ -206,7 +206,10 @@ def repeated_spans(keyed: DataFrame, size: int = 35, hot: int = 1000, shard_word
     apart = apart.groupBy("s1", "s2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     whole = content.where(~F.col("hot")).select("k1", "k2", "s1", "s2").join(found, ["k1", "k2"]).select("s1", "s2", "ranges")
     ranges = whole.unionByName(apart).select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), "ranges")
-    back = maybe.select("h1", "h2", "rk", "start").join(ranges, ["h1", "h2"])
+    # a segment that very many documents hold is dealt over many tasks on the way back too
+    both = F.struct("h1", "h2").alias("hh")
+    common = big_keys(distinct.select(both, "weight"), "hh", "weight")
+    back = spread_join(maybe.select(both, "rk", "start"), ranges.select(both, "ranges"), "hh", common, F.col("rk"))
     spans = back.select("rk", F.explode("ranges").alias("r"), "start").select("rk", F.struct((F.col("start") + F.col("r.start")).alias("start"), (F.col("start") + F.col("r.end") + size - 1).alias("end")).alias("span"))
     return spans.groupBy("rk").agg(F.collect_set("span").alias("spans"))
 
