@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores: a file of few row groups is dealt out once, larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
