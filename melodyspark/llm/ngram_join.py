@@ -5,17 +5,24 @@ Shingles have one global order, rare ones first: all but the frequent by hash, t
 count. Two sets of similarity 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of
 each (the prefix), and where they first meet, what is left of both must still suffice.
 
-1. Documents with equal sets are one class; classes with identical prefixes and size are one group,
-   and only groups are posted under their prefix shingles.
-2. Under each shingle the group whose shingle stands first in its prefix is the hub. Hub pairs that
-   pass the size and position filters are expanded to their members and verified on whole texts.
-3. Verified links are joined to components. Shingles whose members are in several components give
-   the remaining pairs across components, filtered alike, expanded and verified.
+1. Documents with equal sets are one class; classes with identical prefixes and size are one group, and
+   only groups are posted under their prefix shingles.
+2. Under each shingle the group whose shingle stands first in its prefix is the hub. Pairs of a group and
+   its hub are filtered by size and position, once for all members, and made distinct over all shingles; what
+   is left is expanded to the members of the group against the hub's first member, as are the members of
+   each group against their own first one, and verified on whole texts.
+3. Verified links are joined to components. A group then has a part for each component its members lie in.
+   Shingles under which parts of several components are left give pairs of parts: of each part with another
+   hub, then of all parts that are not of the shingle's main component with all others. Pairs of parts are
+   filtered and made distinct as those of groups were, then expanded to members and verified.
 
 Pairs inside one component are never needed again, so a large group of near copies costs about one
-pair a member and shingle, not all pairs; yet every pair that could link two components is
-verified, so the components are exact. Frequencies of all shingles are counted; they decide only
-the order, never what is compared, and at most ``max_frequent`` of the most frequent are broadcast.
+pair a member, not all pairs; yet every pair that could link two components is verified, so the
+components are exact. The last step may still meet many parts under one shingle, where many
+components that are not similar share it in their prefixes; shingles are rare first to keep that small.
+Frequencies of all shingles are counted; they decide only the order, never what is compared, and at
+most ``max_frequent`` of the most frequent are broadcast. Shingles of very many groups are dealt over
+several tasks.
 
 A class is known by a 64-bit hash of the id and text of its first row, so classes differ even where
 rows repeat a doc_id. Texts of a class that meets many others are copied to several tasks.
@@ -34,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from melodyspark.llm.arrowtext import SPACED, U64, chunks, windows, words
@@ -105,9 +112,10 @@ def _unpack(packed: bytes) -> np.ndarray:
 def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int = 16, block: int = 4_000_000) -> Order:
     """The shingles that most different sets hold, at most ``max_frequent`` of them, from ``least`` sets on.
 
-    Every shingle of every set is counted, by a 40-bit prefix of its hash. Tasks sort their shingles
-    and pass them on in ranges of hashes, packed to about three bytes each; a range is counted at a
-    time. The number of ranges follows the number of rows.
+    Every shingle of every set is counted, by a 40-bit prefix of its hash. Tasks count their shingles, some
+    ``block`` at a time, and pass values and counts on in ranges of hashes, packed to a few bytes each, so a
+    shingle of very many sets sends one count a block; a range is summed at a time. The number of ranges
+    follows the number of rows up to 2**20.
     """
     none = Order(np.empty(0, U64), np.empty(0, U64))
     bits = min(20, max(8, int(texts.count() // 2000).bit_length()))
@@ -118,18 +126,22 @@ def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            t = np.sort(np.concatenate([np.empty(0, U64), *parts]) >> U64(24))
+            t, n = np.unique(np.concatenate([np.empty(0, U64), *parts]) >> U64(24), return_counts=True)
             parts.clear()
             cut = np.searchsorted(t, np.arange((1 << bits) + 1, dtype=U64) << width)
             full = np.flatnonzero(np.diff(cut))
             packed = [_pack(t[cut[r] : cut[r + 1]] - (U64(r) << width)) for r in full]
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(packed, pa.binary())], names=["range", "packed"])
+            counts = [zlib.compress(n[cut[r] : cut[r + 1]].astype(np.uint32).tobytes(), 1) for r in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["range", "packed", "counts"])
 
         for b in batches:
             for lo, hi, data, at in chunks(b.column(0)):
                 h, first = shingle_sets(data, at, size, none)
                 total = np.concatenate([np.zeros(1, U64), np.cumsum(h)])
                 fresh = np.zeros(hi - lo, bool)
+                if len(seen) > 1_000_000:
+                    # equal sets are told apart only in stretches of rows: frequencies decide nothing but the order
+                    seen.clear()
                 for r, x in enumerate((total[first[1:]] - total[first[:-1]]).tolist()):
                     fresh[r] = x not in seen
                     seen.add(x)
@@ -140,13 +152,12 @@ def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int
 
     def count(table: pa.Table) -> pa.Table:
         r = U64(table["range"][0].as_py())
-        t = np.sort(np.concatenate([_unpack(x) for x in table["packed"].to_pylist()]))
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        df = np.diff(np.append(start, len(t)))
+        t, where = np.unique(np.concatenate([_unpack(x) for x in table["packed"].to_pylist()]), return_inverse=True)
+        df = np.bincount(where, np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table["counts"].to_pylist()]), len(t))
         often = df >= least
-        return pa.table([pa.array(((r << width) + t[start[often]]).view(np.int64)), pa.array(df[often].astype(np.int64))], names=["prefix", "df"])
+        return pa.table([pa.array(((r << width) + t[often]).view(np.int64)), pa.array(df[often].astype(np.int64))], names=["prefix", "df"])
 
-    local = texts.select("text").mapInArrow(run, "range long, packed binary")
+    local = texts.select("text").mapInArrow(run, "range long, packed binary, counts binary")
     table = materialize(local.groupBy("range").applyInArrow(count, "prefix long, df long"), "frequent")
     powers = table.groupBy(F.floor(F.log2("df")).alias("p")).count().orderBy(F.desc("p")).collect()
     cut, total = None, 0
@@ -272,41 +283,56 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     full = usable.groupBy("n", "digest").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.first("prefix").alias("prefix"))
     full = full.select("n", "digest", F.col("rep.k").alias("cid"), F.col("rep.doc_id").alias("low"), "prefix")
     classes = materialize(full.select("cid", "low", "n", "digest", F.xxhash64("prefix").alias("ph")), "classes")
-    groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    followers = materialize(classes.join(groups, ["n", "ph"]).where(F.col("cid") != F.col("gid")).select("cid", "gid", "ph"), "followers")
+    groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size"))
+    members = materialize(classes.join(groups, ["n", "ph"]).select("gid", "cid", "n", "ph"), "members")
+    followers = members.where(F.col("cid") != F.col("gid"))
     few = followers.select("cid")
     few = F.broadcast(few) if few.count() <= 1_000_000 else few
     postings = full.join(few, "cid", "left_anti").select("n", F.col("cid").alias("gid"), F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("token")
-    met = materialize(postings.join(shared, "token").select("token", "gid", "n", "pos"), "postings")
-    # expand groups to members; members of a group also meet under the group's own prefix
-    sizes = classes.select("cid", "n")
-    with_followers = met.join(followers.select("gid", "cid"), "gid").select("token", "cid", "n", "pos")
-    inside = followers.select(F.col("ph").alias("token"), "cid").unionByName(followers.select(F.col("ph").alias("token"), F.col("gid").alias("cid"))).distinct()
-    inside = inside.join(sizes, "cid").select("token", "cid", "n", F.lit(0).alias("pos"))
-    places = met.select("token", F.col("gid").alias("cid"), "n", "pos").unionByName(with_followers).unionByName(inside)
-    places = materialize(places, "places")
+    shared = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "shared")
+    common = big_keys(shared, "token", "c")
+    met = spread_join(postings, shared.select("token"), "token", common, F.col("gid")).select("token", "gid", "n", "pos")
+    # parts of one group meet under the group's own prefix
+    inside = followers.select(F.col("ph").alias("token"), "gid", "n", F.lit(0).alias("pos")).distinct()
+    places = materialize(met.unionByName(inside), "places")
 
     links = _repeated_ids(usable, classes)
     labels = None if links is None else components(links)
     done: DataFrame | None = None
+    # members by the part they belong to, known by its first member: at first a group is one part
+    parts = members.select("gid", F.col("gid").alias("part"), "cid")
     for step in range(hub_rounds + 1):
-        here = _labelled(places, labels)
-        open_tokens = here.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where(F.col("l1") != F.col("l2")).select("token")
-        here = materialize(here.join(open_tokens, "token", "left_semi"), "open")
-        x, y = here.alias("x"), here.alias("y")
+        if step:
+            parts = _labelled(members.select("gid", "cid"), labels).withColumn("part", F.min("cid").over(Window.partitionBy("gid", "label")))
+            parts = materialize(parts, "parts")
+            heads = parts.where(F.col("cid") == F.col("part")).select("gid", "part", "label")
+            here = places.join(heads, "gid")
+            open_tokens = here.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("c")).where(F.col("l1") != F.col("l2")).select("token", "c")
+            open_tokens = materialize(open_tokens, "open-tokens")
+            common = big_keys(open_tokens, "token", "c")
+            here = materialize(spread_join(here, open_tokens.select("token"), "token", common, F.col("part")), "open")
+        else:
+            here = places.select("token", "gid", F.col("gid").alias("part"), "n", "pos", F.col("gid").alias("label"))
+        side = lambda df, x: df.select("token", *[F.col(c).alias(x + c) for c in ("part", "n", "pos", "label")])
         if step < hub_rounds:
-            # the member whose shingle stands first; in later rounds another one, not of the first hub's component
-            rank = F.struct(F.col("pos") if step == 0 else F.xxhash64("cid", F.lit(step)).alias("pos"), F.col("cid"), F.col("n"), F.col("pos").alias("at"), F.col("label"))
-            hubs = here.groupBy("token").agg(F.min(rank).alias("h")).select("token", F.col("h.cid").alias("hcid"), F.col("h.n").alias("hn"), F.col("h.at").alias("hpos"), F.col("h.label").alias("hlabel"))
-            pairs = here.join(hubs, "token").where((F.col("label") != F.col("hlabel")) & _near(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
-            pairs = pairs.select(F.least("cid", "hcid").alias("a"), F.greatest("cid", "hcid").alias("b"))
+            # the part whose shingle stands first; in later rounds another one, not of the first hub's component
+            rank = F.struct((F.col("pos") if step == 0 else F.xxhash64("part", F.lit(step))).alias("rank"), F.col("part"), F.col("n"), F.col("pos"), F.col("label"))
+            other = here.groupBy("token").agg(F.min(rank).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("part", "n", "pos", "label")])
+            mine = side(here, "m")
         else:
             main = here.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
-            odd = here.join(main, "token").where(F.col("label") != F.col("main")).alias("x")
-            cross = odd.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & _near(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-            pairs = cross.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-        pairs = pairs.distinct()
+            other = side(spread_join(here, main, "token", common, F.col("part")).where(F.col("label") != F.col("main")), "h")
+            mine = side(here, "m")
+        near = (F.col("mlabel") != F.col("hlabel")) & _near(F.col("mn"), F.col("mpos"), F.col("hn"), F.col("hpos"))
+        met_parts = spread_join(mine, other, "token", common, F.col("mpart")).where(near).select("mpart", "hpart").distinct()
+        pairs = met_parts.join(parts.select(F.col("part").alias("mpart"), F.col("cid").alias("x")), "mpart")
+        if step < hub_rounds:
+            pairs = pairs.select("x", F.col("hpart").alias("y"))
+        else:
+            pairs = pairs.join(parts.select(F.col("part").alias("hpart"), F.col("cid").alias("y")), "hpart").select("x", "y")
+        if step == 0:
+            pairs = pairs.unionByName(followers.select(F.col("cid").alias("x"), F.col("gid").alias("y")))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -314,7 +340,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             continue
         done = pairs if done is None else done.unionByName(pairs)
         fresh = materialize(verify(texts, pairs, size), "verified")
-        links = fresh if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh)
+        links = fresh if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh)
         labels = components(links)
     known = _labelled(classes.select("cid", "low", "n", "digest"), labels)
     lowest = known.groupBy("label").agg(F.min("low").alias("component"))
