@@ -316,16 +316,6 @@ def _units(n: DataFrame) -> DataFrame:
     return n.select("recording_id", "section", F.col("frame_id").alias("unit"), F.row_number().over(w).alias("_order"), at.alias("start"), (at + 0.2).alias("end"), (~sure).alias("weak"), F.coalesce(F.col("line") != F.lag("line").over(w), F.lit(True)).alias("line_start"))
 
 
-@query()
-def h8_notes_from_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes that every section's atoms make under its units; the notes' times are divided by ten, as the data's are that much longer."""
-    short = lambda c: (F.col(c) / 10).alias(c)
-    n = T.with_section(T.notes(spark, sf)).select("recording_id", "section", "frame_id", short("onset"), short("end"), (F.col("midi") % 12 + 60).alias("midi"), "median", "rms", "line", "lyric")
-    none = F.lit(None).cast("double")
-    atoms = n.select("recording_id", "section", "onset", "end", "midi", (F.col("median") - F.rint("median")).alias("glide"), F.col("rms").alias("cut_depth"), none.alias("cut_colour"), F.col("rms").alias("edge"))
-    return C.notes_of_atoms(atoms, _units(n), ["recording_id", "section"], "unit")
-
-
 @query()
 def h17_atoms(spark: SparkSession, sf: str) -> DataFrame:
     """The atom table of every voiced run: a run of a pitch is cut at its loudness dips; times divided by ten, as the data's are that much longer."""
