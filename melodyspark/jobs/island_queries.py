@@ -10,6 +10,7 @@ from melodyspark.jobs.interval_queries import _STRETCH
 from melodyspark.jobs.registry import query
 from melodyspark.jobs.sql import duck, r
 from melodyspark.operators import edits as E
+from melodyspark.operators import gates as Z
 from melodyspark.operators import islands as L
 from melodyspark.operators import scoring as G
 from melodyspark.operators import voice as V
@@ -214,6 +215,19 @@ def j10_apply_edits(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("frame_id", "part", S.round_to(F.col("onset"), 3).alias("onset"), S.round_to(F.col("end"), 3).alias("end"), "midi")
 
 
+@query(duck("notes", more={**_EDITS, "fit": "SELECT frame_id, op, cut_at FROM loc WHERE NOT stale AND op IN ('midi', 'split')", "cut": "SELECT recording_id, onset - 0.05 AS start, onset + 2 AS \"end\" FROM notes WHERE frame_id % 23 = 0", "gone": 'SELECT DISTINCT n.frame_id FROM notes n JOIN cut c ON n.recording_id = c.recording_id AND ((onset >= c.start AND onset < c."end") OR ((onset + n."end") / 2 >= c.start AND (onset + n."end") / 2 < c."end"))'},
+    body="SELECT n.recording_id, count(*) AS pieces, count(*) FILTER (WHERE k = 1) AS splits FROM notes n LEFT JOIN fit USING (frame_id), range(2) u(k) WHERE n.frame_id NOT IN (SELECT frame_id FROM gone) AND (k = 0 OR op = 'split') GROUP BY 1"))
+def j4_j9_gated_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """Left-out stretches and pitch and split edits under gates that fail the job at a stale one; those that are stale here are taken away before."""
+    n = T.notes(spark, sf)
+    fit = E.locate(_edits(n), n, "recording_id").where("not stale and op in ('midi', 'split')").select("edit_id", "recording_id", "onset", "old", "op", "new", "at")
+    done = Z.apply_strictly(n, E.locate(fit, n, "recording_id"), "recording_id")
+    cut = n.where("frame_id % 23 = 0").select("recording_id", F.col("frame_id").alias("ex"), (F.col("onset") - 0.05).alias("start"), (F.col("onset") + 2).alias("end"))
+    left = Z.leave_out(n, cut, ["recording_id"], "frame_id", "ex").select("recording_id", "frame_id")
+    out = done.join(left, ["recording_id", "frame_id"])
+    return out.groupBy("recording_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("part") == 1).alias("splits"))
+
+
 _SAMPLES = {"smp": """SELECT n.recording_id, n.frame_id AS note, n.onset AS t, n."end", n.onset + k * 0.04::DOUBLE AS a, n.onset + (k + 1) * 0.04::DOUBLE AS b, CASE WHEN (n.frame_id + k) % 6 = 0 OR k < n.frame_id % 4 THEN NULL ELSE ((n.frame_id * 7 + k * 13) % 120 - 40)::DOUBLE END AS error FROM notes n, range(25) u(k)"""}
 _CATS = ", ".join(f"({i}, '{n}', {c}, {late}::DOUBLE, {cover}::DOUBLE, {w}::DOUBLE)" for i, (n, c, late, cover, w) in enumerate(G.GRADES))
 _TIER = " ".join(f"WHEN combo >= {least} THEN {worth}" for least, worth in G.TIERS)
