@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from melodyspark.functions import scalars as S
 from melodyspark.functions import text as X
 from melodyspark.jobs.registry import query
-from melodyspark.jobs.sql import duck
+from melodyspark.jobs.sql import duck, r
 from melodyspark.operators import charting as C
 from melodyspark.operators import islands as L
 from melodyspark.operators import lyrics as Y
@@ -378,6 +378,56 @@ def h16_locate_sections(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("recording_id", "section", "heard", S.round_to(F.coalesce("mid", "a"), 3).alias("start"), S.round_to(F.col("z"), 3).alias("end"))
 
 
+_K = "recording_id, block"
+#: blocks of a minute, each fifth without verses; verses are sections of 20 s, some overridden, some absent; three notes in four are anchored words
+_H16 = {
+    "blk": "SELECT DISTINCT recording_id, floor(onset / 60)::INT AS block, floor(onset / 60) * 60.0::DOUBLE AS bs, floor(onset / 60) * 60.0::DOUBLE + 60 AS be, CASE WHEN (recording_id + floor(onset / 60)::INT) % 5 = 0 THEN 0.9::DOUBLE END AS part_gap FROM notes",
+    "bn": 'SELECT n.recording_id, frame_id, onset, "end", block, part_gap FROM notes n JOIN blk b ON n.recording_id = b.recording_id AND onset >= bs AND onset < be',
+    "vs": """SELECT recording_id, section // 3 AS block, section % 3 AS verse, count(*) AS tokens, count(*) FILTER (WHERE frame_id % 4 <> 3) AS anchored, min(onset) FILTER (WHERE frame_id % 4 <> 3) + (section % 2) * 4 AS s0,
+        max("end") FILTER (WHERE frame_id % 4 <> 3) + (section % 2) * 4 AS s1, CASE WHEN (recording_id + section) % 7 = 0 THEN section * 20.0::DOUBLE + 1 END AS os, CASE WHEN (recording_id + section) % 7 = 0 THEN section * 20.0::DOUBLE + 19 END AS oe, (recording_id + section) % 11 = 0 AS absent FROM secnotes GROUP BY recording_id, section""",
+    "fd": "SELECT v.*, bs, be, CASE WHEN os IS NULL THEN s0 END AS a0, CASE WHEN os IS NULL THEN s1 END AS a1 FROM vs v JOIN blk USING (recording_id, block) WHERE NOT absent AND part_gap IS NULL AND (os IS NOT NULL OR anchored >= greatest(3, 0.3::DOUBLE * tokens))",
+    "nx": f"SELECT *, lead(verse) OVER w AS nv, lead(a0) OVER w AS na, lead(os) OVER w AS nos, coalesce(a1, oe, lead(a0) OVER w) - 0.3::DOUBLE AS lo FROM fd WINDOW w AS (PARTITION BY {_K} ORDER BY verse)",
+    "gp": f'SELECT {_K}, onset - pe AS gap, (pe + onset) / 2 AS mid FROM (SELECT *, lag("end") OVER (PARTITION BY {_K} ORDER BY onset, frame_id) AS pe FROM bn WHERE part_gap IS NULL) WHERE pe IS NOT NULL',
+    "md": f"SELECT n.recording_id, n.block, verse, arg_max(mid, {{'g': gap, 'm': mid}}) AS mid FROM nx n JOIN gp g ON g.recording_id = n.recording_id AND g.block = n.block AND mid >= lo AND mid <= na + 1.2::DOUBLE GROUP BY ALL",
+    "bd": f"SELECT n.*, CASE WHEN nv IS NOT NULL THEN coalesce(nos, {r('coalesce(mid, (lo + na) / 2)', 2)}) END AS bound FROM nx n LEFT JOIN md USING ({_K}, verse)",
+    "lc": f'SELECT {_K}, verse, CASE WHEN os IS NULL THEN \'anchored\' ELSE \'override\' END AS located, a0, coalesce(lag(bound) OVER w, os, bs) AS start, CASE WHEN nv IS NULL THEN coalesce(oe, be) ELSE bound END AS "end" FROM bd WINDOW w AS (PARTITION BY {_K} ORDER BY verse)',
+    "ow": f'SELECT b.recording_id, b.block, verse, a0, frame_id, onset, b."end", lag(b."end") OVER w AS pe FROM bn b JOIN lc l ON l.recording_id = b.recording_id AND l.block = b.block AND a0 IS NOT NULL AND onset >= l.start AND onset < l."end" WINDOW w AS (PARTITION BY b.recording_id, b.block, verse ORDER BY onset, frame_id)',
+    "os1": f"SELECT *, sum((pe IS NULL OR onset - pe >= 1.2::DOUBLE)::INT) OVER (PARTITION BY {_K}, verse ORDER BY onset, frame_id) AS st FROM ow",
+    "ld": f'SELECT {_K}, verse, a0, arg_max(z, st) AS z FROM (SELECT {_K}, verse, a0, st, arg_max("end", {{\'o\': onset, \'f\': frame_id}}) AS z FROM os1 GROUP BY ALL) WHERE z < a0 - 0.6::DOUBLE GROUP BY ALL',
+    "lm": "SELECT l.recording_id, l.block, l.verse, arg_max((pe + onset) / 2, {'g': onset - pe, 'm': (pe + onset) / 2}) AS mid FROM ld l JOIN ow o ON o.recording_id = l.recording_id AND o.block = l.block AND o.verse = l.verse AND (pe + onset) / 2 >= z - 0.1::DOUBLE AND (pe + onset) / 2 <= l.a0 + 0.1::DOUBLE GROUP BY ALL",
+    "sp": f"SELECT {_K}, verse, {r('coalesce(mid, a0 - 0.3::DOUBLE)', 2)} AS split FROM ld LEFT JOIN lm USING ({_K}, verse)",
+    "ap": f"""SELECT {_K}, frame_id, onset, "end", '-x' AS sign, 1.2::DOUBLE AS g FROM bn b WHERE part_gap IS NULL AND NOT EXISTS (SELECT 1 FROM lc l WHERE l.recording_id = b.recording_id AND l.block = b.block AND b.onset >= l.start AND b.onset < l."end")
+        UNION ALL SELECT {_K}, frame_id, onset, "end", '-', part_gap FROM bn WHERE part_gap IS NOT NULL""",
+    "as1": f'SELECT *, CASE WHEN onset - lag("end") OVER w >= g THEN 1 WHEN lag("end") OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ap WINDOW w AS (PARTITION BY {_K}, sign ORDER BY onset, frame_id)',
+    "as2": f"SELECT *, sum(new) OVER (PARTITION BY {_K}, sign ORDER BY onset, frame_id) AS st FROM as1",
+    "ev": f"""SELECT {_K}, block || '-' || (verse + 1) AS section, 'sung' AS kind, coalesce(split, start) AS start, "end", located FROM lc LEFT JOIN sp USING ({_K}, verse)
+        UNION ALL SELECT {_K}, block || '-' || (verse + 1) || '-lead', 'wordless', start, split, 'before the first word' FROM lc JOIN sp USING ({_K}, verse)
+        UNION ALL SELECT {_K}, block || sign || st, 'unscripted', {r('min(onset) - 0.05::DOUBLE', 2)}, {r("arg_max(\"end\", {'o': onset, 'f': frame_id}) + 0.05::DOUBLE", 2)}, 'outside the verses' FROM as2 GROUP BY {_K}, sign, st""",
+    "hd": """SELECT e.recording_id, section, count(*) AS notes, sum(n."end" - onset) AS sung, arg_max(n."end", {'o': onset, 'f': frame_id}) - min(onset) AS span FROM ev e JOIN notes n ON n.recording_id = e.recording_id AND onset >= e.start AND onset < e."end" GROUP BY ALL""",
+}
+
+
+@query(duck("secnotes", more=_H16, body=f"SELECT e.recording_id, e.section, kind, {r('start', 2)} AS start, {r('\"end\"', 2)} AS \"end\", located, coalesce(notes, 0) AS notes, kind = 'wordless' AND (coalesce(notes, 0) < 6 OR coalesce(sung < 0.5::DOUBLE * span, false)) AS excluded FROM ev e LEFT JOIN hd h ON h.recording_id = e.recording_id AND h.section = e.section"))
+def h16_all_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """All sections of all recordings by the whole rule: verses, lead-ins, parts of blocks without verses, and singing outside them."""
+    from melodyspark.operators import sections as B
+
+    n = T.with_section(T.notes(spark, sf))
+    block = F.floor(F.col("onset") / 60).cast("int")
+    blocks = n.select("recording_id", block.alias("block")).distinct()
+    blocks = blocks.select("recording_id", "block", (F.col("block") * 60.0).alias("start"), (F.col("block") * 60.0 + 60).alias("end"), F.when((F.col("recording_id") + F.col("block")) % 5 == 0, 0.9).alias("part_gap"))
+    sure = lambda c: F.when(F.col("frame_id") % 4 != 3, F.col(c))
+    v = n.groupBy("recording_id", "section").agg(F.count(F.lit(1)).alias("tokens"), F.count(sure("onset")).alias("anchored"), F.min(sure("onset")).alias("s0"), F.max(sure("end")).alias("s1"))
+    late, over = (F.col("section") % 2) * 4, (F.col("recording_id") + F.col("section")) % 7 == 0
+    v = v.select(
+        "recording_id", F.expr("cast(section div 3 as int)").alias("block"), (F.col("section") % 3).alias("verse"), "tokens", "anchored", (F.col("s0") + late).alias("anchor_start"), (F.col("s1") + late).alias("anchor_end"),
+        F.when(over, F.col("section") * 20.0 + 1).alias("o_start"), F.when(over, F.col("section") * 20.0 + 19).alias("o_end"), ((F.col("recording_id") + F.col("section")) % 11 == 0).alias("absent"),
+    )
+    v = v.join(blocks.where("part_gap is null").select("recording_id", "block"), ["recording_id", "block"])
+    out = B.find_sections(n, blocks, v, ["recording_id"], "frame_id")
+    return out.select("recording_id", "section", "kind", S.round_to(F.col("start"), 2).alias("start"), S.round_to(F.col("end"), 2).alias("end"), "located", "notes", "excluded")
+
+
 @query()
 def j13_a15_sister_expectations(spark: SparkSession, sf: str) -> DataFrame:
     """The pitch class that other sections sing at each syllable, in the section's own key; lines of five seconds."""
