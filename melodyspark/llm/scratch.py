@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +43,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote in this session; frames that still read them must have been written elsewhere."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote in this session; frames that still read them must have been written elsewhere."""
+    _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """``make()`` written as a table, and its path. Tables that were written on the way to it are deleted; others stay."""
+    app = spark.sparkContext.applicationId
+    before = _written.pop(app, [])
+    try:
+        out = materialize(make(), name)
+        path = _written[app].pop()
+        _delete(spark, _written[app])
+        _written[app] = [path]
+    finally:
+        _written[app] = before + _written.get(app, [])
+    return out, path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete one table that nothing reads any more."""
+    _delete(spark, [path])
+    known = _written.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
 def same_row(id_col: Column, text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes, equal for rows that agree in id and text; a null is a value of its own."""
     parts = id_col.isNull(), id_col.cast("string"), text.isNull(), text

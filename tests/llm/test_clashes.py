@@ -29,3 +29,22 @@ def test_stage_with_clashing_columns(spark, docs, name, stage):
     assert key(got) == key(want)
     assert got.where(F.col("_gone1") != F.concat(F.lit("_gone1"), F.col("doc_id").cast("string"))).isEmpty()
     assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_the_pipeline_cleans_up_behind_itself(spark, docs, tmp_path):
+    """Only the last stage's rows and what the mixing wrote are left; the result still reads, nulls and repeated rows included."""
+    import os
+
+    from melodyspark.llm import scratch
+
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = set(os.listdir(scratch.shared_dir(spark)))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(scratch.shared_dir(spark))) - before}
+    assert "stage-decontamination" in left and not left & {"stage-toxicity", "stage-exact_dedup", "stage-near_dedup", "grams", "signatures", "digests", "windows"}
+    rows = out.collect()
+    assert len({(r["doc_id"], r["text"]) for r in rows}) > 50 and set(docs.columns) <= set(out.columns)
+    # of the two null texts and the empty one, the largest doc_id stays; it has no tokens and no say in the mixture
+    assert {r["doc_id"] for r in rows if not r["text"]} <= {901}
