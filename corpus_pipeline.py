@@ -1,7 +1,14 @@
 """A training corpus from ``documents``: toxic texts out, exact and near copies out, benchmark passages out, sources mixed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``documents``. ``run`` writes each stage's rows to the shared scratch folder and reads them back.
+of ``documents``. ``run`` writes each stage's rows to the shared scratch folder and reads them back; what a
+stage wrote on its way, and the rows of the stage before, are deleted as soon as its own rows are written.
+
+Defined results: a null or empty text is not toxic, is one exact copy of every other such text (the row of the
+largest doc_id stays), is nobody's near copy, is never contaminated, and takes its source's place in the
+mixture without tokens. Rows that repeat doc_id and text are exact copies; rows that repeat only the doc_id are judged by their own
+texts, but stay or go together as near copies. Very long texts are read whole. Empty tables give empty results. Further columns, whatever
+their names, are passed through.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from melodyspark.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from melodyspark.llm.scratch import materialize
+from melodyspark.llm.scratch import release, settled, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            release(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
