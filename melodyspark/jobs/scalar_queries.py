@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from melodyspark.functions import scalars as S
@@ -89,6 +89,18 @@ def p11_lyric_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("doc_id", "line_no", F.posexplode(X.tokens(F.col("line"))).alias("token_no", "token")).withColumn("line_start", F.col("token_no") == 0)
 
 
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS line_no FROM documents),
+t AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\x{3400}-\x{9fff}]|[A-Za-z][A-Za-z''\x{2019}\-]*') AS w FROM l)
+SELECT doc_id, line_no, (i - 1)::INT AS token_no, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) - 1)::INT AS unit_no, w[i] AS token FROM t, unnest(range(1, len(w) + 1)) AS u(i)""")
+def p11_lyric_units_from_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of all lines, numbered through each song, by the table function ``lyric_units`` called from SQL."""
+    from melodyspark.functions import tablefunctions as U
+
+    U.register(spark)
+    T.table(spark, sf, "documents").select(F.col("doc_id").alias("song"), F.posexplode(T.rows_of("text")).alias("line_no", "line")).createOrReplaceTempView("lyric_lines_of_documents")
+    return spark.sql("SELECT song AS doc_id, line_no, token_no, unit_no, token FROM lyric_units(TABLE(lyric_lines_of_documents) PARTITION BY song ORDER BY line_no)")
+
+
 _SKEL = "regexp_replace(translate(lower(word), 'bdgvzcq', 'ptkfskk'), '[aeiouh]', '', 'g')"
 
 
@@ -110,21 +122,14 @@ def p14_skeleton(spark: SparkSession, sf: str) -> DataFrame:
     body="""SELECT recording_id, pos, CASE WHEN a = b THEN 'exact' WHEN a <> '' AND b <> '' AND (va = vb OR (ka = kb AND (ka <> '' OR substr(regexp_replace(a, '^h+', ''), 1, 1) = substr(regexp_replace(b, '^h+', ''), 1, 1)))) THEN 'homophone' ELSE 'different' END AS relation FROM s"""))
 def p15_word_relation(spark: SparkSession, sf: str) -> DataFrame:
     """Exact, same sound or different, for each word and the next; the whole rule is p15_spelling_relation."""
-    n = _word_pairs(spark, sf)
-    return n.select("recording_id", "pos", F.when(F.col("x.a") == F.col("y.a"), "exact").when(_one_sound(F.col("x"), F.col("y")), "homophone").otherwise("different").alias("relation"))
+    a, b = F.col("a"), F.col("b")
+    return _word_pairs(spark, sf).select("recording_id", "pos", F.when(a == b, "exact").when(X.same_sound(a, b), "homophone").otherwise("different").alias("relation"))
 
 
 def _word_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Each word and the next as x and y: key, voiced form, outline and first letter, worked out once a word."""
-    key = X.latin_key(F.col("word"))
-    w = T.words(spark, sf).select("recording_id", "pos", key.alias("a"), F.translate(key, *X.VOICED).alias("v"), X.skeleton(key).alias("k"), F.substring(F.regexp_replace(key, "^h+", ""), 1, 1).alias("f"))
-    w = w.select("recording_id", "pos", F.struct("a", "v", "k", "f").alias("x"))
-    return w.withColumn("y", F.lead("x").over(Window.partitionBy("recording_id").orderBy("pos"))).where("y is not null")
-
-
-def _one_sound(x: Column, y: Column) -> Column:
-    outline = (x["k"] == y["k"]) & ((x["k"] != "") | (x["f"] == y["f"]))
-    return (x["a"] != "") & (y["a"] != "") & ((x["v"] == y["v"]) | outline)
+    """The keys of each word and the next as a and b; nothing else rides through the window's sort."""
+    w = T.words(spark, sf).select("recording_id", "pos", X.latin_key(F.col("word")).alias("a"))
+    return w.withColumn("b", F.lead("a").over(Window.partitionBy("recording_id").orderBy("pos"))).where("b is not null")
 
 
 @query()
@@ -135,7 +140,7 @@ def p15_spelling_relation(spark: SparkSession, sf: str) -> DataFrame:
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
-    n = _word_pairs(spark, sf).select("recording_id", "pos", F.col("x.a").alias("a"), F.col("y.a").alias("b"), _one_sound(F.col("x"), F.col("y")).alias("same"))
+    n = _word_pairs(spark, sf).withColumn("same", X.same_sound(F.col("a"), F.col("b")))
     unsure = (F.col("a") != F.col("b")) & ~F.col("same") & (F.greatest(F.length("a"), F.length("b")) >= 4) & (F.col("a") != "") & (F.col("b") != "")
     # twice what both hold of each letter bounds the ratio by length alone
     unsure = unsure & (2 * F.least(F.length("a"), F.length("b")) >= 0.8 * (F.length("a") + F.length("b")))

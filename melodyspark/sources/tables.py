@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from melodyspark.sources.scratch import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,7 +94,7 @@ def charts(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript words of every document: recording_id, pos, word, start, end, p, segment."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \\n]+")).alias("pos", "word"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "[ \\n]+")).alias("pos", "word"))
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("recording_id"), "pos", "word", (F.col("pos") * 0.4).alias("start"), (F.col("pos") * 0.4 + 0.3).alias("end"),
         F.coalesce("q", F.lit(0.5)).alias("p"), F.floor(F.col("pos") / 12).cast("int").alias("segment"),
