@@ -6,8 +6,8 @@ Every window of every document is looked up by hash, each hit is verified word b
 words that verified windows cover are hit.
 
 The set is broadcast only while it stays under ``max_bytes``, which is measured first. A larger
-benchmark is split by window into blocks under that bound; documents are scanned once per block
-and the blocks' hits are united per document.
+benchmark is split by window into blocks under that bound; documents are scanned once per block, each
+scan is written before the next begins, and the blocks' hits are united per document.
 
 Defined results: null or empty texts have no words and no hits. Items without words have no
 windows. An item without an id can hit words but is not counted in n_items. Items that repeat an
@@ -162,7 +162,7 @@ def _cover(spans: F.Column) -> F.Column:
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, max_bytes: int = 64 << 20) -> DataFrame:
     """``row`` (a struct of all columns of docs) and ``hits`` (n_words, n_hit, spans, items)."""
     table = materialize(benchmark_windows(benchmark, size), "windows")
-    weight = table.agg(F.coalesce(F.sum(F.length("window") + 160), F.lit(0)).alias("b")).first()["b"]
+    weight = table.agg(F.coalesce(F.sum(F.length("window") + 400), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-int(weight) // max_bytes))
     if blocks == 1:
         return _scan(docs, text_col, WindowSet.of(table.collect()))
@@ -172,7 +172,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     parts = None
     for k in range(blocks):
         part = _scan(numbered.select("key", F.col(f"row.`{text_col}`").alias("text")), "text", WindowSet.of(table.where(block == k).collect())).select(F.col("row.key").alias("key"), "hits")
-        part = part.where((F.col("hits.n_hit") > 0) | F.lit(k == 0))
+        # written before the next block is collected, so the driver holds one block at a time
+        part = materialize(part.where((F.col("hits.n_hit") > 0) | F.lit(k == 0)), "block-hits")
         parts = part if parts is None else parts.unionByName(part)
     united = parts.groupBy("key").agg(
         F.max("hits.n_words").alias("n_words"),

@@ -30,7 +30,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(_table(spark, sf_dir, "documents"))
+    # DataFrame functions alone: the table as it is
+    return mixing.plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
