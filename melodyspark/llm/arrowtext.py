@@ -74,6 +74,8 @@ def chunks(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.n
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    # a worker lives on after its batch: what Arrow holds in reserve goes back
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass

@@ -34,6 +34,8 @@ from melodyspark.llm.scratch import big_keys, materialize, spread_join
 ORDER = 5
 #: n-grams whose values are broadcast for scoring: under 10 MB, whatever the input
 HOT = 300_000
+#: bytes of text whose n-grams are taken together; a worker's arrays are some hundred times as large
+CHUNK = 1 << 20
 COLD = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("c", T.IntegerType())]))
 _SPACE = np.zeros(128, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -136,9 +138,9 @@ class _Counts:
             keys, n = np.unique((code[end[lo:hi] - end[lo]] << 2) | label[lo:hi], return_counts=True)
             self.parts.append((keys, n.astype(np.int64)))
             self.held += len(keys)
-            if self.held > 6_000_000:
+            if self.held > 3_000_000:
                 self.merge()
-                if self.held > 3_000_000:
+                if self.held > 1_500_000:
                     yield from self.flush()
 
     def merge(self) -> None:
@@ -172,7 +174,7 @@ def gram_counts(texts: DataFrame, classes: int, order: int = ORDER, lower: bool
         counts = _Counts(order, classes)
         for b in batches:
             label = b.column(1).fill_null(3).to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in chunks(b.column(0)):
+            for lo, hi, data, at in chunks(b.column(0), CHUNK):
                 cp, first = symbols(data, at, order, lower)
                 end, row = ends(first, order)
                 yield from counts.add(cp, end, label[lo:hi].astype(np.int64)[row])
@@ -307,7 +309,7 @@ def score(rows: DataFrame, grams: DataFrame, values: list[str], order: int = ORD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value.ready()
         for b in batches:
-            for lo, hi, data, at in chunks(b.column(1)):
+            for lo, hi, data, at in chunks(b.column(1), CHUNK):
                 cp, first = symbols(data, at, order, lower)
                 end, row = ends(first, order)
                 size = np.bincount(row, minlength=hi - lo)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from melodyspark.llm import bpe, decontaminate, exact_dedup, hard_negatives, lexical, line_dedup, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, warc
 from melodyspark.llm.oracles import ORACLES
-from melodyspark.llm.scratch import spread
+from melodyspark.llm.scratch import small_batches, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

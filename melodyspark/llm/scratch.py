@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on at most ``rows`` rows go to Python at a time in this session: whole texts make batches large on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores: a file of few row groups is dealt out once, larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
