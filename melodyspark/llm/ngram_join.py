@@ -109,7 +109,7 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint64)
 
 
-def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int = 16, block: int = 4_000_000) -> Order:
+def frequent_shingles(texts: DataFrame, size: int, max_frequent: int, least: int = 16, block: int = 1_500_000) -> Order:
     """The shingles that most different sets hold, at most ``max_frequent`` of them, from ``least`` sets on.
 
     Every shingle of every set is counted, by a 40-bit prefix of its hash. Tasks count their shingles, some
