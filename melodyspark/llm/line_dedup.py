@@ -1,10 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-The result is that of aligning all pairs of documents. Lines with their neighbours up to
+The result is that of aligning all pairs of documents. Documents with the same lines are told first: the
+earliest of them stands for all, the others lose every line to it if they have ``min_chars`` characters, and delete nothing that it does not. Lines with their neighbours up to
 ``min_chars`` characters are keys. Each key that several documents hold pairs every later holder
 with the earliest one; where a later holder keeps the line, it is paired with the key's next
-holders, a few and then more a round, until no kept line has an earlier holder it was not aligned
-with. So pairs grow with the lines that repeat, and only lines that no alignment deletes meet all
+holders, as many a round as the first round had pairs for, until no kept line has an earlier holder it was not aligned
+with. Small sides of these rounds are broadcast, so that a round is a few shuffles. So pairs grow with the lines that repeat, and only lines that no alignment deletes meet all
 their holders. The lines of both documents are aligned by patience diff: lines that occur once in
 each, in increasing order, anchor the alignment, which grows from the anchors and recurses between
 them. Blocks of aligned lines with at least ``min_chars`` characters are deleted from the later
@@ -32,10 +33,12 @@ from pyspark.sql import types as T
 
 from melodyspark.llm.scratch import big_keys, materialize, same_row, spread_join
 
-#: holders of a key that the second round aligns kept lines with, and the most a round takes; Spark limits such windows before the shuffle up to 1000 rows
+#: the fewest and the most holders of a key that a later round aligns kept lines with; Spark limits such windows before the shuffle up to 1000 rows
 FIRST_HUBS, MOST_HUBS = 4, 512
 #: parts that a key's holders are dealt into before the earliest of all are taken
 PARTS = 16
+#: rows of keys, pairs or lines that are broadcast in a round, and lines of documents; larger sides are shuffled
+FEW, FEW_LINES = 100_000, 500_000
 
 
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
@@ -122,7 +125,7 @@ def _around(chars: np.ndarray, real: np.ndarray, lo: int, i: int, hi: int, least
 
 
 def _spots(table: DataFrame, least: int) -> DataFrame:
-    """at, h, j: line j of document ``at`` is in a smallest range of ``least`` characters with key h.
+    """at, h, j, once: line j of document ``at`` is in a smallest range of ``least`` characters with key h; ``once`` marks one line a document and key.
 
     A block of that size around a line holds such a range, so documents that share no key of a line
     never delete it. Keys only choose pairs: a clash costs an alignment and changes no result.
@@ -141,12 +144,23 @@ def _spots(table: DataFrame, least: int) -> DataFrame:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64), dtype=np.uint64)])
             key = (sums[y + 1] - sums[x] + (y - x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             j, key = np.concatenate([whole, j]), np.concatenate([h[whole], key])
+            by = np.lexsort((key, row[j]))
+            new = np.ones(len(j), bool)
+            new[1:] = (np.diff(key[by]) != 0) | (np.diff(row[j[by]]) != 0)
+            once = np.zeros(len(j), bool)
+            once[by[new]] = True
             for k in range(0, len(j), 50_000):
                 at = row[j[k : k + 50_000]]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key[k : k + 50_000]), pa.array((j[k : k + 50_000] - begin[at]).astype(np.int32))], names=["at", "h", "j"])
+                own = [pa.array(key[k : k + 50_000]), pa.array((j[k : k + 50_000] - begin[at]).astype(np.int32)), pa.array(once[k : k + 50_000])]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *own], names=["at", "h", "j", "once"])
 
     rows = table.select(F.struct("doc_id", "rk").alias("at"), "hashes", "chars")
-    return rows.mapInArrow(run, T.StructType([rows.schema["at"], T.StructField("h", T.LongType()), T.StructField("j", T.IntegerType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["at"], T.StructField("h", T.LongType()), T.StructField("j", T.IntegerType()), T.StructField("once", T.BooleanType())]))
+
+
+def _few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """``rows``, a written table or of at most ``n`` rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if (rows.count() if n is None else n) <= FEW else rows
 
 
 def _aligned_away(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
@@ -160,27 +174,39 @@ def _aligned_away(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFra
             gone = [[j for s, e in common_blocks(a, b, c, min_chars) for j in range(s, e)] for a, b, c in rows]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["rk", "removed"])
 
-    both = pairs.join(right, "b").join(left, "a").select("b", "ha", "hb", "cb")
+    if pairs.count() <= FEW:
+        # documents stay where they are
+        pairs = F.broadcast(pairs)
+        left = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+        if (left.agg(F.sum(F.size("ha"))).first()[0] or 0) <= FEW_LINES:
+            left = F.broadcast(left)
+    both = right.join(pairs, "b").join(left, "a").select("b", "ha", "hb", "cb")
     gone = both.mapInArrow(run, "rk long, removed array<int>").where(F.size("removed") > 0)
     return gone.select("rk", F.explode("removed").alias("j")).distinct()
 
 
 def _first(rows: DataFrame, n: int, *by: str) -> DataFrame:
-    """The ``n`` earliest rows of each group."""
+    """The ``n`` earliest rows of each group, numbered from 1 in column n."""
     nth = F.row_number().over(Window.partitionBy(*by).orderBy("at"))
-    return rows.withColumn("n", nth).where(F.col("n") <= n).drop("n")
+    return rows.withColumn("n", nth).where(F.col("n") <= n)
 
 
 def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
     """rk, removed (numbers of lines, from 0) of documents (doc_id, text, rk) that lose any."""
     trimmed = F.transform(_lines(F.col("text")), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    table = keyed.withColumn("t", trimmed).select(
+    lines = keyed.withColumn("t", trimmed).select(
         "rk",
         "doc_id",
         F.transform("t", lambda x: F.xxhash64(x, F.length(x))).alias("hashes"),
         F.transform("t", lambda x: F.length(x)).alias("chars"),
     )
-    table = materialize(table.dropDuplicates(["rk"]), "lines")
+    total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    lines = materialize(lines.withColumn("same", F.xxhash64("hashes")).withColumn("n", F.size("hashes")).withColumn("total", total), "lines")
+    # of documents with the same lines the earliest stands for all
+    leads = lines.groupBy("same", "n", "total").agg(F.min(F.struct("doc_id", "rk", "hashes", "chars")).alias("x"))
+    table = materialize(leads.select("x.*"), "leads")
+    copies = lines.where(F.col("total") >= max(min_chars, 1)).select("rk", "n").join(table.select("rk"), "rk", "left_anti").distinct()
+    copies = copies.select("rk", F.sequence(F.lit(0), F.col("n") - 1).alias("removed"))
     spots = _spots(table, max(min_chars, 1))
     shared = spots.groupBy("h").agg(F.min("at").alias("last"), F.max("at").alias("newest"), F.count(F.lit(1)).alias("holders")).where(F.col("last") < F.col("newest"))
     shared = materialize(shared.select("h", "last", "holders"), "shared-keys")
@@ -190,31 +216,30 @@ def removed_lines(keyed: DataFrame, min_chars: int = 20) -> DataFrame:
     gone = materialize(_aligned_away(pairs, table, min_chars), "gone")
 
     def still(rows: DataFrame, lost: DataFrame) -> DataFrame:
-        return materialize(rows.join(lost.select(F.col("rk").alias("_rk"), F.col("j").alias("_j")), (F.col("at.rk") == F.col("_rk")) & (F.col("j") == F.col("_j")), "left_anti"), "kept-lines")
+        lost = _few(lost).select(F.col("rk").alias("_rk"), F.col("j").alias("_j"))
+        return materialize(rows.join(lost, (F.col("at.rk") == F.col("_rk")) & (F.col("j") == F.col("_j")), "left_anti"), "kept-lines")
 
     # ``live``: kept lines that have a holder after ``last``, the latest one their key has been aligned with, and before their own document
-    live = still(spots.where(F.col("at") > F.col("last")), gone)
-    # of documents with the same lines only the earliest can delete what the others cannot
-    leads = None
-    hubs_a_key = FIRST_HUBS
-    while not live.isEmpty():
-        if leads is None:
-            leads = materialize(table.groupBy(F.xxhash64("hashes").alias("same")).agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.rk"), "leads")
+    live = still(spots.where(F.col("at") > F.col("last")).drop("once"), gone)
+    most = pairs.count()
+    while n_live := live.count():
+        hubs_a_key = min(MOST_HUBS, max(FIRST_HUBS, most // n_live))
         keys = live.groupBy("h").agg(F.max("last").alias("last"), F.max("at").alias("newest"))
-        found = spots.select("h", "at").join(keys, "h").where((F.col("at") > F.col("last")) & (F.col("at") < F.col("newest")))
-        found = found.select("h", "at", F.col("at.rk").alias("rk")).distinct().join(leads, "rk", "left_semi")
+        found = spots.where("once").select("h", "at").join(_few(keys, n_live), "h").where((F.col("at") > F.col("last")) & (F.col("at") < F.col("newest")))
         # first by parts of a key's holders, so that no task reads more than a few times the hubs of a key
-        parts = found.withColumn("part", F.pmod(F.xxhash64("rk"), F.lit(PARTS)))
-        hubs = materialize(_first(_first(parts, hubs_a_key, "h", "part"), hubs_a_key, "h").select("h", F.col("at").alias("hub")), "hubs")
-        new = live.join(hubs, "h").where(F.col("hub") < F.col("at")).select(F.col("hub.rk").alias("a"), F.col("at.rk").alias("b")).distinct()
-        new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        parts = found.select("h", "at", F.pmod(F.xxhash64("at.rk"), F.lit(PARTS)).alias("part"))
+        hubs = materialize(_first(_first(parts, hubs_a_key, "h", "part").drop("n"), hubs_a_key, "h").select("h", F.col("at").alias("hub"), "n"), "hubs")
+        new = live.join(_few(hubs), "h").where(F.col("hub") < F.col("at")).select(F.col("hub.rk").alias("a"), F.col("at.rk").alias("b")).distinct()
+        if n_live * hubs_a_key > FEW:
+            # few pairs are sooner aligned again than looked up
+            new = new.join(pairs, ["a", "b"], "left_anti")
+        new = materialize(new, "pairs")
         lost = materialize(_aligned_away(new, table, min_chars), "gone")
         # a key with fewer hubs than were asked for has no further ones
-        ahead = hubs.groupBy("h").agg(F.max("hub").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") == hubs_a_key)
-        live = still(live.drop("last").join(ahead.drop("n"), "h").where(F.col("at") > F.col("last")).select(live.columns), lost)
+        ahead = hubs.where(F.col("n") == hubs_a_key).select("h", F.col("hub").alias("last"))
+        live = still(live.drop("last").join(_few(ahead, n_live), "h").where(F.col("at") > F.col("last")).select(live.columns), lost)
         pairs, gone = pairs.unionByName(new), gone.unionByName(lost)
-        hubs_a_key = min(hubs_a_key * 4, MOST_HUBS)
-    return gone.groupBy("rk").agg(F.collect_set("j").alias("removed"))
+    return gone.groupBy("rk").agg(F.collect_set("j").alias("removed")).unionByName(copies)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_broadcast: int = 2_000_000) -> DataFrame:

@@ -61,3 +61,21 @@ def test_ranges_are_found_around_every_line():
             for x in range(i + 1):
                 for y in range(i, n):
                     assert chars[x : y + 1].sum() < 20 or any(x <= p and q <= y for p, q in got)
+
+
+def test_a_round_takes_as_many_pairs_as_the_first(spark, monkeypatch):
+    taken = []
+    away = line_dedup._aligned_away
+    monkeypatch.setattr(line_dedup, "_aligned_away", lambda *a: taken.append(1) or away(*a))
+    docs = [[f"own line of document {k}", "a line that all of these have"] for k in range(2500)]
+    assert removed(spark, docs + SHAPES["many"]) == [[]] + [[1]] * 2499 + brute(SHAPES["many"])
+    assert len(taken) == 2
+
+
+def test_copies_are_not_aligned(spark, monkeypatch):
+    docs = [[X, "", X, OWN[0]], ["short", ""], [X, "", X, OWN[0]], ["short", ""], [" " + X, "", X, OWN[0] + "\r"], [OWN[1], X]]
+    want = brute([[x.strip() for x in d] for d in docs])
+    monkeypatch.setattr(line_dedup, "common_blocks", None)
+    assert removed(spark, docs[:5]) == want[:5] == [[], [], [0, 1, 2, 3], [], [0, 1, 2, 3]]
+    monkeypatch.undo()
+    assert removed(spark, docs) == want
