@@ -182,7 +182,7 @@ def _piece_ids(pieces: list[str], vocab: Vocabulary) -> list[bytes]:
 
 
 class Known:
-    """Pieces met by this worker, by 64-bit hash: where their ids lie in one array. Begins anew beyond ``most`` ids."""
+    """Pieces met by this worker, by ascending 64-bit hash: where their ids lie in one array. Begins anew beyond ``most`` ids."""
 
     def __init__(self, vocab: Vocabulary, most: int = KNOWN) -> None:
         self.vocab, self.most = vocab, most
@@ -192,14 +192,13 @@ class Known:
         self.hash, self.start, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
 
-    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def learn(self, at: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Enter pieces, by ascending hash, before the places ``at`` of the table."""
         made = _piece_ids(pieces, self.vocab)
         length = np.array([len(x) // 4 for x in made], np.int64)
         start = len(self.ids) + np.cumsum(length) - length
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), np.int32)])
-        every = np.concatenate([self.hash, hashes])
-        order = np.argsort(every)
-        self.hash, self.start, self.length = every[order], np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+        self.hash, self.start, self.length = np.insert(self.hash, at, hashes), np.insert(self.start, at, start), np.insert(self.length, at, length)
 
     def texts(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk of texts in a row, and how many each text has."""
@@ -207,9 +206,12 @@ class Known:
             self.clear()
         w = words_of(data, at, SPACED, lower=False)
         distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        fresh = ~np.isin(distinct, self.hash)
+        found = np.searchsorted(self.hash, distinct)
+        fresh = np.ones(len(distinct), bool)
+        if len(self.hash):
+            fresh = self.hash[np.minimum(found, len(self.hash) - 1)] != distinct
         raw = data.tobytes()
-        self.learn(distinct[fresh], [raw[s:e].decode() for s, e in zip(w.start[first[fresh]].tolist(), w.end[first[fresh]].tolist(), strict=True)])
+        self.learn(found[fresh], distinct[fresh], [raw[s:e].decode() for s, e in zip(w.start[first[fresh]].tolist(), w.end[first[fresh]].tolist(), strict=True)])
         found = np.searchsorted(self.hash, distinct)
         start, length = self.start[found][inverse], self.length[found][inverse]
         upto = np.concatenate([[0], np.cumsum(length)])

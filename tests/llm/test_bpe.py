@@ -78,3 +78,17 @@ def test_query(spark, library):
         e = library.encode(r["text"], add_special_tokens=False).ids
         hexed = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, e)), library.decode(e, skip_special_tokens=False))]
         assert got[r["doc_id"]] == (len(e), *hexed)
+
+
+def test_a_text_costs_little_beside_a_large_table_of_known_pieces(known):
+    import time
+
+    table = bpe.Known(known.vocab)
+    table.hash = np.arange(2_000_000, dtype=np.uint64) << np.uint64(43)
+    table.start = table.length = np.zeros(len(table.hash), np.int64)
+    texts = [f"some new{k} text" for k in range(12)]
+    begin = time.process_time()
+    got = [ids(table, [t])[0] for t in texts]
+    took = time.process_time() - begin
+    assert len(table.hash) > 2_000_000 and (np.diff(table.hash.astype(object)) > 0).all()
+    assert got == ids(known, texts) and took < 2
