@@ -234,8 +234,12 @@ def t2_spaced_dips(spark: SparkSession, sf: str) -> DataFrame:
 def w13_octave_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Isolated octave errors, neighbours up to 1.5 s away; notes further apart never meet, so stretches are keys."""
     n = L.islands(T.notes(spark, sf).select("recording_id", "frame_id", "onset", "midi"), ["recording_id"], ORDER, F.col("onset") - F.lag("onset").over(Window.partitionBy("recording_id").orderBy(*ORDER)) >= 1.5)
-    fn = lambda p: pd.DataFrame({"frame_id": p["frame_id"], "midi": Q.octave_repairs(p["midi"].to_numpy(), p["onset"].to_numpy())})
-    return Q.by_key(n, ["recording_id", "grp"], ORDER, fn, "frame_id long, midi int")
+
+    def fn(rows: pa.Table, bounds: np.ndarray) -> dict:
+        midi = Q.octave_repairs(Q.array_of(rows, "midi"), Q.array_of(rows, "onset"), first=bounds[:-1])
+        return {"frame_id": rows["frame_id"], "midi": pa.array(midi, "int32")}
+
+    return Q.by_runs(n, ["recording_id", "grp"], ORDER, fn, "frame_id long, midi int")
 
 
 @query()

@@ -117,6 +117,18 @@ def test_octave_errors():
     assert fix([60, 72, 62], [0, 1.5, 3.0]) == [60, 72, 62]
 
 
+def test_octave_errors_of_many_stretches_in_one_stream(spark):
+    """Stretches one after another take what each takes alone, and the query makes no pandas frame for each."""
+    from melodyspark.jobs import catalogue
+
+    rng = np.random.default_rng(2)
+    parts = [(60 + rng.choice([0, 1, 12, -12, 9, 24], n), np.cumsum(rng.choice([0.3, 1.4, 1.5], n))) for n in rng.integers(1, 12, 60)]
+    first = np.cumsum([0] + [len(m) for m, _ in parts])[:-1]
+    got = sequences.octave_repairs(*(np.concatenate([p[k] for p in parts]) for k in range(2)), first=first)
+    assert got.tolist() == np.concatenate([sequences.octave_repairs(*p) for p in parts]).tolist()
+    assert "InPandas" not in catalogue.QUERIES["w13_octave_errors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_phrases_start_where_lines_do():
     t = np.arange(8.0)
     num = lambda line, starts, gap=0.1: sequences.phrases(np.zeros(8, int), np.array(line), np.array(starts, bool), t, t + 1 - gap).tolist()
