@@ -110,3 +110,18 @@ def test_syllables_against_plain_rules(spark):
         if r["w"].lower() not in known:
             assert r["e"] == plain_english(r["w"]), r["w"]
         assert r["m"] == plain_malay(r["w"]), r["w"]
+
+
+def test_syllables_of_both_languages_in_one_pass(spark):
+    """Each word is cut once for both languages, in one Arrow step without regular expressions a row; odd words and nulls included."""
+    words = ["Singing", "don’t", "where's", "well-known", "-", "", None, "Nyéanyi", "bunga", "KHaNGa", "a", "fam-ily", "你a"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    out = df.select("word", X.both_syllables(F.col("word")).alias("b"), X.english_syllables(F.col("word")).alias("e"), X.malay_syllables(F.col("word")).alias("m"))
+    for r in out.collect():
+        assert (r["b"]["english"], r["b"]["malay"]) == ((None, None) if r["e"] is None else ("|".join(r["e"]), "|".join(r["m"])))
+        assert r["word"] is not None or r["e"] is None
+        assert r["word"] not in ("", "-") or (r["e"], r["m"]) == ([], [])
+    from melodyspark.jobs import catalogue
+
+    plan = catalogue.QUERIES["p12_p13_syllables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
