@@ -140,7 +140,10 @@ def fill_times(words: DataFrame, keys: list[str], order: str, length: float = 0.
     w = Window.partitionBy(*keys).orderBy(order)
     known = F.when(F.col("start").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("start").alias("s"), F.col("end").alias("e")))
     x = words.withColumn("_i", F.row_number().over(w))
-    x = x.withColumn("_b", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_a", F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    x = x.withColumn("_b", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    # what follows is read backwards: a frame that ends with the key is worked out anew for every row
+    back = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_a", F.last(known, ignorenulls=True).over(back))
     at = F.col("_b.e") + (F.col("_a.s") - F.col("_b.e")) * (F.col("_i") - F.col("_b.i") - 0.5) / (F.col("_a.i") - F.col("_b.i"))
     anchor = F.when(F.col("start").isNotNull(), "known").when(at.isNotNull(), "interpolated").otherwise("none")
     out = x.withColumn("anchor", anchor).withColumn("_at", at)

@@ -217,3 +217,13 @@ def test_chain_against_all_choices():
 def test_rejoin(spark):
     w = spark.createDataFrame([(1, 0, "Tw", 0.0, 0.2), (1, 1, "inkle", 0.21, 0.5), (1, 2, "pst", 0.5, 0.6), (1, 3, " oh", 0.6, 0.8), (1, 4, "hm", 0.8, 0.9), (1, 5, "la", 0.93, 1.0)], "k int, pos int, word string, start double, end double")
     assert [r["word"] for r in X.rejoin(w, ["k"], "pos").orderBy("pos").collect()] == ["Twinkle", "pst", " oh", "hm", "la"]
+
+
+def test_times_are_filled_in_one_pass_over_a_recording(spark):
+    """No window reads on to its key's end for every row; words at the ends and in the middle take the times they should."""
+    rows = [(1, i, None if i in (0, 2, 3, 6) else float(i), None if i in (0, 2, 3, 6) else i + 0.5) for i in range(7)]
+    out = V.fill_times(spark.createDataFrame(rows, "rec int, pos int, start double, end double"), ["rec"], "pos")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["pos"]: (r["start"], r["anchor"]) for r in out.collect()}
+    assert got[0] == got[6] == (None, "none") and got[1] == (1.0, "known")
+    assert got[2] == (1.5 + 2.5 * 0.5 / 3, "interpolated") and got[3] == (1.5 + 2.5 * 1.5 / 3, "interpolated")
