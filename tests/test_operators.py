@@ -273,3 +273,15 @@ def test_copied_tune(spark):
     got = sorted((r["line"], r["q"], r["new"]) for r in quality.copied_tune(n, rules, "rec").collect())
     assert got == [(0, 0, 59), (0, 1, 60), (1, 0, 60), (1, 1, 61), (1, 3, None)]
 
+
+
+def test_attack_moves_keeps_readings_flat(spark):
+    """Loudness reaches the workers as flat numbers, not as objects for each reading, and pairs without a dip give no row."""
+    t = [k * 0.01 for k in range(200)]
+    rms = [0.1 if abs(k - 106) <= 1 else 1.0 for k in range(200)]
+    e = spark.createDataFrame([(r, x, 1.0 if r == 2 else v) for r in (1, 2) for x, v in zip(t, rms, strict=True)], "rec int, t double, rms double")
+    n = spark.createDataFrame([(r, k, 0, float(k), k + 1.0, 60, "la") for r in (1, 2) for k in (0, 1)], "rec int, note int, section int, onset double, end double, midi int, lyric string")
+    out = charting.attack_moves(n, e, ["rec"], "note")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 1.06)]
