@@ -152,9 +152,9 @@ def p15_spelling_relation(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p16_spread_syllables(spark: SparkSession, sf: str) -> DataFrame:
     """A word's time spread evenly over its English syllables."""
-    # a word with a letter has a syllable: the filter does not cut it a second time
+    # a word with a letter has a syllable, so the outer form adds no row; from the inner one Spark infers a filter that cuts every word again
     w = T.words(spark, sf).where("word rlike '[A-Za-z]'").withColumn("parts", X.english_syllables(F.col("word")))
-    w = w.select("recording_id", "pos", "start", "end", F.size("parts").alias("k"), F.posexplode("parts").alias("q", "syllable"))
+    w = w.select("recording_id", "pos", "start", "end", F.size("parts").alias("k"), F.posexplode_outer("parts").alias("q", "syllable"))
     at = lambda q: S.round_to(F.col("start") + (F.col("end") - F.col("start")) / F.col("k") * q, 4)
     return w.select("recording_id", "pos", "q", "syllable", at(F.col("q")).alias("start"), at(F.col("q") + 1).alias("end"))
 

@@ -125,3 +125,11 @@ def test_syllables_of_both_languages_in_one_pass(spark):
 
     plan = catalogue.QUERIES["p12_p13_syllables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+def test_syllables_are_cut_once_to_be_spread(spark):
+    """The filter of words without a syllable does not cut the words a second time."""
+    from melodyspark.jobs import catalogue
+
+    plan = catalogue.QUERIES["p16_spread_syllables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
